@@ -26,12 +26,12 @@ def register(query: Query) -> Query:
     return query
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    return readers.read_table(spark, f"{sf_dir}/{name}.parquet", key)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, "documents", "doc_id")
 
 
 def app_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def ingest_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of every HTML page."""
     stop_words = text.default_stop_words()
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages", "page_id").select(
         "page_id", text.clean_text(F.col("html"), stop_words).alias("cleaned")
     )
 
@@ -251,7 +251,7 @@ def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word with the tag it carries most often in the corpus, here the language of its text."""
     docs = _cleaned(spark, sf_dir)
     tagged = docs.select(
-        F.explode(text.tokens(F.col("cleaned"))).alias("word"), F.upper("lang").alias("tag")
+        text.explode_once(text.tokens(F.col("cleaned"))).alias("word"), F.upper("lang").alias("tag")
     )
     tags = lexicon.most_frequent_tags(tagged, "word", "tag")
     return lexicon.annotate_words(docs, "doc_id", "cleaned", tags, "XX")

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.lemma import lemmatize_text
+from tagloom.functions.lemma import lemmas
 from tagloom.functions.patterns import ALLOWED_CHARACTERS, BETWEEN_WORDS, CLEANING_ORDER, PATTERNS
 
 
@@ -62,7 +62,7 @@ def clean_text(text: Column, stop_words: Sequence[str]) -> Column:
 
 def preprocess_text(text: Column, stop_words: Sequence[str]) -> Column:
     """Clean, then bring every word to its base form."""
-    return lemmatize_text(clean_text(text, stop_words))
+    return F.array_join(lemmas(clean_words(text, stop_words)), " ")
 
 
 def tokens(text: Column) -> Column:
@@ -70,6 +70,20 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"\s")
 
 
+def preprocessed_tokens(text: Column, stop_words: Sequence[str]) -> Column:
+    """``tokens(preprocess_text(text))``; the text is lower-case with single blanks already."""
+    return F.split(preprocess_text(text, stop_words), " ")
+
+
+def explode_once(words: Column) -> Column:
+    """One row per word; a NULL or empty array gives one NULL row.
+
+    The outer form, because for the inner one the optimizer adds a filter on the array's size
+    below the generator, which evaluates a computed array several times.
+    """
+    return F.explode_outer(words)
+
+
 def comma_pieces(text: Column) -> Column:
     """Split on commas without trailing empty pieces; a text of commas only has none."""
     pieces = F.split(F.regexp_replace(text, ",+$", ""), ",")

@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.patterns import HASH_BUCKETS, SMOOTHING
-from tagloom.shared import materialize
+from tagloom.functions.text import explode_once
+from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materialize
 
 # Class scores are columns of one row, so the classes must be few; more raise an error.
 MAX_CLASSES = 1_000
-# Memory that a broadcast term table may take.
-BROADCAST_BYTES = 128 * 1024 * 1024
 # Copies of the rare terms that a shuffled join spreads a term's rows over.
 SALTS = 8
+# Longer terms always take the shuffled join, so that frequent terms have a bounded size.
+MAX_FREQUENT_TERM_BYTES = 64
 
 TERMS_SCHEMA = "label string, term string, n bigint"
 
@@ -39,6 +40,7 @@ class ClassStats:
     docs: int
     tokens: int
     terms: int
+    term_bytes: int
 
 
 @dataclass(frozen=True)
@@ -127,12 +129,13 @@ def fit(
     """Count terms per class in one pass over the documents.
 
     Every document adds one NULL term next to its tokens, so the same aggregation, combined
-    on the map side, also counts the documents. Rows without a label teach nothing.
+    on the map side, also counts the documents. Rows without a label teach nothing; a NULL
+    token array counts as a document without words.
     """
     marker = F.array(F.lit(None).cast("string"))
     exploded = docs.where(F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"),
-        F.explode(F.concat(marker, F.col(tokens_col))).alias("term"),
+        explode_once(F.concat(marker, F.col(tokens_col))).alias("term"),
     )
     counts = materialize(
         exploded.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n")), "bayes-counts"
@@ -148,6 +151,7 @@ def _class_stats(counts: DataFrame) -> tuple[ClassStats, ...]:
             F.sum(F.when(~is_term, F.col("n")).otherwise(0)).alias("docs"),
             F.sum(F.when(is_term, F.col("n")).otherwise(0)).alias("tokens"),
             F.count("term").alias("terms"),
+            F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("term_bytes"),
         )
         .limit(MAX_CLASSES + 1)
         .collect()
@@ -157,12 +161,7 @@ def _class_stats(counts: DataFrame) -> tuple[ClassStats, ...]:
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     ordered = sorted(rows, key=lambda row: (-row.docs, row.label))
-    return tuple(ClassStats(row.label, row.docs, row.tokens, row.terms) for row in ordered)
-
-
-def broadcast_limit(classes: int) -> int:
-    """How many rows of ``term_weights`` fit into a broadcast."""
-    return max(1, BROADCAST_BYTES // (8 * classes + 96))
+    return tuple(ClassStats(**row.asDict(recursive=True)) for row in ordered)
 
 
 def class_scores(
@@ -171,33 +170,39 @@ def class_scores(
     id_col: str,
     tokens_col: str = "tokens",
     carry: Sequence[str] = (),
-    max_broadcast_terms: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, *carry, scores)``: the raw scores of every record in label order.
 
     ``id_col`` identifies one row; ``carry`` names boolean or numeric columns to keep. A
     record without tokens counts as one unknown word.
 
-    A model within the broadcast limit is joined on the map side, and each record is added
-    up where it was read: one small row per record is shuffled. Beyond the limit only the
-    terms that make up at least 1/limit of all tokens are broadcast, which no more than
-    ``limit`` terms can be; the others are joined by a shuffle, salted so that a word that is
+    A model within ``broadcast_bytes`` is joined on the map side, and each record is added up
+    where it was read: one small row per record is shuffled. Of a larger model only frequent
+    terms are broadcast, those that make up at least 1/limit of all tokens, which no more than
+    ``limit`` terms can do; the others are joined by a shuffle, salted so that a word that is
     rare in training but frequent in these records does not meet in one task.
     """
-    limit = max_broadcast_terms or broadcast_limit(len(model.classes))
     keep = [id_col, *carry]
     docs = docs.select(
         *keep,
         F.greatest(F.coalesce(F.size(tokens_col), F.lit(1)), F.lit(1)).alias("_length"),
         F.col(tokens_col).alias("_tokens"),
     )
+    row_bytes = 8 * len(model.classes) + ROW_BYTES
     weights = model.term_weights()
-    if sum(stats.terms for stats in model.classes) <= limit:
+    # Terms counted once per class they occur in: too high, but known from the fit.
+    small = sum(c.terms * row_bytes + c.term_bytes for c in model.classes) <= broadcast_bytes
+    if not small:
+        weights = materialize(weights, "bayes-weights")
+        small = broadcast_size(weights, "term", row_bytes=row_bytes) <= broadcast_bytes
+    if small:
         hits = _words(docs, keep).join(F.broadcast(weights), "term", "left")
     else:
-        docs = materialize(docs, "score-tokens")
-        weights = materialize(weights, "bayes-weights")
-        hits = _split_join(_words(docs, keep), weights, model, limit, id_col)
+        # Both halves of the join read the tokens: clean the texts once.
+        words = _words(materialize(docs, "score-tokens"), keep)
+        limit = max(1, broadcast_bytes // (row_bytes + MAX_FREQUENT_TERM_BYTES))
+        hits = _split_join(words, weights, model, limit, id_col)
     size = len(model.classes)
     summed = hits.groupBy(id_col).agg(
         *[F.max(name).alias(name) for name in carry],
@@ -208,15 +213,18 @@ def class_scores(
 
 
 def _words(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return docs.select(*keep, "_length", F.explode_outer("_tokens").alias("term"))
+    return docs.select(*keep, "_length", explode_once(F.col("_tokens")).alias("term"))
 
 
 def _split_join(
     words: DataFrame, weights: DataFrame, model: BayesModel, limit: int, id_col: str
 ) -> DataFrame:
     threshold = sum(stats.tokens for stats in model.classes) / limit
-    frequent = weights.where(F.col("total") >= threshold)
-    rare = weights.where(F.col("total") < threshold)
+    is_frequent = (F.col("total") >= threshold) & (
+        F.octet_length("term") <= MAX_FREQUENT_TERM_BYTES
+    )
+    frequent = weights.where(is_frequent)
+    rare = weights.where(~is_frequent)
     near = words.join(F.broadcast(frequent), "term", "left")
     far = (
         words.where(F.col("term").isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import explode_once
+
 
 def label_index(docs: DataFrame, label_col: str) -> DataFrame:
     """``(label, docs, label_idx)``: most frequent label first, then by name.
@@ -18,5 +20,5 @@ def label_index(docs: DataFrame, label_col: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
     """``(id, term, tf)``, one row per distinct term of a record."""
-    words = docs.select(id_col, F.explode(tokens_col).alias("term"))
-    return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(id_col, explode_once(F.col(tokens_col)).alias("term"))
+    return words.where(F.col("term").isNotNull()).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))

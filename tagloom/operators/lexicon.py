@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.lemma import lemmatize_text
-from tagloom.shared import has_at_most, materialize
+from tagloom.functions.lemma import lemma
+from tagloom.functions.text import explode_once
+from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
 
-MAX_BROADCAST_ROWS = 200_000
+# Copies of a large lexicon that the rows of one frequent word are spread over.
 SALTS = 16
 
 
@@ -24,11 +25,11 @@ def replace_words(
     text_col: str,
     lexicon: DataFrame,
     out_col: str = "replaced",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each word with an entry in ``lexicon(word, value)`` becomes its value, others stay."""
     return _rebuild(
-        docs, id_col, text_col, lexicon, "value", out_col, " ", max_broadcast_rows,
+        docs, id_col, text_col, lexicon, "value", out_col, " ", broadcast_bytes,
         lambda word, value: F.coalesce(value, word),
     )
 
@@ -40,11 +41,11 @@ def annotate_words(
     lexicon: DataFrame,
     default_tag: str,
     out_col: str = "annotated",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``word|TAG`` joined by commas, tags from ``lexicon(word, tag)``."""
     return _rebuild(
-        docs, id_col, text_col, lexicon, "tag", out_col, ",", max_broadcast_rows,
+        docs, id_col, text_col, lexicon, "tag", out_col, ",", broadcast_bytes,
         lambda word, tag: F.concat(word, F.lit("|"), F.coalesce(tag, F.lit(default_tag))),
     )
 
@@ -55,12 +56,12 @@ def lemmatize_by_lexicon(
     text_col: str,
     lexicon: DataFrame,
     out_col: str = "lemmas",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The lemma from ``lexicon(word, lemma)`` where it has one, else from the suffix rules."""
     return _rebuild(
-        docs, id_col, text_col, lexicon, "lemma", out_col, " ", max_broadcast_rows,
-        lambda word, lemma: F.coalesce(lemma, lemmatize_text(word)),
+        docs, id_col, text_col, lexicon, "lemma", out_col, " ", broadcast_bytes,
+        lambda word, listed: F.coalesce(listed, lemma(word)),
     )
 
 
@@ -70,12 +71,12 @@ def drop_words_by_table(
     text_col: str,
     words: DataFrame,
     out_col: str = "kept",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Drop the words listed in ``words(word)``, for lists too long for an expression."""
-    listed = words.select("word", F.lit(True).alias("listed"))
+    listed = words.select("word", F.lit("").alias("listed"))
     return _rebuild(
-        docs, id_col, text_col, listed, "listed", out_col, " ", max_broadcast_rows,
+        docs, id_col, text_col, listed, "listed", out_col, " ", broadcast_bytes,
         lambda word, found: F.when(found.isNull() & (word != ""), word),
     )
 
@@ -91,12 +92,13 @@ def most_frequent_tags(tagged: DataFrame, word_col: str, tag_col: str) -> DataFr
 
 def vocabulary(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Distinct tokens of a corpus as ``word``."""
-    return docs.select(F.explode(tokens_col).alias("word")).distinct()
+    words = docs.select(explode_once(F.col(tokens_col)).alias("word"))
+    return words.where(F.col("word").isNotNull()).distinct()
 
 
 def vocabulary_lemmas(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """``(word, lemma)`` of every distinct token: the rules run once per word of the corpus."""
-    return vocabulary(docs, tokens_col).withColumn("lemma", lemmatize_text(F.col("word")))
+    return vocabulary(docs, tokens_col).withColumn("lemma", lemma(F.col("word")))
 
 
 def _rebuild(
@@ -107,7 +109,7 @@ def _rebuild(
     value_col: str,
     out_col: str,
     separator: str,
-    max_broadcast_rows: int,
+    broadcast_bytes: int,
     render: Callable[[Column, Column], Column],
 ) -> DataFrame:
     pieces = F.split(F.regexp_replace(text_col, " +$", ""), " ")
@@ -116,7 +118,7 @@ def _rebuild(
     entries = materialize(
         lexicon.groupBy("word").agg(F.min(value_col).alias("_value")), "lexicon"
     )
-    if has_at_most(entries, max_broadcast_rows):
+    if broadcast_size(entries, "word", "_value") <= broadcast_bytes:
         joined = words.join(F.broadcast(entries), "word", "left")
     else:
         # Frequent words would meet in one task: spread them over copies of their entry.

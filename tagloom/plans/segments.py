@@ -15,6 +15,7 @@ from tagloom.functions.text import (
     drop_stop_pieces,
     is_ascii,
     preprocess_text,
+    preprocessed_tokens,
     tokens,
 )
 from tagloom.operators import bayes
@@ -78,7 +79,7 @@ def score_records(
     ``only_english`` spares the text work on records whose answer will be overridden.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
-    words = tokens(preprocess_text(F.col(text_col), stop_words))
+    words = preprocessed_tokens(F.col(text_col), stop_words)
     english = is_english(F.col(text_col))
     if only_english:
         words = F.when(english, words)

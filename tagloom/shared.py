@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# What a broadcast may take, and what a row takes beyond its text.
+BROADCAST_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 96
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; looks at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_size(df: DataFrame, *text_cols: str, row_bytes: int = ROW_BYTES) -> int:
+    """Bytes that broadcasting ``df`` takes, measured on all of its rows."""
+    text = F.lit(row_bytes).cast("long")
+    for name in text_cols:
+        text = text + F.coalesce(F.octet_length(name), F.lit(0))
+    return df.agg(F.coalesce(F.sum(text), F.lit(0)).alias("size")).first().size

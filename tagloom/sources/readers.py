@@ -11,6 +11,20 @@ from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import has_at_most
 
 
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A Parquet table.
+
+    With a unique ``key``, a table that has fewer splits than the cluster has cores is spread
+    by it, so that text work uses all cores. A large table has more splits and is read where
+    it lies, without a shuffle.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType = TRAINING_RECORD, delimiter: str = "|"
 ) -> DataFrame:
@@ -51,9 +65,7 @@ def read_json_records(
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.html`` file of a folder as one row ``(file, text)``."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.html")
-        .text(path)
+        spark.read.text(path, wholetext=True, pathGlobFilter="*.html")
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     )
 
