@@ -321,7 +321,7 @@ def nb_model_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(is_term, F.col("n")).otherwise(0)).alias("tokens"),
     )
     index = ranking.index_of(F.col("segment"), model.labels)
-    prior = F.get(F.array(*[F.lit(model.prior(i)) for i in range(len(model.classes))]), index)
+    prior = F.get(F.lit([model.prior(i) for i in range(len(model.classes))]), index)
     return per_class.select(
         "segment", index.alias("label_idx"), "docs", "tokens", F.round(prior, 6).alias("log_prior")
     )

@@ -19,7 +19,7 @@ NO_PLURALS = ("ss", "us", "is")
 # take no part are empty.
 VERB_RULES = (
     # rated, enabling, sized, racing, valued, moving -> rate, enable, size, race, value, move
-    (r"^([a-z0-9]*[aeiouy][a-z0-9]*(?:at|bl|iz|[cuv]))(?:ing|ed)$", "$1e"),
+    (r"^([a-z0-9]*(?:[b-df-hj-np-tv-z]at|iz|[aeiouy][a-z0-9]*(?:bl|[cuv])))(?:ing|ed)$", "$1e"),
     # running, planned -> run, plan
     (
         r"^([a-z0-9]*[aeiouy])(?:(b)b|(d)d|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)(?:ing|ed)$",

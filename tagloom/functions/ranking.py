@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 RANK_DIGITS = 6
 
 
-def rounded(scores: Column, size: int) -> Column:
-    return F.array(*[F.round(scores[i], RANK_DIGITS) for i in range(size)])
+def rounded(scores: Column) -> Column:
+    return F.transform(scores, lambda score: F.round(score, RANK_DIGITS))
 
 
-def best_index(scores: Column, size: int) -> Column:
+def best_index(scores: Column) -> Column:
     """Position of the greatest score; the first one among equals."""
-    comparable = rounded(scores, size)
+    comparable = rounded(scores)
     return (F.array_position(comparable, F.array_max(comparable)) - 1).cast("int")
 
 
 def ranked(scores: Column, labels: Sequence[str]) -> Column:
     """All (score, label_idx, label), best first; the higher index first among equals."""
-    entries = [
-        F.struct(
-            F.round(scores[i], RANK_DIGITS).alias("score"),
-            F.lit(i).alias("label_idx"),
-            F.lit(label).alias("label"),
+    names = F.lit(list(labels))
+
+    def entry(score: Column, index: Column) -> Column:
+        return F.struct(
+            F.round(score, RANK_DIGITS).alias("score"),
+            index.alias("label_idx"),
+            F.get(names, index).alias("label"),
         )
-        for i, label in enumerate(labels)
-    ]
-    return F.sort_array(F.array(*entries), asc=False)
+
+    return F.sort_array(F.transform(scores, entry), asc=False)
 
 
 def top_labels(scores: Column, labels: Sequence[str], k: int) -> Column:
@@ -42,10 +43,10 @@ def top_labels(scores: Column, labels: Sequence[str], k: int) -> Column:
 
 
 def label_at(index: Column, labels: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(label) for label in labels]), index)
+    return F.get(F.lit(list(labels)), index)
 
 
 def index_of(label: Column, labels: Sequence[str]) -> Column:
     """Position of a label; NULL for one the model has not seen."""
-    position = F.array_position(F.array(*[F.lit(name) for name in labels]), label)
+    position = F.array_position(F.lit(list(labels)), label)
     return F.when(position > 0, (position - 1).cast("int"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.patterns import HASH_BUCKETS, SMOOTHING
+from tagloom.functions.ranking import index_of
 from tagloom.functions.text import explode_once
 from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materialize
 
@@ -84,17 +85,14 @@ class BayesModel:
 
     def term_weights(self) -> DataFrame:
         """``(term, total, weights)``: one row per term, a weight per class in index order."""
-        s = self.smoothing
-        per_class = [
-            F.sum(F.when(F.col("label") == label, F.col("n"))).alias(f"n{i}")
-            for i, label in enumerate(self.labels)
-        ]
-        grouped = self.term_rows().groupBy("term").agg(F.sum("n").alias("total"), *per_class)
-        weights = [
-            F.log((F.coalesce(F.col(f"n{i}"), F.lit(0)) + F.lit(s)) / F.lit(s))
-            for i in range(len(self.classes))
-        ]
-        return grouped.select("term", "total", F.array(*weights).alias("weights"))
+        s, classes = self.smoothing, range(len(self.classes))
+        indexed = self.term_rows().select(
+            "term", "n", index_of(F.col("label"), self.labels).alias("label_idx")
+        )
+        per_class = [F.expr(f"sum(if(label_idx = {i}, n, 0)) AS n{i}") for i in classes]
+        grouped = indexed.groupBy("term").agg(F.sum("n").alias("total"), *per_class)
+        weights = ", ".join(f"ln((n{i} + {s!r}D) / {s!r}D)" for i in classes)
+        return grouped.selectExpr("term", "total", f"array({weights}) AS weights")
 
     def save(self, path: str) -> None:
         """Counts as Parquet, class statistics and settings as one small JSON row."""
@@ -207,7 +205,7 @@ def class_scores(
     summed = hits.groupBy(id_col).agg(
         *[F.max(name).alias(name) for name in carry],
         F.max("_length").alias("_length"),
-        *[F.sum(F.col("weights")[i]).alias(f"_s{i}") for i in range(size)],
+        *[F.expr(f"sum(weights[{i}]) AS _s{i}") for i in range(size)],
     )
     return summed.select(*keep, _scores(model).alias("scores"))
 
@@ -240,11 +238,8 @@ def _split_join(
 
 
 def _scores(model: BayesModel) -> Column:
-    return F.array(
-        *[
-            F.lit(model.prior(i))
-            + F.col("_length") * F.lit(model.base(i))
-            + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
-            for i in range(len(model.classes))
-        ]
+    per_class = ", ".join(
+        f"{model.prior(i)!r}D + _length * {model.base(i)!r}D + coalesce(_s{i}, 0D)"
+        for i in range(len(model.classes))
     )
+    return F.expr(f"array({per_class})")

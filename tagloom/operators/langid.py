@@ -43,10 +43,10 @@ def detect_language(
     """``(id, lang_pred)``; NULL where the two best languages are closer than ``min_margin``."""
     grams = docs.select(id_col, trigrams(F.col(text_col)).alias("tokens"))
     scored = bayes.class_scores(grams, profiles, id_col)
-    scores, size = F.col("scores"), len(profiles.classes)
-    best = label_at(best_index(scores, size), profiles.labels)
-    if size == 1:
+    scores = F.col("scores")
+    best = label_at(best_index(scores), profiles.labels)
+    if len(profiles.classes) == 1:
         return scored.select(id_col, best.alias("lang_pred"))
-    ordered = F.sort_array(rounded(scores, size), asc=False)
+    ordered = F.sort_array(rounded(scores), asc=False)
     decided = ordered[0] - ordered[1] >= F.lit(min_margin)
     return scored.select(id_col, F.when(decided, best).alias("lang_pred"))

@@ -42,7 +42,7 @@ STEPS = (
 
 LEMMA_STEPS = (
     (r"\b([a-z0-9]{2,})ies\b", r"\1y"),
-    (r"\b([a-z0-9]*[aeiouy][a-z0-9]*(?:at|bl|iz|[cuv]))(?:ing|ed)\b", r"\1e"),
+    (r"\b([a-z0-9]*(?:[b-df-hj-np-tv-z]at|iz|[aeiouy][a-z0-9]*(?:bl|[cuv])))(?:ing|ed)\b", r"\1e"),
     (
         r"\b([a-z0-9]*[aeiouy])(?:(b)b|(d)d|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)(?:ing|ed)\b",
         r"\1\2\3\4\5\6\7\8\9",

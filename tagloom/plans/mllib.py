@@ -22,19 +22,24 @@ from tagloom.functions.patterns import (
     SMOOTHING,
 )
 from tagloom.functions.ranking import top_labels
+from tagloom.shared import materialize
 
 
-def _fit(prepared: DataFrame, classifier, buckets: int, segment_col: str) -> PipelineModel:
-    columns = prepared.select(segment_col, "clean_description")
-    indexer = StringIndexer(inputCol=segment_col, outputCol="label").fit(columns)
-    stages = [
+# Records per task of an iterative fit: its passes read hashed vectors, far smaller than texts.
+ROWS_PER_TASK = 50_000
+
+
+def _stages(prepared: DataFrame, buckets: int, segment_col: str) -> tuple[list, IndexToString]:
+    indexer = StringIndexer(inputCol=segment_col, outputCol="label").fit(prepared)
+    vectorize = [
         indexer,
         Tokenizer(inputCol="clean_description", outputCol="tokens"),
         HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets),
-        classifier,
-        IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(columns)
+    converter = IndexToString(
+        inputCol="prediction", outputCol="predictedLabel", labels=indexer.labels
+    )
+    return vectorize, converter
 
 
 def fit_hashed_bayes(
@@ -43,8 +48,10 @@ def fit_hashed_bayes(
     smoothing: float = SMOOTHING,
     buckets: int = HASH_BUCKETS,
 ) -> PipelineModel:
+    columns = prepared.select(segment_col, "clean_description")
+    vectorize, converter = _stages(columns, buckets, segment_col)
     classifier = NaiveBayes(modelType="multinomial", smoothing=smoothing)
-    return _fit(prepared, classifier, buckets, segment_col)
+    return Pipeline(stages=[*vectorize, classifier, converter]).fit(columns)
 
 
 def fit_one_vs_rest(
@@ -55,16 +62,24 @@ def fit_one_vs_rest(
 ) -> PipelineModel:
     """One logistic regression per class, ``parallelism`` of them at a time.
 
-    The repeated passes read the small hashed vectors, which ``OneVsRest`` keeps persisted.
+    The vectors are written once; the many passes over them do not clean the texts again,
+    and use as many tasks as the rows are worth.
     """
+    columns = prepared.select(segment_col, "clean_description")
+    vectorize, converter = _stages(columns, buckets, segment_col)
+    vectors = materialize(
+        PipelineModel(stages=vectorize).transform(columns).select("label", "features"), "vectors"
+    )
+    tasks = -(-vectors.count() // ROWS_PER_TASK)
     regression = LogisticRegression(
         maxIter=LINEAR_ITERATIONS,
         regParam=LINEAR_REGULARIZATION,
         elasticNetParam=LINEAR_ELASTIC_NET,
         family="multinomial",
     )
-    classifier = OneVsRest(classifier=regression, parallelism=parallelism)
-    return _fit(prepared, classifier, buckets, segment_col)
+    one_vs_rest = OneVsRest(classifier=regression, parallelism=parallelism)
+    classifier = one_vs_rest.fit(vectors.coalesce(max(1, tasks)))
+    return PipelineModel(stages=[*vectorize, classifier, converter])
 
 
 def predict(model: PipelineModel, prepared: DataFrame) -> DataFrame:

@@ -89,8 +89,7 @@ def score_records(
 
 def predict(scored: DataFrame, model: bayes.BayesModel) -> DataFrame:
     """Adds ``label_idx`` and ``predictedLabel`` to scored records."""
-    size = len(model.classes)
-    return scored.withColumn("label_idx", best_index(F.col("scores"), size)).withColumn(
+    return scored.withColumn("label_idx", best_index(F.col("scores"))).withColumn(
         "predictedLabel", label_at(F.col("label_idx"), model.labels)
     )
 

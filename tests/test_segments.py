@@ -78,7 +78,7 @@ def test_top_one_is_the_prediction_without_ties(records, model):
 def test_ties(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0000000001],)], "scores array<double>")
     row = df.select(
-        ranking.best_index(F.col("scores"), 3).alias("best"),
+        ranking.best_index(F.col("scores")).alias("best"),
         ranking.top_labels(F.col("scores"), ["a", "b", "c"], 3).alias("top"),
     ).first()
     assert row.best == 1
