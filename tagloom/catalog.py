@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import patterns, ranking, text
 from tagloom.operators import bayes, evaluate, features, langid, lexicon
-from tagloom.plans import mllib, segments
+from tagloom.plans import corpus, mllib, segments
 from tagloom.schema import APP_RECORD, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
 from tagloom.sources import readers, writers
@@ -100,10 +100,7 @@ def ingest_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of every HTML page."""
-    stop_words = text.default_stop_words()
-    return table(spark, sf_dir, "pages", "page_id").select(
-        "page_id", text.clean_text(F.col("html"), stop_words).alias("cleaned")
-    )
+    return corpus.cleaned(table(spark, sf_dir, "pages", "page_id"), "page_id", "html")
 
 
 @register

@@ -30,11 +30,11 @@ LINEAR_ITERATIONS = 100
 LINEAR_REGULARIZATION = 0.03
 LINEAR_ELASTIC_NET = 0.8
 
-# Everything between two kept words of a lower-cased text without addresses, in one match:
-# separators and, where one follows, a word that the digit, small-word and mixed-word
-# patterns would blank out. Possessive and free of nested repeats, so a match takes time
-# linear in its length and no stack, however long the text is.
-BETWEEN_WORDS = (
-    r"(?:^[^a-z0-9]*+|[^a-z0-9]++)"
-    r"(?:(?:[0-9]++[a-z]*+|[a-z]++[0-9]++[a-z]*+|[a-z0-9]{1,2}+)(?![a-z0-9]))?"
+# A word that cleaning keeps, in a lower-cased text without addresses: a whole run of letters
+# and digits that the digit, small-word and mixed-word patterns would not blank out. The first
+# branch is the usual case. Possessive and free of nested repeats, so a match takes time linear
+# in its length and no stack, however long the text is.
+KEPT_WORD = (
+    r"(?<![a-z0-9])(?:[a-z]{3,}+(?![a-z0-9])"
+    r"|(?!(?:[0-9]++[a-z]*+|[a-z]++[0-9]++[a-z]*+|[a-z0-9]{1,2}+)(?![a-z0-9]))[a-z0-9]++)"
 )

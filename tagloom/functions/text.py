@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagloom.functions.lemma import lemmas
-from tagloom.functions.patterns import ALLOWED_CHARACTERS, BETWEEN_WORDS, CLEANING_ORDER, PATTERNS
+from tagloom.functions.patterns import ALLOWED_CHARACTERS, CLEANING_ORDER, KEPT_WORD, PATTERNS
 
 
 def default_stop_words() -> list[str]:
@@ -34,14 +34,12 @@ def clean_up_to(text: Column, flag: str) -> Column:
 
 def drop_words(text: Column, words: Sequence[str]) -> Column:
     """Split on one blank, drop empty pieces and exact matches of ``words``, join again."""
-    return F.array_join(_kept(F.split(text, " "), words), " ")
+    return F.array_join(_without(F.split(text, " "), ["", *words]), " ")
 
 
-def _kept(pieces: Column, words: Sequence[str]) -> Column:
-    if not words:
-        return F.filter(pieces, lambda word: word != "")
-    # A literal list this long becomes a hash-set lookup (InSet), not a chain of comparisons.
-    return F.filter(pieces, lambda word: (word != "") & ~word.isin(*words))
+def _without(pieces: Column, words: Sequence[str]) -> Column:
+    # A long literal list becomes a hash-set lookup (InSet), not a chain of comparisons.
+    return F.filter(pieces, lambda word: ~word.isin(*words)) if words else pieces
 
 
 def clean_words(text: Column, stop_words: Sequence[str]) -> Column:
@@ -53,7 +51,7 @@ def clean_words(text: Column, stop_words: Sequence[str]) -> Column:
     """
     lowered = F.lower(text)
     no_urls = F.when(F.contains(lowered, F.lit("://")), remove_pattern(lowered, "urls")).otherwise(lowered)
-    return _kept(F.split(F.regexp_replace(no_urls, BETWEEN_WORDS, " "), " "), stop_words)
+    return _without(F.regexp_extract_all(no_urls, F.lit(KEPT_WORD), F.lit(0)), stop_words)
 
 
 def clean_text(text: Column, stop_words: Sequence[str]) -> Column:

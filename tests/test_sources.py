@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.plans import corpus
 from tagloom.schema import CORRUPT_COLUMN
 from tagloom.shared import new_path, shared_folder
 from tagloom.sources import readers, writers
@@ -67,10 +68,12 @@ def test_json_rows_and_brackets(spark):
     )
 
 
-def test_documents_sink(spark, tmp_path):
-    path = str(tmp_path / "docs")
-    writers.write_documents(spark.createDataFrame([("a.html", "x")], "file string, text string"), path)
-    assert spark.read.parquet(path).count() == 1
+def test_clean_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text("<p>The Cats\nran 12 miles</p>")
+    target = str(tmp_path / "out")
+    corpus.clean_folder(spark, str(tmp_path / "in"), target)
+    assert [tuple(row) for row in spark.read.parquet(target).collect()] == [("a.html", "cats ran miles")]
 
 
 def test_small_table_is_spread_and_large_is_not(spark, sf_dir):
