@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagloom.functions import stopwords
 from tagloom.functions.lemma import lemmas
 from tagloom.functions.patterns import ALLOWED_CHARACTERS, CLEANING_ORDER, KEPT_WORD, PATTERNS
 
 
 def default_stop_words() -> list[str]:
     """Spark's English stop-word list (about 180 words)."""
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+    return list(stopwords.ENGLISH)
 
 
 def remove_pattern(text: Column, flag: str) -> Column:

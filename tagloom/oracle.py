@@ -6,26 +6,11 @@ the step-by-step form, the classifier joins terms and classes outright.
 
 from __future__ import annotations
 
-import os
-import zipfile
-from glob import glob
-
-import pyspark
+from tagloom.functions.stopwords import ENGLISH
 
 TOP_K = 3
 
-
-def _stop_words() -> list[str]:
-    """Spark's English list, read from the installed library without starting a session."""
-    home = os.path.dirname(pyspark.__file__)
-    for jar in glob(os.path.join(home, "jars", "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as archive:
-            lines = archive.read("org/apache/spark/ml/feature/stopwords/english.txt")
-        return [word for word in lines.decode().split("\n") if word]
-    raise FileNotFoundError("no spark-mllib jar beside pyspark")
-
-
-STOP_LIST = ", ".join("'" + word.replace("'", "''") + "'" for word in _stop_words())
+STOP_LIST = ", ".join("'" + word.replace("'", "''") + "'" for word in ENGLISH)
 
 # Fixed values. The six patterns in cleaning order (the doubled boundary written once).
 STEPS = (
