@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tagloom.catalog import QUERIES
+from tagloom.oracle import ORACLE_SQL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,17 +24,17 @@ def con(sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLE_SQL) == {
         "hashed_features", "hashed_nb_predict", "ovr_logreg_predict"
     }
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, con, sf_dir, name):
-    df = contract.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     ours = sorted(repr(tuple(row[c] for c in columns)) for row in df.collect())
-    result = con.sql(contract.oracle_sql()[name])
+    result = con.sql(ORACLE_SQL[name])
     places = [result.columns.index(c) for c in columns]
     assert len(result.columns) == len(columns)
     theirs = sorted(repr(tuple(row[i] for i in places)) for row in result.fetchall())
