@@ -4,9 +4,9 @@ Every document posts itself under its coordinate-value pairs. Two signatures tha
 least ``MATCHES`` of ``COORDINATES`` places share one of their ``PREFIX`` first pairs in any
 common order (prefix rule). The order puts pairs that many documents hold last, so their long
 lists are skipped for all but the documents that consist of such pairs. Exact copies of a shingle
-set are one node. Nodes first meet the node of the smallest id under their pairs, which
-joins a group of copies by one link each; then lists that still hold several components
-are merged block by block, counting equal coordinates. Links are confirmed on full sets.
+set are one node. In a few rounds every node meets the leading node it collides with most
+often, which joins a group of copies by about one link each; then lists that still hold several
+components are merged block by block, counting equal coordinates. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ COORDINATES = 64
 # A pair of similarity 0.75 agrees in fewer places with a probability of 6e-6.
 MATCHES = 32
 PREFIX = COORDINATES - MATCHES + 1
+# More coordinates, kept to 8 bits, narrow down the pairs that lists propose: of all 256, one
+# pair of similarity 0.75 in about a million agrees in fewer places.
+CHECKED = 192
+MATCHES_OF_ALL = 160
+# Rounds in which nodes meet leading nodes.
+ROUNDS = 3
 # A pair held by one in so many nodes is hot: at most COORDINATES * HOT_SHARE pairs are.
 HOT_SHARE = 4096
 HOT_LEAST = 32
@@ -43,15 +50,26 @@ def shingles(words: texts.Words, hashes: np.ndarray, row: int) -> np.ndarray:
     return np.unique(texts.runs_hashes(hashes[a:b], min(SHINGLE_WORDS, b - a)))
 
 
-def minhash(items: np.ndarray) -> np.ndarray:
-    """The smallest value of every hash function over all items, as 32 bits."""
-    factors = texts.constants(COORDINATES, 11)
-    offsets = texts.constants(COORDINATES, 12)
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(items), 2048):
-        part = items[start : start + 2048, None] * factors + offsets
+def minhash(items: np.ndarray) -> bytes:
+    """The smallest value of every hash function over all items; the checked ones cut to a byte."""
+    n = COORDINATES + CHECKED
+    factors = texts.constants(n, 11).astype(np.uint32)
+    offsets = texts.constants(n, 12).astype(np.uint32)
+    low = items.astype(np.uint32)
+    least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for start in range(0, len(low), 256):
+        part = low[start : start + 256, None] * factors + offsets
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    checked = (least[COORDINATES:] >> np.uint32(3)).astype(np.uint8)
+    return least[:COORDINATES].tobytes() + checked.tobytes()
+
+
+def values_of(signatures: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Posted and checked coordinates, one row per signature."""
+    width = COORDINATES * 4 + CHECKED
+    raw = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, width)
+    posted = np.ascontiguousarray(raw[:, : COORDINATES * 4]).view(np.uint32)
+    return posted, raw[:, COORDINATES * 4 :]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +83,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(items):
                 sums = [texts.mix(items, seed).sum(dtype=np.uint64) for seed in (21, 22)]
                 keys.append(np.array(sums, np.uint64).tobytes())
-                signatures.append(minhash(items).tobytes())
+                signatures.append(minhash(items))
             else:
                 keys.append(None)
                 signatures.append(None)
@@ -80,17 +98,29 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pairs_of(signatures: pa.Array) -> np.ndarray:
-    """``(rows, COORDINATES)`` 64-bit names of the coordinate-value pairs."""
-    values = np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+def pairs_of(posted: np.ndarray) -> np.ndarray:
+    """64-bit names of the coordinate-value pairs."""
     place = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
-    return texts.mix(values.astype(np.uint64) | place, 31)
+    return texts.mix(posted.astype(np.uint64) | place, 31)
+
+
+def prefix_pairs(posted: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The names at coordinates that belong to the prefix, 0 at the others."""
+    pairs = pairs_of(posted)
+    held = np.zeros(pairs.shape, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
+        held = np.where(hot[at] == pairs, counts[at], 0)
+    # Rarest first, among equals by name: one order for all documents.
+    order = np.lexsort((pairs, held), axis=1)[:, PREFIX:]
+    np.put_along_axis(pairs, order, np.uint64(0), axis=1)
+    return pairs
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            pair, n = np.unique(pairs_of(batch.column("signature")), return_counts=True)
+            pair, n = np.unique(pairs_of(values_of(batch.column("signature"))[0]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"]
             )
@@ -106,26 +136,17 @@ def hot_pairs(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pair[order], hot.column("n").to_numpy()[order]
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(hot_pairs(nodes))
-
+def _postings(nodes: DataFrame, hot: Broadcast) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pairs = np.sort(pairs_of(batch.column("signature")), axis=1)
-            held = np.zeros(pairs.shape, np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
-                held = np.where(hot[at] == pairs, counts[at], 0)
-            order = np.argsort(held, axis=1, kind="stable")[:, :PREFIX]
-            first = np.take_along_axis(pairs, order, axis=1)
+            first = prefix_pairs(values_of(batch.column("signature"))[0], *hot.value)
+            row, place = np.nonzero(first)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(first.ravel().view(np.int64)),
-                    pa.array(np.repeat(batch.column("node").to_numpy(), PREFIX)),
+                    pa.array(first[row, place].view(np.int64)),
+                    pa.array(batch.column("node").to_numpy()[row]),
                 ],
                 names=["pair", "node"],
             )
@@ -169,38 +190,84 @@ def confirmed(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with enough equal coordinates, from whole block pairs."""
-    for table, bounds in tables.whole_groups(batches, ["pair", "block_a", "block_b"], 1 << 14):
-        nodes, parts, sides, sizes = (
-            table.column(c).to_numpy() for c in ("node", "component", "side", "n_shingles")
-        )
-        one = table.column("block_a").to_numpy() == table.column("block_b").to_numpy()
-        values = np.frombuffer(
-            b"".join(table.column("signature").to_pylist()), np.uint32
-        ).reshape(-1, COORDINATES)
-        found_a, found_b = [], []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            part = parts[a:b]
-            if b - a < 2 or (part == part[0]).all():
-                continue
-            left = np.arange(a, b) if one[a] else a + np.flatnonzero(sides[a:b] == 0)
-            right = left if one[a] else a + np.flatnonzero(sides[a:b] == 1)
-            for i in left:
-                to = right[(parts[right] != parts[i]) & (nodes[right] != nodes[i])]
-                to = to[to > i] if one[a] else to
-                close = 100 * np.minimum(sizes[to], sizes[i]) >= 75 * np.maximum(sizes[to], sizes[i])
-                to = to[close]
-                to = to[(values[to] == values[i]).sum(axis=1) >= MATCHES]
-                if len(to):
-                    found_a.append(np.full(len(to), nodes[i]))
-                    found_b.append(nodes[to])
-        if found_a:
-            x, y = np.concatenate(found_a), np.concatenate(found_b)
+def _colliding(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of rows that agree in at least MATCHES places."""
+    if len(left) * len(right) <= 4096:
+        equal = (left[:, None, :] == right[None, :, :]).sum(axis=2)
+    else:
+        equal = np.zeros((len(left), len(right)), np.uint8)
+        for place in range(COORDINATES):
+            equal += left[:, None, place] == right[None, :, place]
+    return np.nonzero(equal >= MATCHES)
+
+
+def _merge(rows: DataFrame, hot: Broadcast) -> DataFrame:
+    """Pairs of different components with enough equal coordinates, from whole block pairs.
+
+    A pair of nodes is named under the least of the pairs that both have in their prefix, so
+    it comes out once, whatever number of lists they share.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in tables.whole_groups(batches, ["pair", "block_a", "block_b"], 1 << 13):
+            pair, nodes, parts, sides, sizes, block_a, block_b = (
+                table.column(c).to_numpy()
+                for c in ("pair", "node", "component", "side", "n_shingles", "block_a", "block_b")
+            )
+            posted, checked = values_of(table.column("signature"))
+            first = prefix_pairs(posted, *hot.value)
+            found_a, found_b = [nodes[:0]], [nodes[:0]]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a < 2 or (parts[a:b] == parts[a]).all():
+                    continue
+                one, name = block_a[a] == block_b[a], pair[a : a + 1].view(np.uint64)[0]
+                left = np.arange(a, b) if one else a + np.flatnonzero(sides[a:b] == 0)
+                right = left if one else a + np.flatnonzero(sides[a:b] == 1)
+                x, y = _colliding(posted[left], posted[right])
+                x, y = left[x], right[y]
+                rest = (parts[x] != parts[y]) & (nodes[x] != nodes[y]) & ((not one) | (x < y))
+                rest &= 100 * np.minimum(sizes[x], sizes[y]) >= 75 * np.maximum(sizes[x], sizes[y])
+                x, y = x[rest], y[rest]
+                for start in range(0, len(x), 1 << 13):
+                    i, j = x[start : start + (1 << 13)], y[start : start + (1 << 13)]
+                    equal = (posted[i] == posted[j]).sum(axis=1)
+                    equal += (checked[i] == checked[j]).sum(axis=1)
+                    common = np.where(first[i] == first[j], first[i], np.uint64(0)) - np.uint64(1)
+                    named = common.min(axis=1) == name - np.uint64(1)
+                    i, j = (z[named & (equal >= MATCHES_OF_ALL)] for z in (i, j))
+                    found_a.append(np.maximum(nodes[i], nodes[j]))
+                    found_b.append(np.minimum(nodes[i], nodes[j]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"]
+                [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))],
+                names=["a", "b"],
             )
 
+    return rows.mapInArrow(merge, "a long, b long")
+
+
+def _stars(shared: DataFrame, parts: DataFrame | None, seed: int) -> DataFrame:
+    """``(a, b)``: each node and the leading node of another component it collides with most.
+
+    Every list is led by its node that comes first in an order which all lists share.
+    """
+    placed = _placed(shared, parts)
+    first = F.struct(F.xxhash64("node", F.lit(seed)).alias("rank"), "node", "component")
+    leads = placed.groupBy("pair").agg(F.min(first).alias("lead"))
+    met = placed.join(leads, "pair").where(F.col("lead.component") != F.col("component"))
+    counts = met.groupBy("node", F.col("lead.node").alias("lead")).count()
+    best = counts.groupBy(F.col("node").alias("a")).agg(
+        F.max(F.struct("count", "lead")).alias("best")
+    )
+    return best.select("a", F.col("best.lead").alias("b"))
+
+
+def _placed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    if parts is None:
+        return shared.withColumn("component", F.col("node"))
+    return shared.join(parts, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs(doc_id, text)``.
@@ -222,25 +289,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "nodes",
     )
     named = nodes.where(F.col("node").isNotNull())
-    postings = materialize(_postings(named), "postings")
-    lists = materialize(
-        postings.groupBy("pair")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
-        .where(F.col("size") > 1),
-        "lists",
-    )
+    hot = docs.sparkSession.sparkContext.broadcast(hot_pairs(named))
+    postings = materialize(_postings(named, hot), "postings")
+    lists = postings.groupBy("pair").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     shared = materialize(postings.join(lists, "pair"), "shared-postings")
-    stars = shared.where(F.col("node") != F.col("lead")).groupBy("node", "lead").count()
-    best = stars.groupBy(F.col("node").alias("a")).agg(
-        F.max(F.struct("count", -F.col("lead"))).alias("best")
-    )
-    star_links = materialize(
-        confirmed(best.select("a", (-F.col("best.col2")).alias("b")), docs), "star-links"
-    )
-    parts = graph.components(star_links)
-    placed = shared.join(parts, "node", "left").select(
-        "pair", "node", "size", F.coalesce("component", "node").alias("component")
-    )
+    links, parts = None, None
+    for seed in range(ROUNDS):
+        found = materialize(confirmed(_stars(shared, parts, seed), docs), "star-links")
+        links = found if links is None else links.union(found)
+        parts = graph.components(links)
+    placed = _placed(shared, parts)
     mixed = (
         placed.groupBy("pair")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -251,12 +309,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.select("node", "n_shingles", "signature"), "node"
     )
     blocks = tables.block_pairs(rows, "size", F.xxhash64("node"), BLOCK)
-    candidates = (
-        tables.sorted_by(blocks, ["pair", "block_a", "block_b"])
-        .mapInArrow(_merge, "a long, b long")
-        .distinct()
-    )
-    links = star_links.union(confirmed(candidates, docs))
+    candidates = _merge(tables.sorted_by(blocks, ["pair", "block_a", "block_b"]), hot)
+    links = links.union(confirmed(candidates, docs))
     with_set = signed.where(F.col("set_key").isNotNull()).select("doc_id", "n_shingles", "set_key")
     found = with_set.join(nodes.select("set_key", "node"), "set_key").join(
         graph.components(links), "node", "left"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import minhash
+from tagloom.llm import balancing, decontamination, minhash, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document leaks."""
+    return decontamination.leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return balancing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.toxicity(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES: dict[str, Query] = {
-    "op4_minhash": op4_minhash,
+    query.__name__: query
+    for query in (op1_pii, op3_decontamination, op4_minhash, op7_balancing, op9_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
