@@ -10,6 +10,8 @@ add up, and the copies of equal sizes go to the documents with the first hashes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,24 +125,39 @@ def tilts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: every document as often as it is taken, ``copy`` counted from 1.
+
+    All columns of ``docs`` are kept but those that are named like a column of ``mixed``.
+    """
+    made = {"size", "source_size", "target", "taken", "copies", "copy", "source_key", "rank", "part",
+            "place", "n", "group_n", "group_copies", "offset"}
+    carry = [c for c in docs.columns if c not in made and c != "doc_id"]
+    taken = mixed(docs, carry)
+    copies = taken.where(F.col("copies") > 0).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    )
+    return copies.select("doc_id", *carry, "size", "source_size", "target", "copy")
+
+
+def mixed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     A null text has size 0 and is taken with 0 words; a null source is a source of its own, the
     last. Repeated rows are documents of their own; with a null or repeated doc_id only the hash of
     all its columns tells rows apart, and equal rows share copies in any order. An empty
-    table gives an empty one. Columns of ``docs`` other than doc_id, text and source are not kept.
+    table gives an empty one. Of the other columns of ``docs`` those in ``carry`` are kept.
     """
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    rows = materialize(
-        docs.select(
-            "doc_id",
-            key.alias("source_key"),
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64("doc_id", "text").alias("rank"),
-        ).withColumn("part", F.pmod(F.col("rank"), F.lit(PARTS)).cast("int")),
-        "mix-sizes",
-    )
+    rows = docs.select(
+        "doc_id",
+        *carry,
+        key.alias("source_key"),
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64("doc_id", "text").alias("rank"),
+    ).withColumn("part", F.pmod(F.col("rank"), F.lit(PARTS)).cast("int"))
+    if not carry:
+        rows = materialize(rows, "mix-sizes")
     parts = materialize(
         rows.groupBy("source_key", "size", "part").agg(F.count(F.lit(1)).alias("n")), "mix-parts"
     )
@@ -177,6 +194,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     own = base + (F.col("offset") + F.col("place") <= extra).cast("long")
     return placed.join(targets, "source_key").select(
         "doc_id",
+        *carry,
         "size",
         "source_size",
         "target",

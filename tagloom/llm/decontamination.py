@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm import texts
+from tagloom.llm import tables, texts
+from tagloom.shared import materialize
 
 EDITS = 0.2
 WALKS = 12
@@ -259,3 +260,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with all columns, without the documents that leak an item."""
+    found = leaks(docs, benchmark).where(F.col("doc_id").isNotNull())
+    ids = materialize(found.select("doc_id").distinct(), "leaking")
+    return tables.join_by_id(docs, ids, "doc_id", "left_anti")

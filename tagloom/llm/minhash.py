@@ -322,3 +322,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return linked.union(alone).withColumn("kept", kept)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns, one document of each class: that of the smallest doc_id.
+
+    Rows that share a doc_id are one document and stay or go together; those without stay.
+    """
+    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    ids = materialize(gone.select("doc_id").distinct(), "copies")
+    return tables.join_by_id(docs, ids, "doc_id", "left_anti")

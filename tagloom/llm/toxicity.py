@@ -169,6 +169,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(features, learnt.column("toxic").to_numpy().astype(float))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with all columns, without the rows that score the threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts.chunks(batches):
+            scores = shared.value.scores(*hashed_terms(batch.column("text")))
+            yield batch.filter(pa.array(scores < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text)``.
 
