@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import balancing, decontamination, minhash, pii, toxicity
+from tagloom.llm import balancing, bytewindows, decontamination, minhash, pii, toxicity, wordwindows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in no repeated window."""
+    return wordwindows.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return balancing.mixed(_table(spark, sf_dir, "documents"))
@@ -44,9 +49,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that lie in no string seen earlier."""
+    return bytewindows.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op1_pii, op3_decontamination, op4_minhash, op7_balancing, op9_toxicity)
+    for query in (
+        op1_pii, op3_decontamination, op4_minhash, op5_superkmers, op7_balancing, op9_toxicity, op10_bwt
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
