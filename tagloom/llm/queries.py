@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import balancing, bytewindows, decontamination, minhash, pii, toxicity, wordwindows
+from tagloom.llm import (
+    balancing,
+    bytewindows,
+    decontamination,
+    lattice,
+    mainhtml,
+    minhash,
+    pii,
+    toxicity,
+    wordwindows,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +30,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors of equal label."""
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document leaks."""
     return decontamination.leaks(
@@ -42,6 +57,11 @@ def op7_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balancing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op8_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return mainhtml.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity(
@@ -57,7 +77,15 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        op1_pii, op3_decontamination, op4_minhash, op5_superkmers, op7_balancing, op9_toxicity, op10_bwt
+        op1_pii,
+        op2_lattice,
+        op3_decontamination,
+        op4_minhash,
+        op5_superkmers,
+        op7_balancing,
+        op8_mainhtml,
+        op9_toxicity,
+        op10_bwt,
     )
 }
 
