@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import (
     balancing,
+    bilinear,
     bytewindows,
     decontamination,
     lattice,
@@ -52,6 +53,11 @@ def op5_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordwindows.without_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents."""
+    return bilinear.scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return balancing.mixed(_table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op3_decontamination,
         op4_minhash,
         op5_superkmers,
+        op6_bilinear,
         op7_balancing,
         op8_mainhtml,
         op9_toxicity,
