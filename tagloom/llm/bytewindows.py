@@ -20,7 +20,7 @@ from tagloom.llm import bwt, superkmers, tables, texts
 from tagloom.shared import materialize
 
 WINDOW = 100
-GRAM = 24
+GRAM = 40
 KIND = superkmers.Kind(WINDOW, GRAM, superkmers.byte_units)
 # Bytes of strings that are transformed together.
 SHARD_BYTES = 1 << 18
@@ -144,7 +144,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
         .dropDuplicates(["k1", "k2"])
     )
-    return scanned.drop("minimisers").join(cut, ["k1", "k2"], "left").select(
+    return scanned.drop("minimisers", "times").join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         F.col("n_units").alias("n_bytes"),
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),

@@ -105,27 +105,32 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def scan(keyed: DataFrame, kind: Kind, digest: Callable[[bytes], str]) -> DataFrame:
-    """``(doc_id, k1, k2, n_units, whole_sha256, minimisers)``, one row per document row."""
+    """Size, digest, and distinct minimisers with their super-k-mers of every document row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.chunks(batches):
             units = kind.split(batch.column("text"), kind.gram)
             runs = [runs_of(units, kind, row) for row in range(batch.num_rows)]
             # One that may hold a window twice counts twice.
-            found = [np.concatenate([r[0], r[0][r[3]]]) for r in runs]
-            ends = np.cumsum([0, *[len(f) for f in found]])
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            found = [np.unique(np.concatenate([r[0], r[0][r[3]]]), return_counts=True) for r in runs]
+            ends = np.cumsum([0, *[len(f) for f, _ in found]])
+            flat = np.concatenate([np.zeros(0, np.uint64), *[f for f, _ in found]]).view(np.int64)
+            times = np.concatenate([np.zeros(0, np.int64), *[n for _, n in found]])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("doc_id", "k1", "k2")],
                     pa.array(np.diff(units.first).astype(np.int64)),
                     pa.array([digest(units.whole(row)) for row in range(batch.num_rows)], pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32())),
                 ],
-                names=["doc_id", "k1", "k2", "n_units", "whole_sha256", "minimisers"],
+                names=["doc_id", "k1", "k2", "n_units", "whole_sha256", "minimisers", "times"],
             )
 
-    schema = "doc_id long, k1 long, k2 long, n_units long, whole_sha256 string, minimisers array<long>"
+    schema = (
+        "doc_id long, k1 long, k2 long, n_units long, whole_sha256 string, "
+        "minimisers array<long>, times array<int>"
+    )
     return materialize(keyed.mapInArrow(read, schema), "scanned")
 
 
@@ -142,13 +147,14 @@ def restricted(keyed: DataFrame, per_row: DataFrame) -> DataFrame:
 
 def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
     """``(minimiser, part, packed, k1, k2, doc_id, start, windows)`` that may hold repeated windows."""
-    posted = scanned.select("k1", "k2", F.explode("minimisers").alias("minimiser"))
-    counts = posted.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = posted.distinct().join(counts, "minimiser")
+    posted = scanned.select("k1", "k2", F.inline(F.arrays_zip("minimisers", "times")).alias("minimiser", "times"))
+    counts = posted.groupBy("minimiser").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
+    # Equal rows post alike; the sets below take them once.
+    shared = posted.select("k1", "k2", "minimiser").join(counts, "minimiser")
     per_row = materialize(
         shared.groupBy("k1", "k2").agg(
-            F.collect_list(F.when(F.col("n") <= HOT, F.col("minimiser"))).alias("cool"),
-            F.collect_list(F.when(F.col("n") > HOT, F.col("minimiser"))).alias("hot"),
+            F.collect_set(F.when(F.col("n") <= HOT, F.col("minimiser"))).alias("cool"),
+            F.collect_set(F.when(F.col("n") > HOT, F.col("minimiser"))).alias("hot"),
         ),
         "repeated-minimisers",
     )

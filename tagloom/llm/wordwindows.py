@@ -120,7 +120,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut, "k1 long, k2 long, n_removed long, kept_sha256 string")
         .dropDuplicates(["k1", "k2"])
     )
-    return scanned.drop("minimisers").join(cut, ["k1", "k2"], "left").select(
+    return scanned.drop("minimisers", "times").join(cut, ["k1", "k2"], "left").select(
         "doc_id",
         F.col("n_units").alias("n_words"),
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
