@@ -22,8 +22,6 @@ from tagloom.shared import materialize
 WINDOW = 100
 GRAM = 40
 KIND = superkmers.Kind(WINDOW, GRAM, superkmers.byte_units)
-# Bytes of strings that are transformed together.
-SHARD_BYTES = 1 << 18
 LAST = (1 << 63) - 1
 
 
@@ -33,7 +31,7 @@ def _sha(data: bytes) -> str:
 
 def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every distinct string the windows that start earlier in another string."""
-    for table, bounds in tables.whole_groups(batches, ["minimiser", "part"], 1 << 11):
+    for table, bounds in tables.whole_groups(batches, ["minimiser"], 1 << 11):
         sizes = np.diff(bounds)
         # A string that is alone in its bucket repeats nothing but itself.
         twice = table.column("twice").to_numpy() > 0
@@ -63,6 +61,39 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in texts.chunks(batches, "packed"):
+        data, offsets = texts.utf8(batch.column("packed"))
+        half = texts.byte_runs_hashes(data, WINDOW // 2)
+        n = np.diff(offsets) - WINDOW + 1
+        row = np.repeat(np.arange(batch.num_rows), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = offsets[row] + place
+        start = batch.column("first_start").to_numpy()[row] + place
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c).take(pa.array(row)) for c in ("minimiser", "string_id", "first_doc")],
+                pa.array(start, pa.int64()),
+                pa.array(place, pa.int32()),
+                pa.array(half[at].view(np.int64)),
+                pa.array(half[at + WINDOW // 2].view(np.int64)),
+            ],
+            names=["minimiser", "string_id", "first_doc", "first_start", "place", "w1", "w2"],
+        )
+
+
+def _hot_masks(strings: DataFrame) -> DataFrame:
+    """The masks of strings with hot minimisers: windows combined by name before the exchange."""
+    schema = (
+        "minimiser long, string_id long, first_doc long, first_start long, place int, w1 long, w2 long"
+    )
+    rows = strings.select("minimiser", "string_id", "first_doc", "first_start", "packed")
+    windows = materialize(rows.mapInArrow(_name, schema), "hot-windows")
+    here = F.struct("first_doc", "first_start")
+    least = windows.groupBy("w1", "w2").agg(F.min(here).alias("least"))
+    return superkmers.masks_of(windows.join(least, ["w1", "w2"]).where(here > F.col("least")))
+
+
 def removed_runs(n: int, starts: list[int], masks: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the masks' windows cover."""
     edges = np.zeros(n + 1, np.int64)
@@ -110,21 +141,27 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = superkmers.with_keys(docs)
     scanned = superkmers.scan(keyed, KIND, _sha)
     runs = superkmers.emitted(keyed, scanned, KIND).select(
-        "minimiser", "part", "packed", "k1", "k2", "start", "windows", "twice",
+        "minimiser", "packed", "string_id", "k1", "k2", "start", "windows", "twice",
         F.coalesce("doc_id", F.lit(LAST)).alias("doc"),
-        F.xxhash64("packed").alias("string_id"),
     )
     first = F.min(F.struct("doc", "start"))
-    strings = runs.groupBy("minimiser", "part", "packed").agg(
-        first.alias("first"), F.first("string_id").alias("string_id"), F.max("twice").alias("twice")
-    )
-    strings = strings.select(
-        "minimiser", "part", "packed", "string_id", "twice",
-        F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"),
+    cool, hot = (
+        part.groupBy("minimiser", "packed")
+        .agg(
+            first.alias("first"),
+            F.first("string_id").alias("string_id"),
+            F.max("twice").alias("twice"),
+        )
+        .select(
+            "minimiser", "packed", "string_id", "twice",
+            F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"),
+        )
+        for part in superkmers.split_hot(runs)
     )
-    masks = tables.sorted_by(strings, ["minimiser", "part"], ["string_id"]).mapInArrow(
+    earlier = tables.sorted_by(cool, ["minimiser"], ["string_id"]).mapInArrow(
         _earlier, "minimiser long, string_id long, mask long"
     )
+    masks = earlier.unionByName(_hot_masks(hot))
     leads = runs.groupBy("minimiser", "string_id").agg(first.alias("first"))
     known = materialize(
         leads.join(masks, ["minimiser", "string_id"], "left"), "earlier-windows"

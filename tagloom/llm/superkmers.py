@@ -3,8 +3,9 @@
 A window is ``window`` consecutive units (words or bytes); its minimiser is the least hash of the
 ``gram``-unit runs in it, so equal windows have equal minimisers. Only minimisers of two or more
 super-k-mers can belong to a repeated window. They are counted first, and only super-k-mers
-with such a minimiser travel to their bucket. Minimisers of very many super-k-mers would make
-a hot bucket: their super-k-mers are cut into single windows, dealt by a hash of the window.
+with such a minimiser travel to their bucket, equal ones combined before the exchange. A minimiser of
+very many different super-k-mers would make a hot bucket: these are cut into windows, which are
+combined by name instead.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import tables, texts
 from tagloom.shared import materialize
 
-# Super-k-mers of one minimiser beyond which they are cut into windows.
+# Different super-k-mers of one minimiser beyond which they are cut into windows.
 HOT = 2_000
 # Windows of a super-k-mer at most: one bit each in a 64-bit mask.
 MOST_WINDOWS = 60
@@ -146,16 +147,13 @@ def restricted(keyed: DataFrame, per_row: DataFrame) -> DataFrame:
 
 
 def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
-    """``(minimiser, part, packed, k1, k2, doc_id, start, windows)`` that may hold repeated windows."""
+    """All super-k-mers whose minimiser occurs again: where they start, their windows and text."""
     posted = scanned.select("k1", "k2", F.inline(F.arrays_zip("minimisers", "times")).alias("minimiser", "times"))
     counts = posted.groupBy("minimiser").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
     # Equal rows post alike; the sets below take them once.
-    shared = posted.select("k1", "k2", "minimiser").join(counts, "minimiser")
+    shared = posted.select("k1", "k2", "minimiser").join(counts.select("minimiser"), "minimiser")
     per_row = materialize(
-        shared.groupBy("k1", "k2").agg(
-            F.collect_set(F.when(F.col("n") <= HOT, F.col("minimiser"))).alias("cool"),
-            F.collect_set(F.when(F.col("n") > HOT, F.col("minimiser"))).alias("hot"),
-        ),
+        shared.groupBy("k1", "k2").agg(F.collect_set("minimiser").alias("repeated")),
         "repeated-minimisers",
     )
 
@@ -167,35 +165,42 @@ def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
             for row in range(batch.num_rows):
                 a = int(units.first[row])
                 least, starts, lengths, twice = runs_of(units, kind, row)
-                cool, hot = (
-                    batch.column(c)[row].values.to_numpy().view(np.uint64) for c in ("cool", "hot")
-                )
-                for i in np.flatnonzero(np.isin(least, cool)).tolist():
+                repeated = batch.column("repeated")[row].values.to_numpy().view(np.uint64)
+                for i in np.flatnonzero(np.isin(least, repeated)).tolist():
                     s, n = int(starts[i]), int(lengths[i])
                     packed.append(units.pack(a + s, a + s + n + kind.window - 1))
-                    rows.append((int(least[i]), 0, k1[row], k2[row], ids[row], s, n, int(twice[i])))
-                for i in np.flatnonzero(np.isin(least, hot)).tolist():
-                    for s in range(int(starts[i]), int(starts[i] + lengths[i])):
-                        packed.append(units.pack(a + s, a + s + kind.window))
-                        rows.append((int(least[i]), 1, k1[row], k2[row], ids[row], s, 1, 0))
+                    rows.append((int(least[i]), k1[row], k2[row], ids[row], s, n, int(twice[i])))
             if rows:
-                m, hot_, *rest = zip(*rows, strict=True)
+                m, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.array(m, np.uint64).view(np.int64)),
-                        pa.array(hot_, pa.int32()),
                         *[pa.array(c, pa.int64()) for c in rest],
                         pa.array(packed, pa.binary()),
                     ],
-                    names=["minimiser", "is_hot", "k1", "k2", "doc_id", "start", "windows", "twice", "packed"],
+                    names=["minimiser", "k1", "k2", "doc_id", "start", "windows", "twice", "packed"],
                 )
 
     schema = (
-        "minimiser long, is_hot int, k1 long, k2 long, doc_id long, start long, windows long, "
+        "minimiser long, k1 long, k2 long, doc_id long, start long, windows long, "
         "twice long, packed binary"
     )
-    packed = restricted(keyed, per_row).select("text", "k1", "k2", "doc_id", "cool", "hot")
-    out = packed.mapInArrow(pack, schema)
-    # Windows of a hot minimiser are dealt by their content; others keep to their minimiser.
-    part = F.when(F.col("is_hot") == 1, F.xxhash64("packed")).otherwise(F.lit(0).cast("long"))
-    return materialize(out.withColumn("part", part).drop("is_hot"), "super-k-mers")
+    packed = restricted(keyed, per_row).select("text", "k1", "k2", "doc_id", "repeated")
+    out = packed.mapInArrow(pack, schema).withColumn("string_id", F.xxhash64("packed"))
+    return materialize(out, "super-k-mers")
+
+
+def split_hot(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Super-k-mers of minimisers with at most ``HOT`` different ones, and the others."""
+    different = runs.select("minimiser", "string_id").distinct().groupBy("minimiser").count()
+    hot = materialize(different.where(F.col("count") > HOT).select("minimiser"), "hot-minimisers")
+    return (
+        tables.join_by_id(runs, hot, "minimiser", "left_anti"),
+        tables.join_by_id(runs, hot, "minimiser", "left_semi"),
+    )
+
+
+def masks_of(windows: DataFrame) -> DataFrame:
+    """``(minimiser, string_id, mask)`` from rows that name single windows by ``place``."""
+    bit = F.expr("shiftleft(1L, place)")
+    return windows.groupBy("minimiser", "string_id").agg(F.bit_or(bit).alias("mask"))

@@ -70,9 +70,18 @@ def chunks(
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(bytes, offsets)`` of a string column; a null is an empty text."""
+    """``(bytes, offsets)`` of a string or binary column; a null is an empty text."""
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
+        column = column.fill_null(b"") if column.null_count else column
+        _, offsets, data = column.buffers()
+        return _bytes(column, offsets, data)
     column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
     _, offsets, data = column.buffers()
+    return _bytes(column, offsets, data)
+
+
+def _bytes(column: pa.Array, offsets: pa.Buffer, data: pa.Buffer | None) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

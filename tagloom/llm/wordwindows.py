@@ -34,7 +34,7 @@ def window_names(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A mask of repeated windows for every distinct string; buckets stand together, sorted."""
-    for table, _ in tables.whole_groups(batches, ["minimiser", "part"], 1 << 12):
+    for table, _ in tables.whole_groups(batches, ["minimiser"], 1 << 12):
         names, row = window_names(table.column("packed").combine_chunks())
         copies = table.column("copies").to_numpy()
         order = np.lexsort((names[:, 1], names[:, 0]))
@@ -58,6 +58,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = hit[batch.num_rows :]
 
 
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in texts.chunks(batches, "packed"):
+        names, row = window_names(batch.column("packed"))
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c).take(at) for c in ("minimiser", "string_id", "copies")],
+                pa.array(place, pa.int32()),
+                *[pa.array(names[:, k].view(np.int64)) for k in (0, 1)],
+            ],
+            names=["minimiser", "string_id", "copies", "place", "w1", "w2"],
+        )
+
+
+def _hot_masks(strings: DataFrame) -> DataFrame:
+    """The masks of strings with hot minimisers: windows combined by name before the exchange."""
+    schema = "minimiser long, string_id long, copies long, place int, w1 long, w2 long"
+    windows = materialize(strings.mapInArrow(_name, schema), "hot-windows")
+    total = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where(F.col("n") > 1)
+    return superkmers.masks_of(windows.join(total, ["w1", "w2"]))
+
+
 def covered(n: int, starts: list[int], masks: list[int]) -> np.ndarray:
     """Which of ``n`` words lie in a window named by the masks."""
     edges = np.zeros(n + 1, np.int64)
@@ -98,16 +121,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = superkmers.with_keys(docs)
     scanned = superkmers.scan(keyed, KIND, _sha)
-    runs = superkmers.emitted(keyed, scanned, KIND).withColumn("string_id", F.xxhash64("packed"))
-    strings = runs.groupBy("minimiser", "part", "packed").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("string_id").alias("string_id")
+    runs = superkmers.emitted(keyed, scanned, KIND)
+    cool, hot = (
+        part.groupBy("minimiser", "packed").agg(
+            F.count(F.lit(1)).alias("copies"), F.first("string_id").alias("string_id")
+        )
+        for part in superkmers.split_hot(runs)
     )
-    masks = materialize(
-        tables.sorted_by(strings, ["minimiser", "part"]).mapInArrow(
-            _count, "minimiser long, string_id long, mask long"
-        ),
-        "window-masks",
+    counted = tables.sorted_by(cool, ["minimiser"]).mapInArrow(
+        _count, "minimiser long, string_id long, mask long"
     )
+    masks = materialize(counted.unionByName(_hot_masks(hot)), "window-masks")
     found = (
         runs.select("minimiser", "string_id", "k1", "k2", "start")
         .join(masks, ["minimiser", "string_id"])
