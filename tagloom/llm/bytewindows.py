@@ -20,7 +20,8 @@ from tagloom.llm import bwt, superkmers, tables, texts
 from tagloom.shared import materialize
 
 WINDOW = 100
-GRAM = 40
+# With 60 places for a gram in a window, an ordinary super-k-mer is not cut at MOST_WINDOWS.
+GRAM = 41
 KIND = superkmers.Kind(WINDOW, GRAM, superkmers.byte_units)
 LAST = (1 << 63) - 1
 
