@@ -2,9 +2,9 @@
 
 The strings of a shard, each ended by a terminator, form one cyclic text. Its rows are the
 rotations in order. Two shards are merged without sorting suffixes again: an interleave says
-which shard each merged row comes from; taking the rows' preceding symbols in interleave order
-and dealing them stably by symbol gives the interleave that is right for one symbol more. Rows that
-still agree after k rounds share a prefix of k symbols, so the rounds also yield common prefixes.
+which shard each merged row comes from; taking the two symbols before each row in interleave order
+and dealing the rows stably by them gives the interleave that is right for two symbols more. Rows
+that still agree after k rounds share a prefix of 2k symbols: the rounds also yield common prefixes.
 """
 
 from __future__ import annotations
@@ -16,15 +16,21 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shard:
-    """Rotations in order as text positions, and the symbol before each."""
+    """Rotations in order as text positions, and the two symbols before each as one number."""
 
     order: np.ndarray
     before: np.ndarray
 
 
+# Valid UTF-8 uses fewer byte values than this, so two symbols fit 16 bits.
+SYMBOLS = 255
+
+
 def encode(strings: list[bytes]) -> np.ndarray:
-    """One text: bytes as symbols from 1, a 0 behind each string."""
-    text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.uint16) + 1
+    """One text of symbols: bytes in dense order from 1, a 0 behind each string."""
+    data = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
+    # The bytes C0, C1 and F5 to FF never occur.
+    text = data.astype(np.uint16) + 1 - 2 * (data > 0xC1).astype(np.uint16)
     text[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
     return text
 
@@ -32,35 +38,38 @@ def encode(strings: list[bytes]) -> np.ndarray:
 def build(text: np.ndarray, depth: int) -> Shard:
     """Rotations ordered by at least their first ``depth`` symbols, by prefix doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
-    have = 1
+    key, have = text.astype(np.uint64), 1
+    while have < 8:
+        key = key << np.uint64(8 * have) | np.roll(key, -have)
+        have *= 2
     while True:
-        key = rank * (max(n, 257) + 1) + np.roll(rank, -have)
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         new = np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        have *= 2
         if have >= depth or rank[order[-1]] == n - 1:
-            return Shard(order, text[order - 1])
+            return Shard(order, text[order - 2] * np.uint16(SYMBOLS) + text[order - 1])
+        key = rank * (n + 1) + np.roll(rank, -have)
+        have *= 2
 
 
 def merge(a: Shard, b: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """``(from_b, block)`` of the merged rows: the interleave, and equal numbers for rows that
-    share their first ``depth`` symbols."""
+    share their first ``depth`` symbols, an even number."""
     n = len(a.order) + len(b.order)
     from_b = np.arange(n) >= len(a.order)
     block = np.zeros(n, np.int64)
     symbols = np.empty(n, np.uint16)
-    for _ in range(depth):
+    for round_ in range(depth // 2):
         symbols[~from_b], symbols[from_b] = a.before, b.before
         dealt = np.argsort(symbols, kind="stable")
         from_b, symbol, old = from_b[dealt], symbols[dealt], block[dealt]
         new = np.concatenate([[0], ((symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])).astype(np.int64)])
         refined = np.cumsum(new)
+        last = old.max(initial=0)
         # The same number of blocks as before: no later round can split one.
-        done = refined[-1] == block.max(initial=0) and _ > 0
+        done = refined[-1] == last and round_ > 0
         block = refined
         if done:
             break

@@ -95,34 +95,26 @@ def _hot_masks(strings: DataFrame) -> DataFrame:
     return superkmers.masks_of(windows.join(least, ["w1", "w2"]).where(here > F.col("least")))
 
 
-def removed_runs(n: int, starts: list[int], masks: list[int]) -> list[tuple[int, int]]:
+def removed_runs(n: int, starts: np.ndarray, masks: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the masks' windows cover."""
-    edges = np.zeros(n + 1, np.int64)
-    for start, mask in zip(starts, masks, strict=True):
-        while mask:
-            low = mask & -mask
-            at = start + low.bit_length() - 1
-            edges[at] += 1
-            edges[at + WINDOW] -= 1
-            mask ^= low
-    gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]]).astype(np.int8)
-    turns = np.flatnonzero(np.diff(gone))
+    gone = superkmers.window_cover(n, starts, masks, WINDOW).astype(np.int8)
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
     return [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in texts.chunks(batches):
         data, offsets = texts.utf8(batch.column("text"))
+        ends, starts, masks = superkmers.found_masks(batch)
         removed, spans, digests = [], [], []
         for row in range(batch.num_rows):
             text = data[offsets[row] : offsets[row + 1]].tobytes()
-            found = batch.column("found")[row].as_py()
-            runs = removed_runs(len(text), [f["start"] for f in found], [f["mask"] for f in found])
+            own = slice(ends[row], ends[row + 1])
+            runs = removed_runs(len(text), starts[own], masks[own])
             removed.append(sum(b - a for a, b in runs))
             spans.append(len(runs))
-            ends = [0, *[b for _, b in runs]]
-            begins = [*[a for a, _ in runs], len(text)]
-            digests.append(_sha(b"".join(text[a:b] for a, b in zip(ends, begins, strict=True))))
+            kept = zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(text)], strict=True)
+            digests.append(_sha(b"".join(text[a:b] for a, b in kept)))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("k1"), batch.column("k2"),

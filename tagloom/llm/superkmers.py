@@ -204,3 +204,19 @@ def masks_of(windows: DataFrame) -> DataFrame:
     """``(minimiser, string_id, mask)`` from rows that name single windows by ``place``."""
     bit = F.expr("shiftleft(1L, place)")
     return windows.groupBy("minimiser", "string_id").agg(F.bit_or(bit).alias("mask"))
+
+
+def window_cover(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n`` units lie in a window: window ``starts[i] + j`` for every bit j of ``masks[i]``."""
+    which, place = np.nonzero(masks[:, None] >> np.arange(MOST_WINDOWS) & 1)
+    at = starts[which] + place
+    edges = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0
+
+
+def found_masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, starts and masks of the ``found`` column's lists."""
+    column = batch.column("found")
+    values = column.flatten()
+    ends = np.cumsum(np.concatenate([[0], column.value_lengths().to_numpy()]))
+    return ends, values.field("start").to_numpy(), values.field("mask").to_numpy()

@@ -81,27 +81,15 @@ def _hot_masks(strings: DataFrame) -> DataFrame:
     return superkmers.masks_of(windows.join(total, ["w1", "w2"]))
 
 
-def covered(n: int, starts: list[int], masks: list[int]) -> np.ndarray:
-    """Which of ``n`` words lie in a window named by the masks."""
-    edges = np.zeros(n + 1, np.int64)
-    for start, mask in zip(starts, masks, strict=True):
-        while mask:
-            low = mask & -mask
-            at = start + low.bit_length() - 1
-            edges[at] += 1
-            edges[at + WINDOW] -= 1
-            mask ^= low
-    return np.cumsum(edges[:-1]) > 0
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in texts.chunks(batches):
         words = texts.split_words(batch.column("text"))
+        ends, starts, masks = superkmers.found_masks(batch)
         removed, digests = [], []
         for row in range(batch.num_rows):
             a, b = int(words.first[row]), int(words.first[row + 1])
-            found = batch.column("found")[row].as_py()
-            gone = covered(b - a, [f["start"] for f in found], [f["mask"] for f in found])
+            own = slice(ends[row], ends[row + 1])
+            gone = superkmers.window_cover(b - a, starts[own], masks[own], WINDOW)
             removed.append(int(gone.sum()))
             edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8)))
             kept = [words.joined(a + int(x), a + int(y)) for x, y in zip(edges[::2], edges[1::2], strict=True)]
