@@ -26,7 +26,9 @@ from tagloom.llm import tables, texts
 from tagloom.shared import materialize
 
 EDITS = 0.2
-WALKS = 12
+WALKS = 8
+# Length of the walk against that of the run; after twice the length it has mostly ended.
+WALKED = 1.6
 SAMPLES = 6
 SAMPLED = 3
 # Items whose tables are broadcast at once; a larger benchmark takes several passes.
@@ -54,12 +56,13 @@ class Items:
 
 
 def walk(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of the runs from ``starts``: ``(run, 2 * longest)`` word hashes.
+    """CGK embedding of the runs from ``starts``: ``WALKED`` times as many word hashes.
 
     Step j writes the current word and goes on to the next one if a random bit of (j, word) is
     set; behind the end 0 is written.
     """
-    steps = 2 * int(lengths.max(initial=1))
+    steps = int(WALKED * int(lengths.max(initial=1))) + 1
+    factors = texts.constants(steps, 900 + seed)
     padded = np.concatenate([words, np.zeros(1, np.uint64)])
     at = np.zeros(len(starts), np.int64)
     out = np.zeros((len(starts), steps), np.uint64)
@@ -67,7 +70,7 @@ def walk(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int)
         inside = at < lengths
         word = np.where(inside, padded[np.minimum(starts + at, len(words))], np.uint64(0))
         out[:, j] = word
-        at += (texts.mix(word, seed * 1000 + j) & np.uint64(1)).astype(np.int64)
+        at += (word * factors[j] >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -80,7 +83,7 @@ def embedding_keys(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
             repetition = k * SAMPLES + s
             # Positions are uniform below 1; a run's own length tells which place they name.
             unit = texts.mix(np.arange(SAMPLED, dtype=np.uint64), 500 + repetition) >> np.uint64(40)
-            place = (unit[None, :].astype(np.float64) / 2**24 * 1.6 * lengths[:, None]).astype(np.int64)
+            place = (unit[None, :].astype(np.float64) / 2**24 * WALKED * lengths[:, None]).astype(np.int64)
             values = np.take_along_axis(embedded, place, axis=1)
             key = np.full(len(starts), repetition + 1, np.uint64)
             for c in range(SAMPLED):
