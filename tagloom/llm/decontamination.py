@@ -26,7 +26,7 @@ from tagloom.llm import tables, texts
 from tagloom.shared import materialize
 
 EDITS = 0.2
-WALKS = 8
+WALKS = 12
 # Length of the walk against that of the run; after twice the length it has mostly ended.
 WALKED = 1.6
 SAMPLES = 6

@@ -185,7 +185,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text)``.
 
     A null or empty text has no terms and gets the score of the bias. A null doc_id is scored
-    and not held out. Repeated rows get equal scores. Without labels every score is 0. Other columns are ignored.
+    and not held out. Repeated rows get equal scores. Without labels scores are
+    below 1e-9. Other columns are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, labels))
