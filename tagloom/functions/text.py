@@ -84,8 +84,9 @@ def explode_once(words: Column) -> Column:
 
 def comma_pieces(text: Column) -> Column:
     """Split on commas without trailing empty pieces; a text of commas only has none."""
-    pieces = F.split(F.regexp_replace(text, ",+$", ""), ",")
-    return F.when(F.rlike(text, F.lit("^,+$")), F.array().cast("array<string>")).otherwise(pieces)
+    trimmed = F.rtrim(text, F.lit(","))
+    only_commas = (trimmed == "") & (text != "")
+    return F.when(only_commas, F.array().cast("array<string>")).otherwise(F.split(trimmed, ","))
 
 
 def drop_stop_pieces(pieces: Column, stop_words: Sequence[str]) -> Column:
@@ -100,7 +101,8 @@ def is_ascii(text: Column) -> Column:
 
 
 def has_allowed_characters(text: Column) -> Column:
-    return F.rlike(text, F.lit(ALLOWED_CHARACTERS))
+    # A bare ``$`` would also match before a final line break.
+    return F.rlike(text, F.lit(ALLOWED_CHARACTERS.removesuffix("$") + r"\z"))
 
 
 def strip_non_ascii(text: Column) -> Column:

@@ -112,7 +112,7 @@ def _rebuild(
     broadcast_bytes: int,
     render: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    pieces = F.split(F.regexp_replace(text_col, " +$", ""), " ")
+    pieces = F.split(F.rtrim(F.col(text_col), F.lit(" ")), " ")
     words = docs.select(id_col, F.posexplode_outer(pieces).alias("_position", "word"))
     # One entry per word, so that a repeated entry cannot multiply words.
     entries = materialize(

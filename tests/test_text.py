@@ -123,3 +123,12 @@ def test_predicates(spark):
 def test_empty_text_is_one_empty_token(spark):
     assert one(spark, "the", lambda c: text.preprocessed_tokens(c, STOP)) == [""]
     assert one(spark, None, lambda c: text.preprocessed_tokens(c, STOP)) is None
+
+
+def test_rules_hold_at_the_true_end_of_a_text(spark):
+    rows = [("a,\n",), (",,\n",), (",,",), ("",), ("a,,",), ("abc\n",), ("abc",)]
+    got = spark.createDataFrame(rows, "t string").select(
+        text.comma_pieces(F.col("t")), text.has_allowed_characters(F.col("t"))
+    ).collect()
+    assert [row[0] for row in got] == [["a", "\n"], ["", "", "\n"], [], [""], ["a"], ["abc\n"], ["abc"]]
+    assert [row[1] for row in got][-2:] == [False, True]
