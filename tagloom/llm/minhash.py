@@ -6,11 +6,13 @@ common order (prefix rule). The order puts pairs that many documents hold last,
 lists are skipped for all but the documents that consist of such pairs. Exact copies of a shingle
 set are one node. In a few rounds every node meets the leading node it collides with most
 often, which joins a group of copies by about one link each; then lists that still hold several
-components are merged block by block, counting equal coordinates. Links are confirmed on full sets.
+components are merged block by block, counting equal coordinates. Links are confirmed on full sets:
+the nodes of a block that have close partners in it form a cell, which gets every text once.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ HOT_SHARE = 4096
 HOT_LEAST = 32
 # Rows of a list that are compared at once.
 BLOCK = 256
+# Shingles of either side of a cell, in which the sets of close nodes are compared.
+CELL_SHINGLES = 1 << 21
 
 SIGNATURES = "doc_id long, n_shingles long, set_key binary, signature binary"
 
@@ -104,19 +108,31 @@ def pairs_of(posted: np.ndarray) -> np.ndarray:
     return texts.mix(posted.astype(np.uint64) | place, 31)
 
 
+def held_by(pairs: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many nodes hold each pair, 0 for one that is not hot."""
+    if not len(hot):
+        return np.zeros(pairs.shape, np.int64)
+    at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
+    return np.where(hot[at] == pairs, counts[at], 0)
+
+
 def prefix_pairs(posted: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The names at coordinates that belong to the prefix, 0 at the others."""
     pairs = pairs_of(posted)
-    held = np.zeros(pairs.shape, np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, pairs), len(hot) - 1)
-        held = np.where(hot[at] == pairs, counts[at], 0)
     # Rarest first, among equals by name: one order for all documents.
-    order = np.lexsort((pairs, held), axis=1)[:, PREFIX:]
+    order = np.lexsort((pairs, held_by(pairs, hot, counts)), axis=1)[:, PREFIX:]
     np.put_along_axis(pairs, order, np.uint64(0), axis=1)
     return pairs
 
 
+def naming_keys(pairs: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ranks of lists: the longest first, then by name; the last one for a pair of name 0."""
+    top = np.int64((1 << 20) - 1)
+    short = (top - np.minimum(held_by(pairs, hot, counts), top)).astype(np.uint64)
+    keys = short << np.uint64(44) | pairs >> np.uint64(20)
+    return np.where(pairs == 0, np.iinfo(np.uint64).max, keys)
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -201,11 +217,37 @@ def _colliding(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.nonzero(equal >= MATCHES)
 
 
+def _cells(
+    name: tuple[int, ...], nodes: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray
+) -> Iterator[tuple[np.int64, np.int64, np.ndarray]]:
+    """The pairs of rows ``x``, ``y`` as ``(cell, node, partners)``, each node once in a cell.
+
+    Cells are named after ``name`` and hold no more shingles of a side than ``CELL_SHINGLES``,
+    or one node.
+    """
+    left, at_x = np.unique(x, return_inverse=True)
+    right, at_y = np.unique(y, return_inverse=True)
+    part_x = (np.cumsum(sizes[left]) // CELL_SHINGLES)[at_x]
+    part_y = (np.cumsum(sizes[right]) // CELL_SHINGLES)[at_y]
+    order = np.lexsort((y, x, part_y, part_x))
+    x, y, part_x, part_y = x[order], y[order], part_x[order], part_y[order]
+    turns = np.flatnonzero((np.diff(part_x) != 0) | (np.diff(part_y) != 0)) + 1
+    for a, b in itertools.pairwise([0, *turns, len(x)]):
+        of = np.array([*name, part_x[a], part_y[a]], np.uint64)
+        cell = texts.mix(of * texts.constants(len(of), 41), 42).sum(dtype=np.uint64)
+        asking, first = np.unique(x[a:b], return_index=True)
+        bounds = np.append(first, b - a)
+        for row, start, end in zip(asking, bounds[:-1], bounds[1:], strict=True):
+            yield cell.view(np.int64), nodes[row], nodes[y[a + start : a + end]]
+        for row in np.setdiff1d(y[a:b], asking):
+            yield cell.view(np.int64), nodes[row], nodes[:0]
+
+
 def _merge(rows: DataFrame, hot: Broadcast) -> DataFrame:
-    """Pairs of different components with enough equal coordinates, from whole block pairs.
+    """Cells of pairs of different components with enough equal coordinates, from whole block pairs.
 
-    A pair of nodes is named under the least of the pairs that both have in their prefix, so
-    it comes out once, whatever number of lists they share.
+    A pair of nodes is named under the longest list that both have in their prefix, so it
+    comes out once, whatever number of lists they share, and groups stay in few lists.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,11 +258,14 @@ def _merge(rows: DataFrame, hot: Broadcast) -> DataFrame:
             )
             posted, checked = values_of(table.column("signature"))
             first = prefix_pairs(posted, *hot.value)
-            found_a, found_b = [nodes[:0]], [nodes[:0]]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            keys = naming_keys(first, *hot.value)
+            last = np.iinfo(np.uint64).max
+            found = []
+            for a, b in itertools.pairwise(bounds):
                 if b - a < 2 or (parts[a:b] == parts[a]).all():
                     continue
-                one, name = block_a[a] == block_b[a], pair[a : a + 1].view(np.uint64)[0]
+                one, name = block_a[a] == block_b[a], pair[a : a + 1].view(np.uint64)
+                key = naming_keys(name, *hot.value)[0]
                 left = np.arange(a, b) if one else a + np.flatnonzero(sides[a:b] == 0)
                 right = left if one else a + np.flatnonzero(sides[a:b] == 1)
                 x, y = _colliding(posted[left], posted[right])
@@ -228,21 +273,81 @@ def _merge(rows: DataFrame, hot: Broadcast) -> DataFrame:
                 rest = (parts[x] != parts[y]) & (nodes[x] != nodes[y]) & ((not one) | (x < y))
                 rest &= 100 * np.minimum(sizes[x], sizes[y]) >= 75 * np.maximum(sizes[x], sizes[y])
                 x, y = x[rest], y[rest]
+                close = np.zeros(len(x), bool)
                 for start in range(0, len(x), 1 << 13):
                     i, j = x[start : start + (1 << 13)], y[start : start + (1 << 13)]
                     equal = (posted[i] == posted[j]).sum(axis=1)
                     equal += (checked[i] == checked[j]).sum(axis=1)
-                    common = np.where(first[i] == first[j], first[i], np.uint64(0)) - np.uint64(1)
-                    named = common.min(axis=1) == name - np.uint64(1)
-                    i, j = (z[named & (equal >= MATCHES_OF_ALL)] for z in (i, j))
-                    found_a.append(np.maximum(nodes[i], nodes[j]))
-                    found_b.append(np.minimum(nodes[i], nodes[j]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))],
-                names=["a", "b"],
-            )
+                    common = np.where(first[i] == first[j], keys[i], last)
+                    named = common.min(axis=1) == key
+                    close[start : start + (1 << 13)] = named & (equal >= MATCHES_OF_ALL)
+                if close.any():
+                    of = (name[0], block_a[a], block_b[a])
+                    found += _cells(of, nodes, sizes, x[close], y[close])
+            if found:
+                columns = [pa.array(column) for column in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "node", "partners"])
+
+    return rows.mapInArrow(merge, "cell long, node long, partners array<long>")
+
+
+def similar_to(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of ``others`` are similar to ``items``; all sets are sorted."""
+    sizes = np.array([len(other) for other in others])
+    linked = np.zeros(len(others), bool)
+    fits = np.flatnonzero(
+        100 * np.minimum(sizes, len(items)) >= 75 * np.maximum(np.maximum(sizes, len(items)), 1)
+    )
+    if len(fits):
+        flat = np.concatenate([others[k] for k in fits])
+        hit = items[np.minimum(np.searchsorted(items, flat), len(items) - 1)] == flat
+        starts = np.cumsum(sizes[fits]) - sizes[fits]
+        both = np.add.reduceat(hit.astype(np.int64), starts)
+        linked[fits] = 100 * both >= 75 * (len(items) + sizes[fits] - both)
+    return linked
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, list[np.ndarray]] = {}
+    asked: dict[int, list[int]] = {}
+
+    def judged(sets: dict[int, list[np.ndarray]], asked: dict[int, list[int]]) -> pa.RecordBatch:
+        found = set()
+        for node, partners in asked.items():
+            # Rows that share a doc_id are one document: any of their texts may link.
+            named = [(other, items) for other in partners for items in sets.get(other, ())]
+            for own in sets[node]:
+                linked = similar_to(own, [items for _, items in named])
+                found |= {(max(node, named[k][0]), min(node, named[k][0])) for k in np.flatnonzero(linked)}
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cell = None
+    for whole in batches:
+        for batch in texts.chunks(iter([whole])):
+            words = texts.split_words(batch.column("text"), lower=True)
+            hashes = words.hashes()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "partners")), strict=True)
+            for row, (at, node, partners) in enumerate(rows):
+                if at != cell:
+                    yield judged(sets, asked)
+                    sets, asked, cell = {}, {}, at
+                sets.setdefault(node, []).append(shingles(words, hashes, row))
+                if partners:
+                    asked[node] = partners
+    yield judged(sets, asked)
+
 
-    return rows.mapInArrow(merge, "a long, b long")
+def confirmed_cells(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of ``cells(cell, node, partners)`` whose full shingle sets are similar.
+
+    A cell gets the text of each of its nodes once, however many partners that has.
+    """
+    cells = materialize(cells, "cells")
+    ids = cells.select(F.col("node").alias("doc_id")).distinct()
+    near = materialize(tables.join_by_id(docs.select("doc_id", "text"), ids, "doc_id"), "cell-texts")
+    rows = cells.join(near.select(F.col("doc_id").alias("node"), "text"), "node")
+    return tables.sorted_by(rows, ["cell"]).mapInArrow(_verify_cells, "a long, b long")
 
 
 def _stars(shared: DataFrame, parts: DataFrame | None, seed: int) -> DataFrame:
@@ -309,8 +414,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.select("node", "n_shingles", "signature"), "node"
     )
     blocks = tables.block_pairs(rows, "size", F.xxhash64("node"), BLOCK)
-    candidates = _merge(tables.sorted_by(blocks, ["pair", "block_a", "block_b"]), hot)
-    links = links.union(confirmed(candidates, docs))
+    cells = _merge(tables.sorted_by(blocks, ["pair", "block_a", "block_b"]), hot)
+    links = links.union(confirmed_cells(cells, docs))
     with_set = signed.where(F.col("set_key").isNotNull()).select("doc_id", "n_shingles", "set_key")
     found = with_set.join(nodes.select("set_key", "node"), "set_key").join(
         graph.components(links), "node", "left"

@@ -112,6 +112,29 @@ def test_minhash_null_and_repeated_ids(spark):
     ]
 
 
+def test_minhash_cells_hold_every_pair_and_no_node_twice(monkeypatch):
+    monkeypatch.setattr(minhash, "CELL_SHINGLES", 50)
+    random = np.random.default_rng(3)
+    x, y = np.nonzero(np.triu(random.random((30, 30)) < 0.3, 1))
+    nodes, sizes = np.arange(100, 130), np.full(30, 20)
+    rows = list(minhash._cells((5, 0, 0), nodes, sizes, x, y))
+    held = {}
+    for cell, node, _ in rows:
+        assert node not in held.setdefault(cell, set())
+        held[cell].add(node)
+    pairs = [(node, other) for cell, node, others in rows for other in others]
+    assert sorted(pairs) == sorted(zip(x + 100, y + 100))
+    assert all(set(others) <= held[cell] for cell, _, others in rows)
+    assert len(held) > 1
+
+
+def test_minhash_compares_a_set_with_many_as_with_each():
+    random = np.random.default_rng(4)
+    sets = [np.unique(random.integers(0, 40, n).astype(np.uint64)) for n in random.integers(0, 60, 80)]
+    for items in sets:
+        assert minhash.similar_to(items, sets).tolist() == [minhash.similar(items, other) for other in sets]
+
+
 def test_minhash_skips_hot_lists(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HOT_LEAST", 4)
     monkeypatch.setattr(minhash, "BLOCK", 8)
