@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import patterns, ranking, text
 from tagloom.operators import bayes, evaluate, features, langid, lexicon
 from tagloom.plans import corpus, mllib, segments
-from tagloom.schema import APP_RECORD, TRAINING_RECORD
+from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
 from tagloom.sources import readers, writers
 from tagloom.streaming import report, scoring
@@ -59,13 +59,14 @@ def per_document(expression: Callable[[], object], out: str) -> Query:
 
 @register
 def ingest_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as delimited files and read back, one line per record."""
+    """Documents written as delimited files and read back by the names in their header."""
     records = documents(spark, sf_dir).select(
+        F.col("source").alias("segment"),
+        text.strip_control_characters(F.col("text")).alias("description"),
+        F.col("n_chars").alias("size"),
         F.col("doc_id").cast("string").alias("appId"),
-        F.col("lang").alias("package"),
         F.col("source").alias("appName"),
-        text.strip_control_characters(F.col("text")).alias("description"),
-        F.col("source").alias("segment"),
+        F.col("lang").alias("package"),
     )
     path = new_path(spark, "delimited")
     writers.write_delimited(records, path)
@@ -85,7 +86,19 @@ def ingest_json_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = documents(spark, sf_dir).select(
         F.concat(F.lit("[\n"), full, F.lit(",\r\n\t"), bare, F.lit("\n]")).alias("payload")
     )
-    return readers.parse_payloads(payloads, "payload")
+    return readers.parse_payloads(payloads, "payload").select(*TRAINING_RECORD.names)
+
+
+@register
+def ingest_json_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload of each document; those of odd ids end too early and are kept as they are."""
+    appid = F.col("doc_id").cast("string")
+    record = F.to_json(F.struct(appid.alias("appId"), F.col("source").alias("segment")))
+    end = F.when(F.col("doc_id") % 2 == 0, "]").otherwise(F.lit(',{"appId":"x"'))
+    payloads = documents(spark, sf_dir).select(F.concat(F.lit("["), record, end).alias("payload"))
+    return readers.parse_payloads(payloads, "payload").select(
+        "appId", "segment", F.col(CORRUPT_COLUMN).alias("corrupt")
+    )
 
 
 @register
@@ -94,7 +107,7 @@ def ingest_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "json")
     records = app_records(spark, sf_dir).withColumn("appName", F.col("segment"))
     writers.write_json(records, path, "appId", "appName", "description")
-    return readers.read_json_records(spark, path, APP_RECORD)
+    return readers.read_json_records(spark, path, APP_RECORD).select(*APP_RECORD.names)
 
 
 @register
@@ -224,7 +237,14 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = text.clean_text(F.col("text"), text.default_stop_words())
-    return documents(spark, sf_dir).select("doc_id", "lang", cleaned.alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", "lang", "source", cleaned.alias("cleaned"))
+
+
+def _commonest(docs: DataFrame, tag: Column, least_letters: int) -> DataFrame:
+    """``(word, tag)`` of the words of so many letters: the tag most of their uses have."""
+    words = text.explode_once(text.tokens(F.col("cleaned"))).alias("word")
+    tagged = docs.select(words, tag.alias("tag")).where(F.length("word") >= least_letters)
+    return lexicon.most_frequent_tags(tagged, "word", "tag")
 
 
 @register
@@ -236,24 +256,41 @@ def lemmatize_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def lookup_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words replaced through a dictionary, here the corpus' own words with another base form."""
-    entries = lemmatize_vocab(spark, sf_dir).where(F.col("word") != F.col("lemma"))
-    return lexicon.replace_words(
-        _cleaned(spark, sf_dir), "doc_id", "cleaned", entries.withColumnRenamed("lemma", "value")
-    )
+    """Words replaced through a dictionary: longer words by the source they occur in most often."""
+    docs = _cleaned(spark, sf_dir)
+    entries = _commonest(docs, F.col("source"), 6).withColumnRenamed("tag", "value")
+    return lexicon.replace_words(docs, "doc_id", "cleaned", entries)
 
 
 @register
 def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each word with the tag it carries most often in the corpus, here the language of its text."""
+    """Each word with the tag it carries most often in the corpus, here the language of its text.
+
+    Words of fewer than five letters are not in the lexicon and get the default tag.
+    """
     docs = _cleaned(spark, sf_dir)
-    tagged = docs.select(
-        text.explode_once(text.tokens(F.col("cleaned"))).alias("word"), F.upper("lang").alias("tag")
-    )
-    tags = lexicon.most_frequent_tags(tagged, "word", "tag")
+    tags = _commonest(docs, F.upper("lang"), 5)
     return lexicon.annotate_words(docs, "doc_id", "cleaned", tags, "XX")
 
 
+@register
+def lemmatize_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base forms from a lexicon before the rules; here it lists the source of longer words."""
+    docs = _cleaned(spark, sf_dir)
+    listed = _commonest(docs, F.col("source"), 6).withColumnRenamed("tag", "lemma")
+    return lexicon.lemmatize_by_lexicon(docs, "doc_id", "cleaned", listed)
+
+
+@register
+def drop_listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a listed table dropped: here those that stand in at least a tenth of the documents."""
+    docs = _cleaned(spark, sf_dir)
+    words = docs.select(text.explode_once(F.array_distinct(text.tokens(F.col("cleaned")))).alias("word"))
+    least = docs.count() / 10
+    listed = words.groupBy("word").count().where(F.col("count") >= least)
+    return lexicon.drop_words_by_table(docs, "doc_id", "cleaned", listed)
+
+
 @register
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.language_profiles(documents(spark, sf_dir), "text", "lang")
@@ -291,6 +328,12 @@ def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mllib.feature_sizes(mllib.hashed_features(docs), "appId")
 
 
+@register
+def hashed_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens the hashed counts of each English document hold."""
+    return hashed_features(spark, sf_dir).select("appId", "tokens")
+
+
 def _model_terms(model: bayes.BayesModel) -> DataFrame:
     return model.term_probabilities().select(
         F.col("label").alias("segment"), "term", "n", F.round("log_prob", 4).alias("log_prob")
@@ -340,14 +383,26 @@ def nb_raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register
-def hashed_nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = mllib.fit_hashed_bayes(prepared(spark, sf_dir))
-    scoring_rows = app_records(spark, sf_dir).withColumn(
+def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return app_records(spark, sf_dir).withColumn(
         "clean_description",
         text.preprocess_text(F.col("description"), text.default_stop_words()),
     )
-    return mllib.predict(model, scoring_rows).select("appId", "prediction", "predictedLabel")
+
+
+@register
+def hashed_nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = mllib.fit_hashed_bayes(prepared(spark, sf_dir))
+    scored = mllib.predict(model, _preprocessed(spark, sf_dir))
+    return scored.select("appId", "prediction", "predictedLabel")
+
+
+@register
+def hashed_nb_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best labels of the hashed model, row by row without a shuffle."""
+    model = mllib.fit_hashed_bayes(prepared(spark, sf_dir))
+    best = mllib.top_labels_of(model, _preprocessed(spark, sf_dir), TOP_K)
+    return best.select("appId", F.array_join("labels", " ").alias("topXPredictions"))
 
 
 @register
@@ -373,6 +428,16 @@ def batch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.batch_segments(app_records(spark, sf_dir), model)
 
 
+@register
+def batch_segments_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of every comma-separated piece; the pieces of a document share its id."""
+    model = segments.train(prepared(spark, sf_dir))
+    pieces = app_records(spark, sf_dir).select(
+        "appId", F.explode(text.comma_pieces(F.col("description"))).alias("description")
+    )
+    return segments.batch_segments(pieces, model)
+
+
 @register
 def batch_segments_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = segments.train(prepared(spark, sf_dir))
@@ -382,11 +447,13 @@ def batch_segments_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def batch_segments_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training and override both by detected language."""
+    records = app_records(spark, sf_dir)
+    profiles = langid.language_profiles(documents(spark, sf_dir), "text", "lang")
+    keyed = records.select("appId", "description", *text.text_key(F.col("description")))
     detected = materialize(
-        detect_language(spark, sf_dir).withColumn("appId", F.col("doc_id").cast("string")),
+        langid.detect_language(keyed, profiles, "appId", "description", carry=("_key_a", "_key_b")),
         "detected",
     )
-    records = app_records(spark, sf_dir)
     model = segments.train(segments.prepare_training(records, detected=detected))
     return segments.batch_segments(records, model, detected=detected)
 
@@ -466,6 +533,12 @@ def evaluate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.metrics(confusion_matrix(spark, sf_dir)))
 
 
+@register
+def evaluate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures as a report of four lines."""
+    return evaluate.report(evaluate_metrics(spark, sf_dir))
+
+
 @register
 def evaluate_resubstitution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured on the very documents the model was fitted on."""

@@ -82,6 +82,11 @@ def explode_once(words: Column) -> Column:
     return F.explode_outer(words)
 
 
+def text_key(text: Column, name: str = "_key") -> tuple[Column, Column]:
+    """``_key_a`` and ``_key_b``, a 128-bit hash of a text or of tokens; equal for equal values."""
+    return F.xxhash64(text).alias(f"{name}_a"), F.xxhash64(F.lit(1), text).alias(f"{name}_b")
+
+
 def comma_pieces(text: Column) -> Column:
     """Split on commas without trailing empty pieces; a text of commas only has none."""
     trimmed = F.rtrim(text, F.lit(","))

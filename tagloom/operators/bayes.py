@@ -22,15 +22,14 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.patterns import HASH_BUCKETS, SMOOTHING
 from tagloom.functions.ranking import index_of
-from tagloom.functions.text import explode_once
+from tagloom.functions.text import explode_once, text_key
 from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materialize
 
-# Class scores are columns of one row, so the classes must be few; more raise an error.
-MAX_CLASSES = 1_000
+# Up to so many classes have a sum each in generated code; of more, the sums are rows. Both ways
+# give the same scores.
+CLASS_COLUMNS = 100
 # Copies of the rare terms that a shuffled join spreads a term's rows over.
 SALTS = 8
-# Longer terms always take the shuffled join, so that frequent terms have a bounded size.
-MAX_FREQUENT_TERM_BYTES = 64
 
 TERMS_SCHEMA = "label string, term string, n bigint"
 
@@ -76,12 +75,9 @@ class BayesModel:
     def term_probabilities(self) -> DataFrame:
         """``(label, term, n, log_prob)`` of every term seen in a class."""
         s = self.smoothing
-        norms = F.lit(None).cast("double")
-        for stats in self.classes:
-            norms = F.when(
-                F.col("label") == stats.label, F.lit(float(stats.tokens + s * self.features))
-            ).otherwise(norms)
-        return self.term_rows().withColumn("log_prob", F.log((F.col("n") + F.lit(s)) / norms))
+        norms = F.lit([float(stats.tokens + s * self.features) for stats in self.classes])
+        norm = F.get(norms, index_of(F.col("label"), self.labels))
+        return self.term_rows().withColumn("log_prob", F.log((F.col("n") + F.lit(s)) / norm))
 
     def term_weights(self) -> DataFrame:
         """``(term, total, weights)``: one row per term, a weight per class in index order."""
@@ -89,6 +85,14 @@ class BayesModel:
         indexed = self.term_rows().select(
             "term", "n", index_of(F.col("label"), self.labels).alias("label_idx")
         )
+        if len(classes) > CLASS_COLUMNS:
+            seen = F.map_from_entries(F.collect_list(F.struct("label_idx", "n")))
+            grouped = indexed.groupBy("term").agg(F.sum("n").alias("total"), seen.alias("seen"))
+            index = F.sequence(F.lit(0), F.lit(len(classes) - 1))
+            weight = F.transform(
+                index, lambda i: F.log((F.coalesce(F.col("seen")[i], F.lit(0)) + F.lit(s)) / F.lit(s))
+            )
+            return grouped.select("term", "total", weight.alias("weights"))
         per_class = [F.expr(f"sum(if(label_idx = {i}, n, 0)) AS n{i}") for i in classes]
         grouped = indexed.groupBy("term").agg(F.sum("n").alias("total"), *per_class)
         weights = ", ".join(f"ln((n{i} + {s!r}D) / {s!r}D)" for i in classes)
@@ -151,13 +155,10 @@ def _class_stats(counts: DataFrame) -> tuple[ClassStats, ...]:
             F.count("term").alias("terms"),
             F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("term_bytes"),
         )
-        .limit(MAX_CLASSES + 1)
         .collect()
     )
     if not rows:
         raise ValueError("no labelled document to learn from")
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
     ordered = sorted(rows, key=lambda row: (-row.docs, row.label))
     return tuple(ClassStats(**row.asDict(recursive=True)) for row in ordered)
 
@@ -172,18 +173,23 @@ def class_scores(
 ) -> DataFrame:
     """``(id, *carry, scores)``: the raw scores of every record in label order.
 
-    ``id_col`` identifies one row; ``carry`` names boolean or numeric columns to keep. A
-    record without tokens counts as one unknown word.
+    One row comes out for every record. Ids may repeat or be NULL: records are told apart by
+    id, carried values and a 128-bit hash of their tokens, and those that agree in all of it
+    are counted and answered as often. ``carry`` names columns to keep. A record without
+    tokens counts as one unknown word.
 
     A model within ``broadcast_bytes`` is joined on the map side, and each record is added up
     where it was read: one small row per record is shuffled. Of a larger model only frequent
-    terms are broadcast, those that make up at least 1/limit of all tokens, which no more than
-    ``limit`` terms can do; the others are joined by a shuffle, salted so that a word that is
-    rare in training but frequent in these records does not meet in one task.
+    terms are broadcast, those whose share of all tokens is at least the share of the limit that
+    their row takes, so that all of them together keep within it; the others are joined by a
+    shuffle, salted so that a word that is rare in training but frequent in these records does
+    not meet in one task.
     """
     keep = [id_col, *carry]
+    record = [*keep, "_words_a", "_words_b", "_length"]
     docs = docs.select(
         *keep,
+        *text_key(F.col(tokens_col), "_words"),
         F.greatest(F.coalesce(F.size(tokens_col), F.lit(1)), F.lit(1)).alias("_length"),
         F.col(tokens_col).alias("_tokens"),
     )
@@ -195,39 +201,55 @@ def class_scores(
         weights = materialize(weights, "bayes-weights")
         small = broadcast_size(weights, "term", row_bytes=row_bytes) <= broadcast_bytes
     if small:
-        hits = _words(docs, keep).join(F.broadcast(weights), "term", "left")
+        hits = _words(docs, record).join(F.broadcast(weights), "term", "left")
     else:
         # Both halves of the join read the tokens: clean the texts once.
-        words = _words(materialize(docs, "score-tokens"), keep)
-        limit = max(1, broadcast_bytes // (row_bytes + MAX_FREQUENT_TERM_BYTES))
-        hits = _split_join(words, weights, model, limit, id_col)
+        words = _words(materialize(docs, "score-tokens"), record)
+        hits = _split_join(words, weights, model, row_bytes, broadcast_bytes)
     size = len(model.classes)
-    summed = hits.groupBy(id_col).agg(
-        *[F.max(name).alias(name) for name in carry],
-        F.max("_length").alias("_length"),
-        *[F.expr(f"sum(weights[{i}]) AS _s{i}") for i in range(size)],
-    )
-    return summed.select(*keep, _scores(model).alias("scores"))
+    copies = F.sum(F.col("_first").cast("long")).alias("_copies")
+    if size <= CLASS_COLUMNS:
+        sums = [F.expr(f"sum(weights[{i}]) AS _s{i}") for i in range(size)]
+        summed = hits.groupBy(*record).agg(copies, *sums).withColumn(
+            "_sums", F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(size)])
+        )
+    else:
+        # The first word of a record brings all classes, known or not.
+        none = F.when(F.col("_first"), F.array_repeat(F.lit(0.0), size))
+        rows = hits.select(
+            *record, "_first", F.posexplode(F.coalesce("weights", none)).alias("_class", "_weight")
+        )
+        per_class = rows.groupBy(*record, "_class").agg(copies, F.sum("_weight").alias("_sum"))
+        in_order = F.array_sort(F.collect_list(F.struct("_class", "_sum")))
+        summed = per_class.groupBy(*record).agg(
+            F.max("_copies").alias("_copies"), in_order.getField("_sum").alias("_sums")
+        )
+    scored = summed.select(*keep, "_copies", _scores(model).alias("scores"))
+    # One row for each of the records that agree.
+    each = scored.select(*keep, "scores", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return each.select(*keep, "scores")
 
 
-def _words(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return docs.select(*keep, "_length", explode_once(F.col("_tokens")).alias("term"))
+def _words(docs: DataFrame, record: Sequence[str]) -> DataFrame:
+    """One row per word; ``_first`` marks exactly one row of every record."""
+    words = docs.select(*record, F.posexplode_outer("_tokens").alias("_position", "term"))
+    first = F.coalesce(F.col("_position") == 0, F.lit(True))
+    return words.withColumn("_first", first).drop("_position")
 
 
 def _split_join(
-    words: DataFrame, weights: DataFrame, model: BayesModel, limit: int, id_col: str
+    words: DataFrame, weights: DataFrame, model: BayesModel, row_bytes: int, broadcast_bytes: int
 ) -> DataFrame:
-    threshold = sum(stats.tokens for stats in model.classes) / limit
-    is_frequent = (F.col("total") >= threshold) & (
-        F.octet_length("term") <= MAX_FREQUENT_TERM_BYTES
-    )
+    share = max(1, broadcast_bytes) / max(1, sum(stats.tokens for stats in model.classes))
+    is_frequent = F.col("total") * F.lit(share) >= F.octet_length("term") + F.lit(row_bytes)
     frequent = weights.where(is_frequent)
     rare = weights.where(~is_frequent)
     near = words.join(F.broadcast(frequent), "term", "left")
     far = (
         words.where(F.col("term").isNotNull())
         .join(F.broadcast(frequent.select("term")), "term", "left_anti")
-        .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        .withColumn("_first", F.lit(False))
+        .withColumn("_salt", F.pmod(F.col("_words_a"), F.lit(SALTS)).cast("int"))
         .join(
             rare.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
             ["term", "_salt"],
@@ -238,8 +260,12 @@ def _split_join(
 
 
 def _scores(model: BayesModel) -> Column:
-    per_class = ", ".join(
-        f"{model.prior(i)!r}D + _length * {model.base(i)!r}D + coalesce(_s{i}, 0D)"
-        for i in range(len(model.classes))
+    size = len(model.classes)
+    priors = F.lit([model.prior(i) for i in range(size)])
+    bases = F.lit([model.base(i) for i in range(size)])
+    return F.transform(
+        "_sums",
+        lambda total, i: F.get(priors, i)
+        + F.col("_length") * F.get(bases, i)
+        + total / F.col("_copies"),
     )
-    return F.expr(f"array({per_class})")

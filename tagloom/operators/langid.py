@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,15 @@ def detect_language(
     id_col: str,
     text_col: str,
     min_margin: float = MIN_MARGIN,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(id, lang_pred)``; NULL where the two best languages are closer than ``min_margin``."""
-    grams = docs.select(id_col, trigrams(F.col(text_col)).alias("tokens"))
-    scored = bayes.class_scores(grams, profiles, id_col)
+    """``(id, *carry, lang_pred)`` of every record; NULL where the two best languages are closer than ``min_margin``."""
+    grams = docs.select(id_col, *carry, trigrams(F.col(text_col)).alias("tokens"))
+    scored = bayes.class_scores(grams, profiles, id_col, carry=carry)
     scores = F.col("scores")
     best = label_at(best_index(scores), profiles.labels)
     if len(profiles.classes) == 1:
-        return scored.select(id_col, best.alias("lang_pred"))
+        return scored.select(id_col, *carry, best.alias("lang_pred"))
     ordered = F.sort_array(rounded(scores), asc=False)
     decided = ordered[0] - ordered[1] >= F.lit(min_margin)
-    return scored.select(id_col, F.when(decided, best).alias("lang_pred"))
+    return scored.select(id_col, *carry, F.when(decided, best).alias("lang_pred"))

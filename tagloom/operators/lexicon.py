@@ -1,7 +1,8 @@
 """Word-by-word work against a table: replace, tag, lemmatize by lexicon, drop listed words.
 
 All four explode the text to ``(id, position, word)``, join the table and put the words back
-in order. Each text is regrouped on its own id, so a group is one record, never a corpus.
+in order. Each text is regrouped on its own id and a hash of it, so a group is one text, never
+a corpus: records may share an id or have none, and every one of them is answered.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.lemma import lemma
-from tagloom.functions.text import explode_once
+from tagloom.functions.text import explode_once, text_key
 from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
 
 # Copies of a large lexicon that the rows of one frequent word are spread over.
@@ -113,7 +114,12 @@ def _rebuild(
     render: Callable[[Column, Column], Column],
 ) -> DataFrame:
     pieces = F.split(F.rtrim(F.col(text_col), F.lit(" ")), " ")
-    words = docs.select(id_col, F.posexplode_outer(pieces).alias("_position", "word"))
+    record = [id_col, "_key_a", "_key_b"]
+    words = docs.select(
+        id_col,
+        *text_key(F.col(text_col)),
+        F.posexplode_outer(pieces).alias("_position", "word"),
+    )
     # One entry per word, so that a repeated entry cannot multiply words.
     entries = materialize(
         lexicon.groupBy("word").agg(F.min(value_col).alias("_value")), "lexicon"
@@ -124,16 +130,25 @@ def _rebuild(
         # Frequent words would meet in one task: spread them over copies of their entry.
         salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = words.withColumn(
-            "_salt", F.pmod(F.xxhash64(id_col, "_position"), F.lit(SALTS))
+            "_salt", F.pmod(F.xxhash64("_key_a", "_position"), F.lit(SALTS))
         ).join(salted, ["word", "_salt"], "left")
+    # As a set: records that agree in id and text give the same words.
     in_order = F.array_sort(
-        F.collect_list(
+        F.collect_set(
             F.struct("_position", render(F.col("word"), F.col("_value")).alias("_out"))
         )
     )
-    rebuilt = joined.groupBy(id_col).agg(
-        in_order.alias("_words"), F.max("_position").alias("_last")
+    first = F.coalesce(F.col("_position") == 0, F.lit(True))
+    rebuilt = joined.groupBy(*record).agg(
+        in_order.alias("_words"),
+        F.max("_position").alias("_last"),
+        F.sum(first.cast("long")).alias("_copies"),
     )
     text = F.array_join(F.col("_words").getField("_out"), separator)
     # A NULL text has no position and stays NULL.
-    return rebuilt.select(id_col, F.when(F.col("_last").isNotNull(), text).alias(out_col))
+    out = rebuilt.select(
+        id_col,
+        F.when(F.col("_last").isNotNull(), text).alias(out_col),
+        F.explode(F.sequence(F.lit(1).cast("long"), "_copies")),
+    )
+    return out.select(id_col, out_col)

@@ -91,6 +91,19 @@ records AS MATERIALIZED (
   FROM documents)"""
 
 
+# The documents to learn from and their comma pieces to score, numbered within the document.
+PIECE_RECORDS = f"""
+pieces AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, text, true AS whole FROM documents
+  UNION ALL
+  SELECT doc_id || '#' || generate_subscripts(pieces, 1), source, unnest(pieces), false
+  FROM (SELECT doc_id, source, {PIECES} AS pieces FROM documents)),
+records AS MATERIALIZED (
+  SELECT doc_id, source AS class, {ASCII} AS english, whole,
+         string_split({_preprocess("text")}, ' ') AS words
+  FROM pieces)"""
+
+
 def _bayes(
     records: str,
     train: str,
@@ -215,9 +228,9 @@ tops AS (
 """
 
 CLEANED = f"""
-cleaned AS MATERIALIZED (SELECT doc_id, lang, {_clean("text")} AS cleaned FROM documents),
+cleaned AS MATERIALIZED (SELECT doc_id, lang, source, {_clean("text")} AS cleaned FROM documents),
 words AS MATERIALIZED (
-  SELECT doc_id, lang, unnest(string_split(cleaned, ' ')) AS word,
+  SELECT doc_id, lang, source, unnest(string_split(cleaned, ' ')) AS word,
          generate_subscripts(string_split(cleaned, ' '), 1) AS position FROM cleaned)"""
 
 _PLAIN_RECORD = "CAST(NULL AS VARCHAR) AS package, CAST(NULL AS VARCHAR) AS appName"
@@ -230,6 +243,10 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_json_batch": f"""SELECT CAST(doc_id AS VARCHAR) AS appId, {_PLAIN_RECORD},
   text AS description, source AS segment FROM documents
 UNION ALL SELECT CAST(doc_id AS VARCHAR) || '-bare', NULL, NULL, NULL, NULL FROM documents""",
+    "ingest_json_broken": """SELECT CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS appId,
+  CASE WHEN doc_id % 2 = 0 THEN source END AS segment,
+  CASE WHEN doc_id % 2 <> 0 THEN '[{"appId":"' || doc_id || '","segment":"' || source
+    || '"},{"appId":"x"' END AS corrupt FROM documents""",
     "ingest_json_file": """SELECT CAST(doc_id AS VARCHAR) AS appId, CAST(NULL AS VARCHAR) AS package,
   source AS appName, text AS description FROM documents""",
     "clean_documents": f"SELECT page_id, {_clean('html')} AS cleaned FROM pages",
@@ -275,12 +292,30 @@ FROM (SELECT doc_id, string_split({_clean("text")}, ' ') AS words FROM documents
     # words against tables
     "lemmatize_vocab": f"""WITH {CLEANED}
 SELECT word, {_lemma("word")} AS lemma FROM (SELECT DISTINCT word FROM words)""",
-    "lookup_replace": f"""WITH {CLEANED}
-SELECT doc_id, string_agg({_lemma("word")}, ' ' ORDER BY position) AS replaced
-FROM words GROUP BY doc_id""",
+    "lookup_replace": f"""WITH {CLEANED},
+entries AS (
+  SELECT word, source AS value FROM words WHERE length(word) >= 6 GROUP BY word, source
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY count(*) DESC, source) = 1)
+SELECT doc_id, string_agg(coalesce(value, word), ' ' ORDER BY position) AS replaced
+FROM words LEFT JOIN entries USING (word) GROUP BY doc_id""",
+    "lemmatize_lexicon": f"""WITH {CLEANED},
+entries AS (
+  SELECT word, source AS value FROM words WHERE length(word) >= 6 GROUP BY word, source
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY count(*) DESC, source) = 1)
+SELECT doc_id, string_agg(coalesce(value, {_lemma("word")}), ' ' ORDER BY position) AS lemmas
+FROM words LEFT JOIN entries USING (word) GROUP BY doc_id""",
+    "drop_listed_words": f"""WITH {CLEANED},
+listed AS (
+  SELECT word FROM words GROUP BY word
+  HAVING count(DISTINCT doc_id) >= (SELECT count(*) FROM documents) / 10e0),
+others AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY position) AS others
+  FROM words ANTI JOIN listed USING (word) WHERE word <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN cleaned IS NOT NULL THEN coalesce(others, '') END AS kept
+FROM cleaned LEFT JOIN others USING (doc_id)""",
     "annotate_tokens": f"""WITH {CLEANED},
 tags AS (
-  SELECT word, upper(lang) AS tag FROM words GROUP BY word, lang
+  SELECT word, upper(lang) AS tag FROM words WHERE length(word) >= 5 GROUP BY word, lang
   QUALIFY row_number() OVER (PARTITION BY word ORDER BY count(*) DESC, upper(lang)) = 1)
 SELECT doc_id, string_agg(word || '|' || coalesce(tag, 'XX'), ',' ORDER BY position) AS annotated
 FROM words LEFT JOIN tags USING (word) GROUP BY doc_id""",
@@ -293,6 +328,9 @@ FROM documents WHERE {ASCII} GROUP BY source""",
     "term_counts": f"""WITH {RECORDS}
 SELECT CAST(doc_id AS VARCHAR) AS appId, term, count(*) AS tf
 FROM (SELECT doc_id, unnest(words) AS term FROM records WHERE english) GROUP BY doc_id, term""",
+    "hashed_token_totals": f"""WITH {RECORDS}
+SELECT CAST(doc_id AS VARCHAR) AS appId, CAST(len(words) AS BIGINT) AS tokens
+FROM records WHERE english""",
     "nb_model_terms": _model_terms("0.001e0"),
     "nb_model_terms_s1": _model_terms("1e0"),
     "nb_model_priors": f"""{_bayes(RECORDS, "english", "false")}
@@ -306,6 +344,8 @@ SELECT class AS segment, CAST(idx AS INTEGER) AS label_idx, docs, tokens,
     "prepare_training": f"""SELECT CAST(doc_id AS VARCHAR) AS appId, source AS segment,
   {_preprocess("text")} AS clean_description FROM documents WHERE {ASCII}""",
     "batch_segments": BATCH,
+    "batch_segments_pieces": f"""{_bayes(PIECE_RECORDS, "whole AND english", "NOT whole")}
+SELECT split_part(doc_id, '#', 1) AS appId, {FINAL} AS predictedLabelFinal FROM best""",
     "batch_segments_drop": f"{BATCH} WHERE english",
     "batch_segments_detected": f"""
 WITH detected AS MATERIALIZED ({DETECTED} SELECT * FROM detected),
@@ -324,6 +364,9 @@ FROM best GROUP BY 1""",
     "confusion_matrix": f"""{_confused(HOLDOUT)}
 SELECT CAST(label AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction, n FROM confused""",
     "evaluate_metrics": _metrics(HOLDOUT),
+    "evaluate_report": f"""SELECT concat_ws(chr(10), 'Accuracy: ' || accuracy,
+  'Precision: ' || weighted_precision, 'Recall: ' || weighted_recall, 'F1: ' || f1) AS report
+FROM ({_metrics(HOLDOUT)})""",
     "evaluate_resubstitution": _metrics(RESUBSTITUTION),
     "describe_summary": f"""{RESUBSTITUTION},
 described AS (

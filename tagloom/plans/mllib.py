@@ -25,10 +25,6 @@ from tagloom.functions.ranking import top_labels
 from tagloom.shared import materialize
 
 
-# Records per task of an iterative fit: its passes read hashed vectors, far smaller than texts.
-ROWS_PER_TASK = 50_000
-
-
 def _stages(prepared: DataFrame, buckets: int, segment_col: str) -> tuple[list, IndexToString]:
     indexer = StringIndexer(inputCol=segment_col, outputCol="label").fit(prepared)
     vectorize = [
@@ -62,15 +58,13 @@ def fit_one_vs_rest(
 ) -> PipelineModel:
     """One logistic regression per class, ``parallelism`` of them at a time.
 
-    The vectors are written once; the many passes over them do not clean the texts again,
-    and use as many tasks as the rows are worth.
+    The vectors are written once; the many passes over them do not clean the texts again.
     """
     columns = prepared.select(segment_col, "clean_description")
     vectorize, converter = _stages(columns, buckets, segment_col)
     vectors = materialize(
         PipelineModel(stages=vectorize).transform(columns).select("label", "features"), "vectors"
     )
-    tasks = -(-vectors.count() // ROWS_PER_TASK)
     regression = LogisticRegression(
         maxIter=LINEAR_ITERATIONS,
         regParam=LINEAR_REGULARIZATION,
@@ -78,7 +72,7 @@ def fit_one_vs_rest(
         family="multinomial",
     )
     one_vs_rest = OneVsRest(classifier=regression, parallelism=parallelism)
-    classifier = one_vs_rest.fit(vectors.coalesce(max(1, tasks)))
+    classifier = one_vs_rest.fit(vectors)
     return PipelineModel(stages=[*vectorize, classifier, converter])
 
 
@@ -103,9 +97,9 @@ def hashed_features(
 
 def feature_sizes(hashed: DataFrame, id_col: str) -> DataFrame:
     """``(id, buckets, tokens)``: how many buckets a record fills, and with how many tokens."""
-    filled = F.array_remove(vector_to_array("features"), 0.0)
+    counts = F.unwrap_udt("features").getField("values")
     return hashed.select(
         id_col,
-        F.size(filled).alias("buckets"),
-        F.aggregate(filled, F.lit(0.0), lambda total, n: total + n).cast("long").alias("tokens"),
+        F.size(counts).alias("buckets"),
+        F.aggregate(counts, F.lit(0.0), lambda total, n: total + n).cast("long").alias("tokens"),
     )

@@ -16,6 +16,7 @@ from tagloom.functions.text import (
     is_ascii,
     preprocess_text,
     preprocessed_tokens,
+    text_key,
     tokens,
 )
 from tagloom.operators import bayes
@@ -30,6 +31,14 @@ def override_non_english(label: Column, english: Column) -> Column:
     return F.when(english, label).otherwise(F.lit(UNSUPPORTED_LANGUAGE))
 
 
+def _same_record(id_col: str) -> Column:
+    """Rows of ``r`` and ``d`` with the same id, or none, and the same text."""
+    same = F.col(f"r.{id_col}").eqNullSafe(F.col(f"d.{id_col}"))
+    for key in ("_key_a", "_key_b"):
+        same = same & (F.col(f"r.{key}") == F.col(f"d.{key}"))
+    return same
+
+
 def prepare_training(
     records: DataFrame,
     text_col: str = "description",
@@ -42,15 +51,16 @@ def prepare_training(
 
     ``drop_stop_word_pieces`` first drops comma-separated pieces that are a stop word.
     Without it splitting and joining on commas is left out: cleaning turns commas into
-    blanks. With ``detected`` (id, lang_pred) the detected language decides what is English
-    instead of the characters; that costs a join of the texts on the ids.
+    blanks. With ``detected`` (id, _key_a, _key_b, lang_pred) the detected language of the
+    record decides what is English instead of the characters; that costs a join of the texts.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
     if detected is None:
         english = records.where(is_english(F.col(text_col)))
     else:
-        english_ids = detected.where(F.col("lang_pred") == "en").select(id_col)
-        english = records.join(english_ids, id_col, "left_semi")
+        keyed = records.select("*", *text_key(F.col(text_col))).alias("r")
+        chosen = detected.where(F.col("lang_pred") == "en").alias("d")
+        english = keyed.join(chosen, _same_record(id_col), "left_semi").drop("_key_a", "_key_b")
     text = F.col(text_col)
     if drop_stop_word_pieces:
         pieces = drop_stop_pieces(comma_pieces(text), default_stop_words())
@@ -74,7 +84,7 @@ def score_records(
     only_english: bool = False,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(id, *carry, english, scores)``; one row per record, the id identifying it.
+    """``(id, *carry, english, scores)``; one row per record, whether or not ids repeat.
 
     ``only_english`` spares the text work on records whose answer will be overridden.
     """
@@ -106,22 +116,30 @@ def batch_segments(
     """``(id, predictedLabelFinal)``: the segment of each record.
 
     ``non_english="override"`` answers such records with a message, ``"drop"`` leaves them
-    out. With ``detected`` (id, lang_pred) the detected language decides instead of the
-    characters; it is joined to the scores, one small row per id, not to the texts.
+    out. With ``detected`` (id, _key_a, _key_b, lang_pred) the detected language decides instead
+    of the characters; it is joined to the scores, one small row per record, not to the texts.
     """
     if non_english not in ("override", "drop"):
         raise ValueError("non_english is 'override' or 'drop'")
     by_characters = detected is None
     if by_characters and non_english == "drop":
         records = records.where(is_english(F.col(text_col)))
+    carry = () if by_characters else ("_key_a", "_key_b")
+    if carry:
+        records = records.select(id_col, text_col, *text_key(F.col(text_col)))
     scored = score_records(
-        records, model, id_col, text_col, stop_words, only_english=by_characters
+        records, model, id_col, text_col, stop_words, only_english=by_characters, carry=carry
     )
     answered = predict(scored, model)
     if not by_characters:
         by_detector = F.coalesce(F.col("lang_pred") == "en", F.lit(False))
-        answered = answered.drop("english").join(
-            detected.select(id_col, by_detector.alias("english")), id_col, "left"
+        # Records that agree in id and text have the same language.
+        found = detected.select(id_col, *carry, by_detector.alias("english")).distinct()
+        answered = (
+            answered.drop("english")
+            .alias("r")
+            .join(found.alias("d"), _same_record(id_col), "left")
+            .select(f"r.{id_col}", "r.predictedLabel", F.coalesce("d.english", F.lit(False)).alias("english"))
         )
         if non_english == "drop":
             answered = answered.where("english")

@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import tokens
+from tagloom.functions.text import text_key, tokens
 from tagloom.operators import bayes, features
 from tagloom.plans import segments
 
@@ -136,12 +136,44 @@ def test_many_classes(spark):
     ).count() == 0
 
 
-def test_refuses_nothing_and_too_many_classes(spark, training, monkeypatch):
+def test_sums_as_rows_equal_sums_as_columns(spark, training, monkeypatch):
+    docs = tokenized(spark, [*QUERIES, ("q5", None)])
+    model = segments.train(training)
+    columns = scores_of(bayes.class_scores(docs, model, "appId"))
+    monkeypatch.setattr(bayes, "CLASS_COLUMNS", 0)
+    for broadcast_bytes in (1, 1 << 20):
+        rows = bayes.class_scores(docs, model, "appId", broadcast_bytes=broadcast_bytes)
+        assert close(scores_of(rows), columns)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1, 1 << 20])
+def test_repeated_and_missing_ids(spark, training, broadcast_bytes):
+    texts = ["bank", "chess", "chess", None, ""]
+    rows = [(key, text) for key in ("1", None) for text in texts]
+    model = segments.train(training)
+    scored = bayes.class_scores(tokenized(spark, rows), model, "appId", broadcast_bytes=broadcast_bytes)
+    got = sorted((row.appId or "", row.predictedLabel) for row in segments.predict(scored, model).collect())
+    assert got == [(key, label) for key in ("", "1") for label in ["Finance"] + 4 * ["Games"]]
+
+
+def test_batch_answers_every_record(spark, training):
+    rows = [("1", "bank"), ("1", "chess"), (None, "bank"), (None, "caf\u00e9")]
+    records = spark.createDataFrame(rows, "appId string, description string")
+    got = segments.batch_segments(records, segments.train(training)).collect()
+    assert sorted((row.appId or "", row.predictedLabelFinal) for row in got) == [
+        ("", "Finance"), ("", "Not supported language"), ("1", "Finance"), ("1", "Games"),
+    ]
+    keyed = records.select("*", *text_key(F.col("description")))
+    detected = keyed.withColumn("lang_pred", F.when(F.col("description") == "bank", "en"))
+    got = segments.batch_segments(records, segments.train(training), detected=detected).collect()
+    assert sorted((row.appId or "", row.predictedLabelFinal) for row in got) == [
+        ("", "Finance"), ("", "Not supported language"), ("1", "Finance"), ("1", "Not supported language"),
+    ]
+
+
+def test_refuses_nothing(training):
     with pytest.raises(ValueError):
         segments.train(training.where("false"))
-    monkeypatch.setattr(bayes, "MAX_CLASSES", 2)
-    with pytest.raises(ValueError):
-        segments.train(training)
 
 
 def test_rows_without_label_or_text(spark):

@@ -27,6 +27,17 @@ def test_replace(spark, docs, broadcast_bytes):
     }
 
 
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_repeated_and_missing_ids(spark, broadcast_bytes):
+    rows = [(1, "a b"), (1, "a c"), (1, "a c"), (None, "a"), (None, None)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    entries = spark.createDataFrame([("a", "X")], "word string, value string")
+    replaced = lexicon.replace_words(docs, "id", "text", entries, broadcast_bytes=broadcast_bytes)
+    assert sorted((row.id or 0, row.replaced or "") for row in replaced.collect()) == [
+        (0, ""), (0, "X"), (1, "X b"), (1, "X c"), (1, "X c")
+    ]
+
+
 @pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
 def test_annotate(spark, docs, broadcast_bytes):
     tags = spark.createDataFrame([("big", "JJ"), ("cats", "NNS"), ("cats", "NNS")], "word string, tag string")

@@ -25,7 +25,7 @@ def con(sf_dir):
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(QUERIES) - set(ORACLE_SQL) == {
-        "hashed_features", "hashed_nb_predict", "ovr_logreg_predict"
+        "hashed_features", "hashed_nb_predict", "hashed_nb_top_k", "ovr_logreg_predict"
     }
 
 
