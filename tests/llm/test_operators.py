@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,18 @@ def test_main_html(spark):
     assert mainhtml.extract(pages.limit(0)).count() == 0
 
 
+def test_toxicity_scores_a_text_alike_in_any_batch():
+    random = np.random.default_rng(5)
+    size = 1 << toxicity.BUCKET_BITS
+    machine = toxicity.Machine(
+        0.1, random.normal(size=size), random.normal(size=(size, toxicity.FACTORS)), np.ones(size, bool)
+    )
+    texts = ["one two three", None, "", "three two one four", "one two three"]
+    together = machine.scores(*toxicity.hashed_terms(pa.array(texts, pa.string())))
+    alone = [machine.scores(*toxicity.hashed_terms(pa.array([t], pa.string())))[0] for t in texts]
+    assert together.tolist() == alone and together[0] == together[4]
+
+
 def test_toxicity(spark):
     random = np.random.default_rng(8)
     rows, labels = [(900, None), (901, ""), (None, "w1")], [(900, 0), (950, None), (None, 1)]
