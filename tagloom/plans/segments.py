@@ -31,10 +31,15 @@ def override_non_english(label: Column, english: Column) -> Column:
     return F.when(english, label).otherwise(F.lit(UNSUPPORTED_LANGUAGE))
 
 
-def _same_record(id_col: str) -> Column:
+def _keys(detected: DataFrame) -> list[str]:
+    """The text keys of ``detected``; without them its ids must name one record each."""
+    return [key for key in ("_key_a", "_key_b") if key in detected.columns]
+
+
+def _same_record(id_col: str, keys: Sequence[str]) -> Column:
     """Rows of ``r`` and ``d`` with the same id, or none, and the same text."""
     same = F.col(f"r.{id_col}").eqNullSafe(F.col(f"d.{id_col}"))
-    for key in ("_key_a", "_key_b"):
+    for key in keys:
         same = same & (F.col(f"r.{key}") == F.col(f"d.{key}"))
     return same
 
@@ -51,7 +56,7 @@ def prepare_training(
 
     ``drop_stop_word_pieces`` first drops comma-separated pieces that are a stop word.
     Without it splitting and joining on commas is left out: cleaning turns commas into
-    blanks. With ``detected`` (id, _key_a, _key_b, lang_pred) the detected language of the
+    blanks. With ``detected`` (id, lang_pred, and where ids repeat the text keys) the detected language of the
     record decides what is English instead of the characters; that costs a join of the texts.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
@@ -60,7 +65,7 @@ def prepare_training(
     else:
         keyed = records.select("*", *text_key(F.col(text_col))).alias("r")
         chosen = detected.where(F.col("lang_pred") == "en").alias("d")
-        english = keyed.join(chosen, _same_record(id_col), "left_semi").drop("_key_a", "_key_b")
+        english = keyed.join(chosen, _same_record(id_col, _keys(detected)), "left_semi").drop("_key_a", "_key_b")
     text = F.col(text_col)
     if drop_stop_word_pieces:
         pieces = drop_stop_pieces(comma_pieces(text), default_stop_words())
@@ -116,7 +121,7 @@ def batch_segments(
     """``(id, predictedLabelFinal)``: the segment of each record.
 
     ``non_english="override"`` answers such records with a message, ``"drop"`` leaves them
-    out. With ``detected`` (id, _key_a, _key_b, lang_pred) the detected language decides instead
+    out. With ``detected`` (id, lang_pred, and where ids repeat the text keys) the detected language decides instead
     of the characters; it is joined to the scores, one small row per record, not to the texts.
     """
     if non_english not in ("override", "drop"):
@@ -124,7 +129,7 @@ def batch_segments(
     by_characters = detected is None
     if by_characters and non_english == "drop":
         records = records.where(is_english(F.col(text_col)))
-    carry = () if by_characters else ("_key_a", "_key_b")
+    carry = () if by_characters else _keys(detected)
     if carry:
         records = records.select(id_col, text_col, *text_key(F.col(text_col)))
     scored = score_records(
@@ -138,7 +143,7 @@ def batch_segments(
         answered = (
             answered.drop("english")
             .alias("r")
-            .join(found.alias("d"), _same_record(id_col), "left")
+            .join(found.alias("d"), _same_record(id_col, carry), "left")
             .select(f"r.{id_col}", "r.predictedLabel", F.coalesce("d.english", F.lit(False)).alias("english"))
         )
         if non_english == "drop":
