@@ -24,6 +24,7 @@ HEADLINE = (
     "top_k_segments",
     "evaluate_metrics",
     "hashed_nb_predict",
+    "ovr_logreg_predict",
     "language_profiles",
     "detect_language",
     "lemmatize_vocab",
