@@ -47,11 +47,6 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 ROW_BYTES = 96
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; looks at no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def broadcast_size(df: DataFrame, *text_cols: str, row_bytes: int = ROW_BYTES) -> int:
     """Bytes that broadcasting ``df`` takes, measured on all of its rows."""
     text = F.lit(row_bytes).cast("long")
