@@ -4,6 +4,9 @@ Markup is stripped to lines, one per block element. A line weighs its characters
 its elements say that it is not the article: menus, headers, footers, sidebars, forms,
 notices, adverts, reader comments, or mostly links. Sums of ``LINES`` consecutive weights surge
 where the text sets in and dive to zero behind it; a stretch whose sums reach the threshold is kept.
+
+``<article>`` and ``<main>`` only change weights: if they hold most of the unlinked text, their lines
+weigh more and those around them less. Lines within and outside of them are summed apart.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from tagloom.llm import texts
 LINES = 3
 THRESHOLD = 60
 LINK_SHARE = 0.6
+# Weights of a character in and outside of the articles of a page, if they hold most of its text.
+WITHIN, AROUND = 4, 0.25
 
 TAG = re.compile(
     r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)/?>"
@@ -49,38 +54,52 @@ PART = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def is_aside(tag: str, attributes: str) -> bool:
+def is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is set aside for what it is, and whether parts of its names mark it."""
     if tag in ASIDE:
-        return True
+        return True, False
     if tag in ("html", "body") or not attributes:
-        return False
+        return False, False
+    marked = False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name in ("class", "id") and MARKS & set(PART.findall(CAMEL.sub(" ", value).lower())):
-            return tag not in ARTICLE
-    return False
+            marked = True
+    return False, marked
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     """``(text, set aside, in an article, share of links)`` of every block of the page, in order."""
     lines, pieces, linked, total = [], [], 0, 0
-    # Open elements: name, whether it is set aside, whether it is an article.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: name, whether it is set aside, number of the mark or 0, whether it is an article.
+    stack: list[tuple[str, bool, int, bool]] = []
     opened: Counter[str] = Counter()
     asides = articles = links = 0
+    marks: list[int] = []
+    n_marks = 0
 
     def flush() -> None:
         nonlocal pieces, linked, total
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                lines.append((text, asides > 0, articles > 0, linked / max(total, 1)))
+                lines.append((text, asides > 0, tuple(marks), articles > 0, linked / max(total, 1)))
             pieces, linked, total = [], 0, 0
 
+    def close() -> str:
+        nonlocal asides, articles
+        name, aside, mark, article = stack.pop()
+        opened[name] -= 1
+        asides -= aside
+        articles -= article
+        if mark:
+            marks.pop()
+        return name
+
     def say(text: str) -> None:
         nonlocal linked, total
         if text:
@@ -106,10 +125,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         if closing:
             if opened[tag]:
                 while True:
-                    name, aside, article = stack.pop()
-                    opened[name] -= 1
-                    asides -= aside
-                    articles -= article
+                    name = close()
                     links -= name == "a"
                     if name == tag:
                         break
@@ -125,44 +141,54 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
             # An open element of the kind ends where its next one begins.
             while stack and stack[-1][0] == tag:
-                _, aside, article = stack.pop()
-                opened[tag] -= 1
-                asides -= aside
-                articles -= article
-        aside = is_aside(tag, attributes)
-        stack.append((tag, aside, tag in ARTICLE))
+                close()
+        aside, marked = is_aside(tag, attributes)
+        mark = 0
+        if marked and tag not in ARTICLE:
+            mark = n_marks = n_marks + 1
+            marks.append(mark)
+        stack.append((tag, aside, mark, tag in ARTICLE))
         opened[tag] += 1
         asides += aside
         articles += tag in ARTICLE
         links += tag == "a"
     say(page[at:] if page[at : at + 1] != "<" else "")
     flush()
-    return lines
+    return [
+        (text, aside or bool(marks), article, share)
+        for text, aside, marks, article, share in lines
+    ]
 
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    inside = any(article and not aside for _, aside, article, _ in lines)
-    weights = np.array(
-        [
-            0 if aside or (inside and not article) or (not inside and share > LINK_SHARE) else len(text)
-            for text, aside, article, share in lines
-        ],
-        np.int64,
-    )
-    if not weights.any():
+    sizes = np.array([0 if aside else len(text) for text, aside, _, _ in lines], np.int64)
+    within = np.array([article for _, _, article, _ in lines], bool)
+    unlinked = np.array([share <= LINK_SHARE for *_, share in lines], bool)
+    told = sizes * unlinked
+    # Articles that hold the lesser part are teasers or comments, and weigh like any other text.
+    mostly = 2 * told[within].sum() >= told.sum() and sizes[within].any()
+    weights = np.where(within, WITHIN, AROUND) * np.where(within, sizes, told) if mostly else told.astype(float)
+    # Lines in an article and around it are summed apart, so that neither carries the other.
+    parts = [np.where(within, weights, 0), np.where(within, 0, weights)]
+    sums = [_sums(part) for part in parts]
+    threshold = min(THRESHOLD, max((s.max() for s in sums if len(s)), default=0))
+    if not threshold:
         return ""
-    padded = np.concatenate([weights, np.zeros(LINES - 1, np.int64)])
-    sums = sum(padded[k : k + len(weights)] for k in range(LINES))
-    threshold = min(THRESHOLD, int(sums.max()))
-    # A stretch of lines runs from the surge to the dive: LINES lines without weight.
-    surging = np.concatenate([[False], sums > 0, [False]])
-    turns = np.flatnonzero(surging[1:] != surging[:-1])
-    kept = []
-    for surge, dive in zip(turns[::2], turns[1::2], strict=True):
-        if inside or sums[surge:dive].max() >= threshold:
-            kept += [lines[i][0] for i in range(surge, dive) if weights[i]]
-    return " ".join(kept)
+    kept = np.zeros(len(lines), bool)
+    for part, summed in zip(parts, sums, strict=True):
+        # A stretch of lines runs from the surge to the dive: LINES lines without weight.
+        surging = np.concatenate([[False], summed > 0, [False]])
+        turns = np.flatnonzero(surging[1:] != surging[:-1])
+        for surge, dive in zip(turns[::2], turns[1::2], strict=True):
+            if summed[surge:dive].max() >= threshold:
+                kept[surge:dive] |= part[surge:dive] > 0
+    return " ".join(lines[i][0] for i in np.flatnonzero(kept))
+
+
+def _sums(weights: np.ndarray) -> np.ndarray:
+    padded = np.concatenate([weights, np.zeros(LINES - 1)])
+    return sum(padded[k : k + len(weights)] for k in range(LINES))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -407,6 +407,16 @@ def test_main_html(spark):
     assert mainhtml.extract(pages.limit(0)).count() == 0
 
 
+BODY = " ".join(f"Paragraph {i} tells at some length what happened in the town on that day." for i in range(6))
+PARAGRAPHS = "".join(f"<p>{x}.</p>" for x in BODY[:-1].split(". "))
+
+
+def test_main_html_surges_decide_around_articles():
+    cards = "".join(f"<article><a href=/{i}>Card {i}</a></article>" for i in range(5))
+    assert mainhtml.main_text(f"<div>{PARAGRAPHS}</div>{cards}") == BODY
+    assert mainhtml.main_text(f"<article>{PARAGRAPHS}</article><div>All rights reserved</div>") == BODY
+
+
 def test_toxicity_scores_a_text_alike_in_any_batch():
     random = np.random.default_rng(5)
     size = 1 << toxicity.BUCKET_BITS
