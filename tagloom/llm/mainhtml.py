@@ -6,7 +6,9 @@ notices, adverts, reader comments, or mostly links. Sums of ``LINES`` consecutiv
 where the text sets in and dive to zero behind it; a stretch whose sums reach the threshold is kept.
 
 ``<article>`` and ``<main>`` only change weights: if they hold most of the unlinked text, their lines
-weigh more and those around them less. Lines within and outside of them are summed apart.
+weigh more and those around them less. Lines within and outside of them are summed apart. An element
+that only its class or id marks is not set aside if it holds most of the articles' text, or, on a page
+without an article, most of the unlinked text: it is a wrapper.
 """
 
 from __future__ import annotations
@@ -154,12 +156,25 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         links += tag == "a"
     say(page[at:] if page[at : at + 1] != "<" else "")
     flush()
+    wrappers = wrappers_of(lines)
     return [
-        (text, aside or bool(marks), article, share)
+        (text, aside or not wrappers.issuperset(marks), article, share)
         for text, aside, marks, article, share in lines
     ]
 
 
+def wrappers_of(lines: list[tuple[str, bool, tuple[int, ...], bool, float]]) -> set[int]:
+    """Numbers of the marks whose elements hold most of the articles' text, or else of all unlinked text."""
+    told = [x for x in lines if not x[1] and x[4] <= LINK_SHARE]
+    told = [x for x in told if x[3]] or told
+    held: Counter[int] = Counter()
+    for text, _, marks, _, _ in told:
+        for mark in marks:
+            held[mark] += len(text)
+    total = sum(len(x[0]) for x in told)
+    return {mark for mark, n in held.items() if 2 * n > total}
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
     sizes = np.array([0 if aside else len(text) for text, aside, _, _ in lines], np.int64)

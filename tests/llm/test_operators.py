@@ -411,6 +411,19 @@ BODY = " ".join(f"Paragraph {i} tells at some length what happened in the town o
 PARAGRAPHS = "".join(f"<p>{x}.</p>" for x in BODY[:-1].split(". "))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout with-sidebar'><article>{}</article><div class=sidebar>Side</div></div>",
+        "<div class='overflow-hidden'>{}</div><div class=ad>Buy</div>",
+        "<div id='share-page'><main>{}</main></div><section class=related><article>Card</article></section>",
+        "<article>{}</article><section id=comments><p>Reader says</p></section>",
+    ],
+)
+def test_main_html_sets_no_wrapper_aside(page):
+    assert mainhtml.main_text(page.format(PARAGRAPHS)) == BODY
+
+
 def test_main_html_surges_decide_around_articles():
     cards = "".join(f"<article><a href=/{i}>Card {i}</a></article>" for i in range(5))
     assert mainhtml.main_text(f"<div>{PARAGRAPHS}</div>{cards}") == BODY
