@@ -25,10 +25,15 @@ SAMPLE_ROWS = 2_000
 BUCKET_BITS = 20
 # Terms are whole words and their beginnings of so many bytes, which inflected forms share.
 PREFIX_BYTES = (4, 5, 6)
-# Terms in fewer sampled rows, or with a smaller chi-squared against the label, would be learnt by
-# heart; they keep the weight 0.
+# Terms in fewer sampled rows, or with a smaller log-likelihood ratio against the label that take part
+# in no telling pair either, would be learnt by heart; they keep the weight 0.
 LEAST_ROWS = 5
-LEAST_CHI_SQUARED = 25.0
+LEAST_RATIO = 15.0
+# Pairs of terms in at least so many toxic rows, whose label each term leaves open but both together
+# tell. The limit is above what the best of some 10**8 chance pairs reaches.
+PAIR_ROWS = 20
+LEAST_CHI_SQUARED = 50.0
+PAIR_BLOCK = 1024
 FACTORS = 4
 EPOCHS = 40
 BATCH_ROWS = 64
@@ -83,15 +88,57 @@ def hashed_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which buckets occur often enough and not alike under both labels."""
+    """Which buckets occur often enough and not alike under both labels, alone or in pairs."""
     size, n, toxic = 1 << BUCKET_BITS, len(rows), labels.sum()
     row = np.repeat(labels, [len(terms) for terms in rows])
     flat = np.concatenate(rows)
     a = np.bincount(flat, row, size)
     total = np.bincount(flat, minlength=size)
-    expected = total * toxic / n
-    spread = np.maximum(expected * (1 - toxic / n) * (1 - total / n), 1e-9)
-    return (total >= LEAST_ROWS) & ((a - expected) ** 2 / spread >= LEAST_CHI_SQUARED)
+    ratio = np.zeros(size)
+    for seen, label_share in ((a, toxic / n), (total - a, 1 - toxic / n)):
+        for observed, expected in (
+            (seen, total * label_share), (n * label_share - seen, (n - total) * label_share)
+        ):
+            ratio += 2 * observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9))
+    return (total >= LEAST_ROWS) & (ratio >= LEAST_RATIO) | in_pairs(rows, labels, a)
+
+
+def in_pairs(rows: list[np.ndarray], labels: np.ndarray, toxic_rows: np.ndarray) -> np.ndarray:
+    """Which buckets tell the label together with another one.
+
+    Among the rows with either term the other one has to go with the label, so that a telling term
+    does not pull in every common one that stands beside it.
+    """
+    terms = np.flatnonzero(toxic_rows >= PAIR_ROWS)
+    place = np.full(len(toxic_rows), -1)
+    place[terms] = np.arange(len(terms))
+    toxic, clean = (np.zeros(((labels == k).sum(), len(terms)), np.uint8) for k in (1, 0))
+    for held, label in ((toxic, 1), (clean, 0)):
+        for i, row in enumerate(np.flatnonzero(labels == label)):
+            at = place[rows[row]]
+            held[i, at[at >= 0]] = 1
+    t = toxic.sum(axis=0, dtype=np.int64)
+    n = t + clean.sum(axis=0, dtype=np.int64)
+    share = t / np.maximum(n, 1)
+    telling = np.zeros(len(terms), bool)
+    starts = range(0, len(terms), PAIR_BLOCK)
+    for start, other in ((x, y) for x in starts for y in starts if x <= y):
+        cut, rest = slice(start, start + PAIR_BLOCK), slice(other, other + PAIR_BLOCK)
+        hits, misses = (x[:, cut].T.astype(np.float32) @ x[:, rest].astype(np.float32) for x in (toxic, clean))
+        both = hits + misses
+        more = hits - both * np.maximum(share[cut, None], share[None, rest])
+        i, j = np.nonzero((hits >= PAIR_ROWS) & (more > 0))
+        hits, both, i, j = hits[i, j], both[i, j], i + start, j + other
+        least = np.full(len(hits), np.inf)
+        for one in (i, j):
+            expected = both * share[one]
+            spread = np.maximum(expected * (1 - share[one]) * (1 - both / n[one]), 1e-3)
+            least = np.minimum(least, (hits - expected) ** 2 / spread)
+        found = least >= LEAST_CHI_SQUARED
+        telling[i[found]] = telling[j[found]] = True
+    out = np.zeros(len(toxic_rows), bool)
+    out[terms[telling]] = True
+    return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:

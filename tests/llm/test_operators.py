@@ -442,6 +442,22 @@ def test_toxicity_scores_a_text_alike_in_any_batch():
     assert together.tolist() == alone and together[0] == together[4]
 
 
+def test_toxicity_is_learnt_from_pairs_of_neutral_terms():
+    random = np.random.default_rng(8)
+    pairs = [(1, 2), (3, 4), (1, 3), (2, 4)]
+    rows = [np.unique([*random.integers(100, 400, 40), *pairs[i % 4]]) for i in range(900)]
+    labels = np.array([float(i % 4 < 2) for i in range(900)])
+    machine = toxicity.fit(rows[:600], labels[:600])
+    first = np.concatenate([[0], np.cumsum([len(row) for row in rows[600:]])])
+    scores = machine.scores(np.concatenate(rows[600:]), first)
+    assert ((scores >= toxicity.THRESHOLD) == (labels[600:] == 1)).all()
+
+
+def test_toxicity_keeps_rare_terms_of_large_samples():
+    rows = [np.array([1000 + i, *([1] if i < 24 else [])]) for i in range(4000)]
+    assert toxicity.telling(rows, (np.arange(4000) < 2000).astype(float))[1]
+
+
 def test_toxicity(spark):
     random = np.random.default_rng(8)
     rows, labels = [(900, None), (901, ""), (None, "w1")], [(900, 0), (950, None), (None, 1)]
