@@ -4,11 +4,14 @@ A document leaks an item when some passage of it turns into the item's words (bo
 with at most ``EDITS`` of the item's number of words inserted, deleted or replaced.
 
 * Where: an edit destroys at most two of the item's word pairs, so a leaking passage still
-  holds ``n - 1 - 2 * edits`` pairs of it. Every place of a text with as many of an item is found.
+  holds ``n - 1 - 2 * edits`` pairs of it, repeated ones counted as often as they occur, and all
+  but ``2 * edits`` of its different pairs. Every place of a text with as many of an item is found.
+  An item of one word has no pairs; its word is looked up.
 * Which: in those places item-sized windows and the items walk through the CGK embedding, where
   a few edits become a few unequal places. Windows and items with equal samples of
   ``SAMPLED`` places, in any of ``WALKS * SAMPLES`` repetitions, are candidates.
-* Confirmed: a candidate's exact edit distance against the text around the window.
+* Confirmed: the exact edit distance of a candidate, and of the item whose pairs led to the place,
+  against the text around the window.
 """
 
 from __future__ import annotations
@@ -46,6 +49,9 @@ class Items:
     words: list[np.ndarray]
     pairs: np.ndarray
     pair_items: np.ndarray
+    distinct: np.ndarray
+    single_words: np.ndarray
+    single_items: np.ndarray
     seen: np.ndarray
     keys: np.ndarray
     key_items: np.ndarray
@@ -112,11 +118,17 @@ def index_items(ids: list[int], items: list[str]) -> Items:
     pair_order = np.argsort(flat_pairs, kind="stable")
     seen = np.zeros(1 << SEEN_BITS, bool)
     seen[flat_pairs >> np.uint64(64 - SEEN_BITS)] = True
+    single = np.flatnonzero(lengths == 1)
+    single_words = flat[starts[single]]
+    single_order = np.argsort(single_words, kind="stable")
     return Items(
         np.array(ids, np.int64)[kept],
         words,
         flat_pairs[pair_order],
         np.repeat(np.arange(len(words)), [len(p) for p in pairs])[pair_order],
+        np.array([len(p) for p in pairs], np.int64),
+        single_words[single_order],
+        single[single_order],
         seen,
         np.concatenate(keys)[order],
         np.concatenate(owners)[order],
@@ -144,22 +156,23 @@ def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words; a single word stands for itself."""
-    return texts.runs_hashes(words, 2) if len(words) > 1 else words
+    """Hashes of neighbouring words."""
+    return texts.runs_hashes(words, 2) if len(words) > 1 else words[:0]
 
 
 def least_pairs(length: int) -> int:
-    """Pairs of an item that its leaks still hold."""
+    """Pairs of an item that its leaks still hold, each counted as often as it occurs."""
     return max(1, length - 1 - 2 * allowed(length))
 
 
-def places(at: np.ndarray, pair: np.ndarray, length: int) -> list[tuple[int, int]]:
+def places(at: np.ndarray, pair: np.ndarray, length: int, distinct: int) -> list[tuple[int, int]]:
     """Bounds of the stretches in which a passage of an item may lie.
 
-    ``at`` are the places of the item's pairs in a text, in order, ``pair`` which pairs they are.
+    ``at`` are the places of the item's pairs in a text, in order, ``pair`` which pairs they are,
+    ``distinct`` how many different ones the item has.
     """
     least, reach = least_pairs(length), length + allowed(length)
-    if len(np.unique(pair)) < least:
+    if len(np.unique(pair)) < distinct - 2 * allowed(length):
         return []
     ahead = np.searchsorted(at, at + reach) - np.arange(len(at))
     out: list[tuple[int, int]] = []
@@ -181,8 +194,19 @@ def held_pairs(pairs: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     return np.repeat(place, n), items.pair_items[index], items.pairs[index]
 
 
+def held_words(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, item)`` of every word of a text that is a whole item, by place."""
+    left = np.searchsorted(items.single_words, words, side="left")
+    n = np.searchsorted(items.single_words, words, side="right") - left
+    index = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(words)), n), items.single_items[index]
+
+
 def leaks_of(
-    words: np.ndarray, items: Items, held: tuple[np.ndarray, ...] | None = None
+    words: np.ndarray,
+    items: Items,
+    held: tuple[np.ndarray, ...] | None = None,
+    alone: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> list[tuple[int, int, int, int, int]]:
     """``(item, edits, item words, start, end)`` of the items that a text leaks; best passage."""
     if not len(words) or not len(items.ids):
@@ -193,17 +217,21 @@ def leaks_of(
     needed = np.maximum(1, lengths - 1 - 2 * (EDITS * lengths).astype(int))
     tried: set[tuple[int, int, int]] = set()
     best: dict[int, tuple[int, int, int, int, int]] = {}
+    at, single = held_words(words, items) if alone is None else alone
+    single, first = np.unique(single, return_index=True)
+    for item, start in zip(single.tolist(), at[first].tolist(), strict=True):
+        best[item] = (item, 0, 1, start, start + 1)
     for likely in np.flatnonzero(counts >= needed).tolist():
         length = int(lengths[likely])
         mine = owner == likely
-        for low, high in places(place[mine], pair[mine], length):
+        for low, high in places(place[mine], pair[mine], length, int(items.distinct[likely])):
             low, high = max(0, low), min(len(words), high)
             starts = np.arange(low, max(low + 1, high - length // 2), dtype=np.int64)
             keys = embedding_keys(words, starts, np.full(len(starts), length)).ravel()
             left = np.searchsorted(items.keys, keys, side="left")
             right = np.searchsorted(items.keys, keys, side="right")
             hits = [items.key_items[left[h] : right[h]] for h in np.flatnonzero(right > left)]
-            for item in np.unique(np.concatenate(hits)).tolist() if hits else []:
+            for item in np.unique(np.concatenate([[likely], *hits])).tolist():
                 if (item, low, high) in tried:
                     continue
                 tried.add((item, low, high))
@@ -246,14 +274,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 pairs[last[(last > 0) & (last <= len(pairs))] - 1] = 0
                 place, owner, pair = held_pairs(pairs, shared.value)
                 bounds = np.searchsorted(place, split.first)
+                at, single = held_words(hashes, shared.value)
+                single_bounds = np.searchsorted(at, split.first)
                 ids, rows = batch.column("doc_id").to_pylist(), []
-                for row in np.flatnonzero(np.diff(bounds) > 0):
+                for row in np.flatnonzero((np.diff(bounds) > 0) | (np.diff(single_bounds) > 0)):
                     a, b = split.first[row], split.first[row + 1]
                     part = slice(bounds[row], bounds[row + 1])
                     held = (place[part] - a, owner[part], pair[part])
-                    own = hashes[a:b]
-                    held = held if b - a > 1 else None
-                    rows += [(ids[row], *leak) for leak in leaks_of(own, shared.value, held)]
+                    part = slice(single_bounds[row], single_bounds[row + 1])
+                    alone = (at[part] - a, single[part])
+                    rows += [(ids[row], *leak) for leak in leaks_of(hashes[a:b], shared.value, held, alone)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]

@@ -301,6 +301,24 @@ def test_decontamination(spark):
     assert clean == {100, 101, 102}
 
 
+def test_decontamination_of_repetitive_and_one_word_items(spark):
+    twice = "a1 of the a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 of the a12 a13 a14 a15 a16".split()
+    changed = [f"z{i}" if i in (5, 8, 16, 18) else w for i, w in enumerate(twice)]
+    items = [(1, "ha ha ha ha ha"), (2, " ".join(twice)), (3, "Sesame"), (4, "na na na na na na hey na na na")]
+    rows = [
+        (1, "they said ha ha ha ha ha and left"), (2, "x y " + " ".join(changed) + " v w"), (3, "sesame"),
+        (4, "open sesame now"), (5, "so ha ha oh ha ha then"), (6, "na na na oh na na hey na oh na"), (7, "ha na"),
+    ]
+    got = decontamination.leaks(
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+    leaks = {(r.doc_id, r.item_id): (r.edits, r.start_word, r.end_word) for r in got.collect()}
+    assert leaks.keys() == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 1), (6, 4)}
+    assert leaks[1, 1] == (0, 2, 7) and leaks[2, 2] == (4, 2, 22) and leaks[4, 3] == (0, 1, 2)
+    assert (leaks[5, 1][0], leaks[6, 4][0]) == (1, 2)
+
+
 def test_exact_edit_distance():
     random = np.random.default_rng(6)
     for _ in range(50):
