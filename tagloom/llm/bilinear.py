@@ -1,8 +1,10 @@
 """Scores of texts by a log-bilinear language model, trained with noise-contrastive estimation.
 
 The two words before predict the next one: score(w) = (c1 * r_prev + c2 * r_prev2) . q_w + b_w. The
-``VOCABULARY`` most frequent words have parameters of their own, all others share one more
-symbol and are told apart by their counts, so the model is normalised over all texts. Counts of all words
+frequent words (``HOT_SHARE``) have vectors of their own, before and after; all others share one more
+symbol and are told apart by their counts. The ``HEAD`` most frequent words, the shared symbol and classes
+of words of like frequency are predicted first, then the word within its class, each step normalised
+over its choices, so the model is normalised over all texts. Counts of all words
 come from all training texts. So do the parameters: each partition follows noise-contrastive
 gradients over its own tokens in numpy, from one start, and Spark averages the results by tokens.
 
@@ -23,11 +25,16 @@ from pyspark.sql import functions as F
 from tagloom.llm import superkmers, tables, texts
 from tagloom.shared import materialize
 
-VOCABULARY = 511
+HEAD = 255
+# Words of a class: so many, or the root of the number of words.
+CLASS_WORDS = 256
 WIDTH = 16
 NOISE = 16
+CLASS_NOISE = 4
 BATCH_TOKENS = 4096
 RATE = 0.05
+# Every trainer sends all parameters, so partitions are joined up to about so many tokens each.
+TRAINER_TOKENS = 1 << 21
 FOLDS, HELD_OUT_FOLD = 7, 2
 # A word with one in so many tokens is frequent: no more than HOT_SHARE words are.
 HOT_SHARE = 1 << 19
@@ -94,7 +101,7 @@ def frequent_words(counts: DataFrame) -> Words:
     word, c = hot.column("word").to_numpy().view(np.uint64), hot.column("c").to_numpy()
     order = np.argsort(word)
     word, c = word[order], c[order]
-    chosen = np.lexsort((word, -c))[:VOCABULARY]
+    chosen = np.lexsort((word, -c))
     symbols = np.full(len(word), len(chosen))
     symbols[chosen] = np.arange(len(chosen))
     return Words(
@@ -105,31 +112,89 @@ def frequent_words(counts: DataFrame) -> Words:
 
 @dataclass
 class Model:
-    """Parameters in one vector: words before, words to come, biases, and both position scales."""
+    """Parameters in one vector: words before, choices to come, biases, and both position scales.
+
+    Choices are the words, the shared symbol, and the classes of the words behind ``HEAD``.
+    """
 
     size: int
     flat: np.ndarray
 
+    @property
+    def class_words(self) -> int:
+        return max(CLASS_WORDS, int(np.ceil(np.sqrt(self.size))))
+
+    @property
+    def classes(self) -> int:
+        return -(-max(0, self.size - HEAD) // self.class_words)
+
+    @property
+    def choices(self) -> int:
+        return self.size + 1 + self.classes
+
+    def firsts(self) -> np.ndarray:
+        """Choices of the first step."""
+        return np.concatenate([np.arange(min(HEAD, self.size)), np.arange(self.size, self.choices)])
+
     def parts(self) -> tuple[np.ndarray, ...]:
-        before, after, n = (self.size + 2) * WIDTH, (self.size + 1) * WIDTH, self.size + 1
-        cuts = np.split(self.flat, np.cumsum([before, after, n, WIDTH]))
+        return self.parts_of(self.flat)
+
+    def parts_of(self, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        before, after, n = (self.size + 2) * WIDTH, self.choices * WIDTH, self.choices
+        cuts = np.split(flat, np.cumsum([before, after, n, WIDTH]))
         return cuts[0].reshape(-1, WIDTH), cuts[1].reshape(-1, WIDTH), cuts[2], cuts[3], cuts[4]
 
+    def class_of(self, symbols: np.ndarray) -> np.ndarray:
+        """Class of every symbol, -1 for those that are chosen in the first step."""
+        behind = (symbols >= HEAD) & (symbols < self.size)
+        return np.where(behind, (symbols - HEAD) // self.class_words, -1)
+
+    def members(self, k: int | np.ndarray) -> tuple[int | np.ndarray, int | np.ndarray]:
+        """First word and end of a class."""
+        low = HEAD + k * self.class_words
+        return low, np.minimum(low + self.class_words, self.size)
+
     def predicted(self, previous: np.ndarray, second: np.ndarray) -> np.ndarray:
         before, _, _, first_scale, second_scale = self.parts()
         return before[previous] * first_scale + before[second] * second_scale
 
     def log_totals(self, contexts: np.ndarray) -> np.ndarray:
-        """Log of the normalising sums of contexts ``previous * (size + 2) + second``."""
+        """Log of the first step's normalising sums of contexts ``previous * (size + 2) + second``."""
         _, after, bias, _, _ = self.parts()
+        firsts = self.firsts()
+        after, bias = after[firsts], bias[firsts]
         out = np.empty(len(contexts))
         for start in range(0, len(contexts), 2048):
             part = contexts[start : start + 2048]
-            scores = self.predicted(part // (self.size + 2), part % (self.size + 2)) @ after.T + bias
-            top = scores.max(axis=1)
-            out[start : start + 2048] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            q = self.predicted(part // (self.size + 2), part % (self.size + 2))
+            out[start : start + 2048] = _log_sums(q @ after.T + bias)
         return out
 
+    def log_shares(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Log-probabilities of targets behind their contexts."""
+        _, after, bias, _, _ = self.parts()
+        context, place = np.unique(one * (self.size + 2) + two, return_inverse=True)
+        own, k = -self.log_totals(context)[place], self.class_of(target)
+        first = np.where(k < 0, target, self.size + 1 + k)
+        order = np.argsort(k, kind="stable")
+        bounds = np.searchsorted(k[order], np.arange(self.classes + 1))
+        for at in range(0, len(target), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            q = self.predicted(one[cut], two[cut])
+            own[cut] += (q * after[first[cut]]).sum(axis=1) + bias[first[cut]]
+        for group in np.flatnonzero(np.diff(bounds)).tolist():
+            low, end = self.members(group)
+            for at in range(bounds[group], bounds[group + 1], 4096):
+                rows = order[at : min(at + 4096, bounds[group + 1])]
+                scores = self.predicted(one[rows], two[rows]) @ after[low:end].T + bias[low:end]
+                own[rows] += scores[np.arange(len(rows)), target[rows] - low] - _log_sums(scores)
+        return own
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+
 
 def noise_of(words: Words) -> np.ndarray:
     """Share of every symbol among the training tokens, no share being zero."""
@@ -140,9 +205,15 @@ def noise_of(words: Words) -> np.ndarray:
 
 def start(words: Words) -> Model:
     random = np.random.default_rng(5)
-    size = words.size
-    vectors = random.normal(0, 0.1, (2 * size + 3) * WIDTH)
-    return Model(size, np.concatenate([vectors, np.log(noise_of(words)), np.ones(2 * WIDTH)]))
+    model = Model(words.size, np.zeros(0))
+    noise = noise_of(words)
+    k = model.class_of(np.arange(words.size + 1))
+    shares = np.bincount(k[k >= 0], noise[k >= 0], model.classes)
+    bias = np.log(np.concatenate([noise, shares]))
+    bias[: len(k)][k >= 0] -= np.log(shares[k[k >= 0]])
+    vectors = random.normal(0, 0.1, (words.size + 2 + model.choices) * WIDTH)
+    model.flat = np.concatenate([vectors, bias, np.ones(2 * WIDTH)])
+    return model
 
 
 def contexts_of(symbols: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,35 +225,68 @@ def contexts_of(symbols: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
 
 
 class Trainer:
-    """Noise-contrastive AdaGrad steps; every batch shares its noise words."""
+    """Noise-contrastive AdaGrad steps; every batch shares the noise of its first choices."""
 
     def __init__(self, words: Words, seed: int) -> None:
-        self.model, self.noise = start(words), noise_of(words)
-        self.seen = np.full(len(self.model.flat), 1e-6)
+        self.model = start(words)
+        self.firsts = self.model.firsts()
+        noise = np.exp(self.model.parts()[2][self.firsts])
+        self.noise = noise / noise.sum()
+        self.log_noise = np.zeros(self.model.choices)
+        self.log_noise[self.firsts] = np.log(NOISE * self.noise)
+        self.seen = np.ones(len(self.model.flat))
         self.random = np.random.default_rng(seed)
         self.tokens = 0
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        model, n = self.model, len(target)
+        model = self.model
         before, after, bias, scale_one, scale_two = model.parts()
-        noise = self.random.choice(len(self.noise), NOISE, p=self.noise)
-        log_noise = np.log(NOISE * self.noise)
         q = before[one] * scale_one + before[two] * scale_two
-        true = (q * after[target]).sum(axis=1) + bias[target] - log_noise[target]
-        false = q @ after[noise].T + bias[noise] - log_noise[noise]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        g_q = up[:, None] * after[target] + down @ after[noise]
-        g_after = _summed(target, up[:, None] * q, len(after))
-        np.add.at(g_after, noise, down.T @ q)
-        g_bias = np.bincount(target, up, len(bias))
-        np.add.at(g_bias, noise, down.sum(axis=0))
-        g_before = _summed(one, g_q * scale_one, len(before)) + _summed(two, g_q * scale_two, len(before))
+        k = model.class_of(target)
+        first = np.where(k < 0, target, model.size + 1 + k)
+        noise = self.firsts[self.random.choice(len(self.firsts), NOISE, p=self.noise)]
+        up = _up((q * after[first]).sum(axis=1) + bias[first] - self.log_noise[first])
+        down = -_up(-(q @ after[noise].T + bias[noise] - self.log_noise[noise]))
+        g_q = up[:, None] * after[first] + down @ after[noise]
+        rows, slopes = [first, noise], [up[:, None] * q, down.T @ q]
+        slopes_b = [up, down.sum(axis=0)]
+        behind = np.flatnonzero(k >= 0)
+        if len(behind):
+            low, end = model.members(k[behind])
+            word, q_b = target[behind], q[behind]
+            other = low + (self.random.random((CLASS_NOISE, len(behind))) * (end - low)).astype(np.int64)
+            level = np.log(CLASS_NOISE / (end - low))
+            up = _up((q_b * after[word]).sum(axis=1) + bias[word] - level)
+            g_b = up[:, None] * after[word]
+            rows.append(word)
+            slopes.append(up[:, None] * q_b)
+            slopes_b.append(up)
+            for noise in other:
+                down = -_up(-((q_b * after[noise]).sum(axis=1) + bias[noise] - level))
+                g_b += down[:, None] * after[noise]
+                rows.append(noise)
+                slopes.append(down[:, None] * q_b)
+                slopes_b.append(down)
+            g_q[behind] += g_b
+        seen = model.parts_of(self.seen)
         g_one, g_two = (g_q * before[one]).sum(axis=0), (g_q * before[two]).sum(axis=0)
-        g = np.concatenate([g_before.ravel(), g_after.ravel(), g_bias, g_one, g_two]) / n
-        self.seen += g * g
-        model.flat += RATE * g / np.sqrt(self.seen)
-        self.tokens += n
+        used, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+        _climb(before, seen[0], used, _summed(at, np.concatenate([g_q * scale_one, g_q * scale_two]), len(used)))
+        used, at = np.unique(np.concatenate(rows), return_inverse=True)
+        _climb(after, seen[1], used, _summed(at, np.concatenate(slopes), len(used)))
+        _climb(bias, seen[2], used, np.bincount(at, np.concatenate(slopes_b), len(used)))
+        _climb(scale_one, seen[3], slice(None), g_one)
+        _climb(scale_two, seen[4], slice(None), g_two)
+        self.tokens += len(target)
+
+
+def _up(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(score, -30, 30)))
+
+
+def _climb(values: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
+    seen[rows] += g * g
+    values[rows] += RATE * g / np.sqrt(seen[rows])
 
 
 def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -214,13 +318,14 @@ def train(docs: DataFrame, words: Words) -> Model:
                 names=["place", "value", "tokens"],
             )
 
-    learnt = docs.select("text").mapInArrow(learn, "place int, value double, tokens long")
+    trainers = max(1, -(-words.tokens // TRAINER_TOKENS))
+    learnt = docs.select("text").coalesce(trainers).mapInArrow(learn, "place int, value double, tokens long")
     sums = learnt.groupBy("place").agg(F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
-    table = sums.toArrow()
+    table = sums.select("place", (F.col("value") / F.col("tokens")).cast("float").alias("value")).toArrow()
     model = start(words)
     if table.num_rows:
         place = table.column("place").to_numpy()
-        model.flat[place] = table.column("value").to_numpy() / table.column("tokens").to_numpy()
+        model.flat[place] = table.column("value").to_numpy()
     return model
 
 
@@ -240,27 +345,17 @@ def scores(docs: DataFrame) -> DataFrame:
         "word-counts",
     )
     words = frequent_words(counts)
-    shared = spark.sparkContext.broadcast((words, train(learning, words)))
-    cache: dict[int, np.ndarray] = {}
+    model = train(learning, words)
+    shared = spark.sparkContext.broadcast((words, Model(model.size, model.flat.astype(np.float32))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
         size = words.size
-        _, after, bias, _, _ = model.parts()
-        totals = cache.setdefault(0, np.full((size + 2) ** 2, np.nan))
         for batch in texts.chunks(batches):
             hashes, first = tokens_of(batch.column("text"))
             c, symbols = words.look_up(hashes)
             one, two = contexts_of(symbols, first, size)
-            context = one * (size + 2) + two
-            missing = np.unique(context[np.isnan(totals[context])])
-            totals[missing] = model.log_totals(missing)
-            own = np.empty(len(hashes))
-            for at in range(0, len(hashes), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                q = model.predicted(one[cut], two[cut])
-                own[cut] = (q * after[symbols[cut]]).sum(axis=1) + bias[symbols[cut]]
-            own = (own - totals[context]) / np.log(10)
+            own = model.log_shares(symbols, one, two) / np.log(10)
             other = symbols == size
             own[other] -= np.log10(words.other_tokens + words.other_distinct + 1)
             known = np.log10(c + 1.0)

@@ -366,6 +366,31 @@ def test_bilinear_is_normalised():
     assert np.exp(scores - model.log_totals(contexts)[:, None]).sum(axis=1) == pytest.approx(np.ones(49))
 
 
+def test_bilinear_classes_are_normalised(monkeypatch):
+    monkeypatch.setattr(bilinear, "HEAD", 3)
+    monkeypatch.setattr(bilinear, "CLASS_WORDS", 6)
+    words = bilinear.Words(np.arange(20, dtype=np.uint64), np.arange(30, 10, -1), np.arange(20), 20, 600, 29, 190, 9)
+    trainer = bilinear.Trainer(words, 1)
+    random = np.random.default_rng(1)
+    for _ in range(20):
+        trainer.step(random.integers(0, 21, 64), random.integers(0, 22, 64), random.integers(0, 22, 64))
+    assert trainer.model.classes == 3
+    one, two = np.divmod(np.arange(22 * 22), 22)
+    each = [trainer.model.log_shares(np.full(len(one), t), one, two) for t in range(21)]
+    assert np.exp(each).sum(axis=0) == pytest.approx(np.ones(len(one)))
+
+
+def test_bilinear_vocabulary_grows_and_held_out_texts_gain(spark):
+    random = np.random.default_rng(7)
+    rows = [(i, " ".join(f"t{i % 3}w{k}" for k in random.integers(0, 400, 300))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.xxhash64("w").alias("word"))
+    assert bilinear.frequent_words(counts.agg(F.count(F.lit(1)).alias("c"))).size == 1200
+    held = bilinear.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"))
+    score, base, tokens = held.first()
+    assert score > base + 0.01 * tokens
+
+
 def test_balancing(docs, empty):
     got = balancing.mixed(docs).collect()
     sizes = {i: len(words_of(t)) for i, t in enumerate(TEXTS)}
