@@ -16,8 +16,10 @@ from tagloom.llm import (
     minhash,
     pii,
     toxicity,
+    vectorcodes,
     wordwindows,
 )
+from tagloom.llm.oracle import ORACLE_SQL  # noqa: F401  (read by the entry)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +82,11 @@ def op10_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytewindows.without_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors."""
+    return vectorcodes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -93,7 +100,6 @@ QUERIES: dict[str, Query] = {
         op8_mainhtml,
         op9_toxicity,
         op10_bwt,
+        op11_codes,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

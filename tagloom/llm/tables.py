@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.shared import BROADCAST_BYTES
+from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
 
 # Spark keeps about so many bytes for each row of a broadcast hash table of single ids.
 ID_ROW_BYTES = 64
@@ -25,6 +25,45 @@ def join_by_id(rows: DataFrame, ids: DataFrame, on: str, how: str = "inner") ->
     return rows.join(F.broadcast(ids) if small else ids, on, how)
 
 
+# Rows that a hot-key table broadcasts at most, whatever the input's size.
+HOT_KEYS = 4096
+
+
+def join_hot(
+    rows: DataFrame, table: DataFrame, key: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row per ``key``, NULL a key too), all rows kept.
+
+    A table whose measured size fits is broadcast. Of a larger one only the rows of hot keys are,
+    those that at least one in ``HOT_KEYS`` of the rows have, so that no more than ``HOT_KEYS`` of them
+    exist; rows of other keys are shuffled, and no key of them fills a task.
+    """
+    table = materialize(table, "keys")
+    names = [c for c in table.columns if c != key]
+    renamed = table.withColumnRenamed(key, "_key")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.join(right, left[key].eqNullSafe(right["_key"]), "left")
+        return both.select(*rows.columns, *names)
+
+    texts = [c for c, kind in table.dtypes if kind == "string"]
+    if broadcast_size(table, *texts) <= broadcast_bytes:
+        return joined(rows, F.broadcast(renamed))
+    counts = rows.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counts.where(F.col("_n") * HOT_KEYS >= F.lit(rows.count())).select("_of"), "hot")
+    is_hot = renamed["_key"].eqNullSafe(hot["_of"])
+    here = rows[key].eqNullSafe(hot["_of"])
+    near = joined(
+        rows.join(F.broadcast(hot), here, "left_semi"),
+        F.broadcast(renamed.join(F.broadcast(hot), is_hot, "left_semi")),
+    )
+    far = joined(
+        rows.join(F.broadcast(hot), here, "left_anti"),
+        renamed.join(F.broadcast(hot), is_hot, "left_anti"),
+    )
+    return near.unionByName(far)
+
+
 def in_training(id_col: str, modulus: int, held_out: int) -> Column:
     """Whether a row is learnt from: crc32 of its id as text leaves another remainder."""
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
