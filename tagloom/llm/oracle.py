@@ -67,6 +67,56 @@ FROM coded c JOIN kept k ON k.vec_id = c.vec_id CROSS JOIN whole w"""
     )
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# HUGEINT products and whole division keep the shares exact.
+_AUDIT = f"""
+WITH read AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                              '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM documents
+),
+in_documents AS (
+    SELECT row, lang, source, term, count(*) AS n
+    FROM (SELECT row, lang, source, unnest(terms) AS term FROM read) GROUP BY ALL
+),
+kept AS (
+    SELECT lang, term, sum(n) AS total FROM in_documents GROUP BY lang, term HAVING count(*) >= 30
+),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+cells AS (
+    SELECT d.lang, d.source, d.term, sum(d.n) AS n
+    FROM in_documents d JOIN kept k ON k.lang = d.lang AND k.term = d.term GROUP BY ALL
+),
+sizes AS (SELECT lang, source, sum(n) AS n FROM cells GROUP BY ALL),
+shares AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (coalesce(s.n, 0) + 5 * l.v) AS p,
+           1 + (1000000000 * (k.total + 5)::HUGEINT) // (l.n + 5 * l.v) AS q
+    FROM (SELECT DISTINCT lang, source FROM read) g
+    JOIN langs l ON l.lang = g.lang
+    JOIN kept k ON k.lang = g.lang
+    LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y
+                     ON y.lang = x.lang AND y.term = x.term
+                     WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+    FROM (SELECT DISTINCT lang, source FROM read) a
+    JOIN (SELECT DISTINCT lang, source FROM read) b ON b.lang = a.lang AND b.source <> a.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM found)
+WHERE part = 'pair' OR rank <= 50"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op11_codes": _codes_sql(4),
+    "op12_divergence": _AUDIT,
 }

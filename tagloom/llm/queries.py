@@ -15,6 +15,7 @@ from tagloom.llm import (
     mainhtml,
     minhash,
     pii,
+    sourceaudit,
     toxicity,
     vectorcodes,
     wordwindows,
@@ -87,6 +88,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.encode(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of every language, over all documents."""
+    return sourceaudit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -101,5 +107,6 @@ QUERIES: dict[str, Query] = {
         op9_toxicity,
         op10_bwt,
         op11_codes,
+        op12_divergence,
     )
 }
