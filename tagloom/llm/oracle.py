@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tagloom.llm.hostfilter import LEAST_BAD, RULES, STRONGEST, TWO_LABEL_SUFFIXES, WEAKEST, Z
+
 def _codes_sql(rounds: int) -> str:
     """Product codes; squared distances of integers are exact in doubles."""
     assign = """
@@ -115,8 +117,76 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
     FROM found)
 WHERE part = 'pair' OR rank <= 50"""
 
+_SUFFIXES = ", ".join(f"'{suffix}'" for suffix in TWO_LABEL_SUFFIXES)
+
+
+def _shrunk(children: str, parents: str, on: str) -> str:
+    """A level of the reputation: children, their parents' mean, and the weight of that mean."""
+    return f"""
+SELECT j.*, w.weight, (w.weight * j.prior + j.k) / (w.weight + j.n) AS mean
+FROM (SELECT c.*, p.mean AS prior FROM {children} c JOIN {parents} p USING ({on})) j,
+     (SELECT coalesce(least({STRONGEST}, greatest({WEAKEST}, 1 / nullif(r, 0) - 1)), {STRONGEST}) AS weight
+      FROM (SELECT CASE WHEN sum(v * (n - 1)) > 0
+                        THEN greatest(0, sum((k - n * prior) ** 2 - v) / sum(v * (n - 1))) END AS r
+            FROM (SELECT c.n, c.k, p.mean AS prior, c.n * p.mean * (1 - p.mean) AS v
+                  FROM {children} c JOIN {parents} p USING ({on})))) w"""
+
+
+_HOSTS = f"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+    FROM pages
+),
+parsed AS MATERIALIZED (
+    SELECT page_id,
+           coalesce(translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+           coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM rest
+),
+outcomes AS (
+    SELECT doc_id AS page_id, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad
+    FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
+),
+named AS (
+    SELECT host, n, k, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name
+    FROM (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k
+          FROM parsed JOIN outcomes USING (page_id) GROUP BY host)
+),
+counts AS MATERIALIZED (
+    SELECT host, n, k, '' AS top,
+           CASE WHEN regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$') OR name LIKE '[%' THEN name
+                WHEN two IN ({_SUFFIXES}) THEN regexp_extract(name, '([^.]*\\.)?[^.]*\\.[^.]*$')
+                ELSE two END AS domain,
+           CASE WHEN regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$') OR name LIKE '[%' THEN name
+                WHEN two IN ({_SUFFIXES}) THEN two ELSE regexp_extract(name, '[^.]*$') END AS suffix
+    FROM (SELECT *, regexp_extract(name, '([^.]*\\.)?[^.]*$') AS two FROM named)
+),
+whole AS (SELECT '' AS top, sum(k) / sum(n) AS mean FROM counts),
+suffix_counts AS (SELECT suffix, '' AS top, sum(n) AS n, sum(k) AS k FROM counts GROUP BY suffix),
+suffixes AS ({_shrunk("suffix_counts", "whole", "top")}),
+domain_counts AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM counts GROUP BY ALL),
+domains AS ({_shrunk("domain_counts", "suffixes", "suffix")}),
+hosts AS ({_shrunk("counts", "domains", "domain, suffix")}),
+bounds AS (
+    SELECT host, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound
+    FROM (SELECT host, weight * prior + k AS a, weight * (1 - prior) + n - k AS b FROM hosts)
+),
+ruled AS (
+    SELECT p.page_id, p.host, p.path, b.bound, r.rule, r.verdict,
+           row_number() OVER (PARTITION BY p.row ORDER BY length(r.rule) DESC) AS nth
+    FROM (SELECT *, row_number() OVER () AS row FROM parsed) p
+    LEFT JOIN bounds b ON b.host = p.host
+    LEFT JOIN (VALUES {", ".join(f"('{verdict}', '{rule}')" for verdict, rule in RULES)}) r(verdict, rule)
+    ON (p.host = split_part(r.rule, '/', 1) OR ends_with(p.host, '.' || split_part(r.rule, '/', 1)))
+       AND starts_with(p.path, substr(r.rule, instr(r.rule, '/')))
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN bound >= {LEAST_BAD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled WHERE nth = 1"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op11_codes": _codes_sql(4),
     "op12_divergence": _AUDIT,
+    "op13_hosts": _HOSTS,
 }

@@ -11,6 +11,7 @@ from tagloom.llm import (
     bilinear,
     bytewindows,
     decontamination,
+    hostfilter,
     lattice,
     mainhtml,
     minhash,
@@ -93,6 +94,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourceaudit.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages; rows of ``labels`` are outcomes of the pages of their id."""
+    outcomes = hostfilter.bad_labels(_table(spark, sf_dir, "labels"))
+    return hostfilter.filtered(_table(spark, sf_dir, "pages"), outcomes).drop("bad_bound")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -108,5 +115,6 @@ QUERIES: dict[str, Query] = {
         op10_bwt,
         op11_codes,
         op12_divergence,
+        op13_hosts,
     )
 }

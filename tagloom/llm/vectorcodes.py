@@ -16,6 +16,7 @@ smallest ids NULL comes last, equal ones by their components. Errors beyond a lo
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,8 @@ LEAVES = 4096
 # Below this, sums of squares are exact in double precision.
 EXACT = 2.0**53
 LONG_MAX = (1 << 63) - 1
+# Bits of a sum that travel in one long.
+LIMB_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ class Layout:
         else:
             half = 1 << (8 * self.width - 1)
             raised = (values.astype(np.int64) + half).astype(f">u{self.width}")
-        return np.ascontiguousarray(raised).view(np.uint8).reshape(len(values), -1)
+        return np.ascontiguousarray(raised).view(np.uint8).reshape(len(values), self.width * values.shape[1])
 
     def unpacked(self, data: np.ndarray) -> np.ndarray:
         """Integers as doubles from byte rows."""
@@ -237,7 +240,8 @@ def _sorted_parts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     keys = np.ascontiguousarray(packed).view(f"V{wide}").ravel()
     order = np.lexsort(packed.T[::-1])
     ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
     place = np.empty(n, np.int64)
     place[order] = np.cumsum(new) - 1
     return packed[order[new]], place, np.diff(np.append(np.flatnonzero(new), n))
@@ -245,7 +249,7 @@ def _sorted_parts(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _moved(distinct: DataFrame, codebooks: list[np.ndarray], layout: Layout) -> list[np.ndarray]:
     """Codebooks whose used entries are the floored means of the parts nearest to them."""
-    kind = "part int, entry int, n decimal(38,0), sums array<decimal(38,0)>"
+    limbs = 2 if layout.width < 8 else 30
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int], list] = {}
@@ -268,22 +272,18 @@ def _moved(distinct: DataFrame, codebooks: list[np.ndarray], layout: Layout) ->
                 [
                     pa.array([k[0] for k in totals], pa.int32()),
                     pa.array([k[1] for k in totals], pa.int32()),
-                    _decimals([v[0] for v in totals.values()]),
-                    pa.ListArray.from_arrays(
-                        np.cumsum([0] + [len(v[1]) for v in totals.values()]).astype(np.int32),
-                        _decimals([x for v in totals.values() for x in v[1]]),
-                    ),
+                    pa.array([_limbs([n, *sums], limbs) for n, sums in totals.values()], pa.list_(pa.int64())),
                 ],
-                ["part", "entry", "n", "sums"],
+                ["part", "entry", "sums"],
             )
 
-    partial = distinct.mapInArrow(summed, kind)
-    # One row per entry and component, at most; the counts are component -1.
-    each = partial.select(
-        "part", "entry", F.posexplode(F.concat(F.array("n"), F.col("sums"))).alias("place", "value")
-    )
+    partial = distinct.mapInArrow(summed, "part int, entry int, sums array<long>")
+    # Limbs add up on their own: as many rows as the codebooks have components, whatever the input.
+    each = partial.select("part", "entry", F.posexplode("sums").alias("place", "value"))
     rows = each.groupBy("part", "entry", "place").agg(F.sum("value").alias("value")).collect()
-    sums = {(row.part, row.entry, row.place): int(row.value) for row in rows}
+    sums: dict[tuple[int, int, int], int] = defaultdict(int)
+    for row in rows:
+        sums[row.part, row.entry, row.place // limbs] += row.value << (LIMB_BITS * (row.place % limbs))
     moved = [book.copy() for book in codebooks]
     for (part, entry, place), value in sums.items():
         if place:
@@ -291,10 +291,14 @@ def _moved(distinct: DataFrame, codebooks: list[np.ndarray], layout: Layout) ->
     return moved
 
 
-def _decimals(values: list[int]) -> pa.Array:
-    from decimal import Decimal
-
-    return pa.array([Decimal(x) for x in values], pa.decimal128(38, 0))
+def _limbs(values: list[int], limbs: int) -> list[int]:
+    """Whole numbers of any size as ``limbs`` longs each, the lowest bits first, the sign in the last."""
+    low = (1 << LIMB_BITS) - 1
+    return [
+        (x >> (LIMB_BITS * k)) & low if k < limbs - 1 else x >> (LIMB_BITS * k)
+        for x in values
+        for k in range(limbs)
+    ]
 
 
 def _byte_rows(column: pa.Array) -> np.ndarray:
@@ -332,8 +336,6 @@ def _coded(
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             vectors = batch.column(2)
             fits = np.asarray(vectors.value_lengths()) == length
             values = scaled(_matrix(vectors.filter(pa.array(fits)))) if fits.any() else np.zeros((0, length))
