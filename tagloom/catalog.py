@@ -240,6 +240,11 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "lang", "source", cleaned.alias("cleaned"))
 
 
+def _cleaned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, for queries that make a lexicon of the texts and apply it to them."""
+    return materialize(_cleaned(spark, sf_dir), "cleaned")
+
+
 def _commonest(docs: DataFrame, tag: Column, least_letters: int) -> DataFrame:
     """``(word, tag)`` of the words of so many letters: the tag most of their uses have."""
     words = text.explode_once(text.tokens(F.col("cleaned"))).alias("word")
@@ -257,7 +262,7 @@ def lemmatize_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def lookup_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words replaced through a dictionary: longer words by the source they occur in most often."""
-    docs = _cleaned(spark, sf_dir)
+    docs = _cleaned_once(spark, sf_dir)
     entries = _commonest(docs, F.col("source"), 6).withColumnRenamed("tag", "value")
     return lexicon.replace_words(docs, "doc_id", "cleaned", entries)
 
@@ -268,7 +273,7 @@ def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Words of fewer than five letters are not in the lexicon and get the default tag.
     """
-    docs = _cleaned(spark, sf_dir)
+    docs = _cleaned_once(spark, sf_dir)
     tags = _commonest(docs, F.upper("lang"), 5)
     return lexicon.annotate_words(docs, "doc_id", "cleaned", tags, "XX")
 
@@ -276,7 +281,7 @@ def annotate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def lemmatize_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base forms from a lexicon before the rules; here it lists the source of longer words."""
-    docs = _cleaned(spark, sf_dir)
+    docs = _cleaned_once(spark, sf_dir)
     listed = _commonest(docs, F.col("source"), 6).withColumnRenamed("tag", "lemma")
     return lexicon.lemmatize_by_lexicon(docs, "doc_id", "cleaned", listed)
 
@@ -284,7 +289,7 @@ def lemmatize_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def drop_listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a listed table dropped: here those that stand in at least a tenth of the documents."""
-    docs = _cleaned(spark, sf_dir)
+    docs = _cleaned_once(spark, sf_dir)
     words = docs.select(text.explode_once(F.array_distinct(text.tokens(F.col("cleaned")))).alias("word"))
     least = docs.count() / 10
     listed = words.groupBy("word").count().where(F.col("count") >= least)

@@ -23,13 +23,20 @@ from pyspark.sql import functions as F
 from tagloom.functions.patterns import HASH_BUCKETS, SMOOTHING
 from tagloom.functions.ranking import index_of
 from tagloom.functions.text import explode_once, text_key
+from tagloom.operators.bloom import bloom_filter
 from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materialize
 
-# Up to so many classes have a sum each in generated code; of more, the sums are rows. Both ways
-# give the same scores.
+# Up to so many classes have a sum each in generated code; of more, terms are postings of the classes
+# that have seen them and sums are rows. Both ways give the same scores.
 CLASS_COLUMNS = 100
-# Copies of the rare terms that a shuffled join spreads a term's rows over.
-SALTS = 8
+# Bytes of a posting, and classes that are put in order together.
+POSTING_BYTES = 16
+CLASS_BLOCK = 64
+# The commonest words of the scored records that are looked for, the items their sketch tracks, and the
+# groups that a shuffle partition gets if no word is more common than the others.
+HEAVY_WORDS = 1024
+TRACKED_WORDS = 1 << 16
+GROUPS = 4
 
 TERMS_SCHEMA = "label string, term string, n bigint"
 
@@ -85,19 +92,26 @@ class BayesModel:
         indexed = self.term_rows().select(
             "term", "n", index_of(F.col("label"), self.labels).alias("label_idx")
         )
-        if len(classes) > CLASS_COLUMNS:
-            seen = F.map_from_entries(F.collect_list(F.struct("label_idx", "n")))
-            grouped = indexed.groupBy("term").agg(F.sum("n").alias("total"), seen.alias("seen"))
-            index = F.sequence(F.lit(0), F.lit(len(classes) - 1))
-            weight = F.transform(
-                index, lambda i: F.log((F.coalesce(F.col("seen")[i], F.lit(0)) + F.lit(s)) / F.lit(s))
-            )
-            return grouped.select("term", "total", weight.alias("weights"))
         per_class = [F.expr(f"sum(if(label_idx = {i}, n, 0)) AS n{i}") for i in classes]
         grouped = indexed.groupBy("term").agg(F.sum("n").alias("total"), *per_class)
         weights = ", ".join(f"ln((n{i} + {s!r}D) / {s!r}D)" for i in classes)
         return grouped.selectExpr("term", "total", f"array({weights}) AS weights")
 
+    def term_postings(self) -> DataFrame:
+        """``(term, total, weights)``: only classes that have seen the term, as ``(_class, _weight)``.
+
+        A row has as many entries as the model has for the term, however many classes there are.
+        """
+        spark = self.counts.sparkSession
+        # As long as the class statistics that the driver holds.
+        names = spark.createDataFrame(list(enumerate(self.labels)), "_class int, label string")
+        s = self.smoothing
+        weight = F.log((F.col("n") + F.lit(s)) / F.lit(s)).alias("_weight")
+        indexed = self.term_rows().join(F.broadcast(names), "label")
+        return indexed.groupBy("term").agg(
+            F.sum("n").alias("total"), F.collect_list(F.struct("_class", weight)).alias("weights")
+        )
+
     def save(self, path: str) -> None:
         """Counts as Parquet, class statistics and settings as one small JSON row."""
         settings = {
@@ -179,11 +193,10 @@ def class_scores(
     tokens counts as one unknown word.
 
     A model within ``broadcast_bytes`` is joined on the map side, and each record is added up
-    where it was read: one small row per record is shuffled. Of a larger model only frequent
-    terms are broadcast, those whose share of all tokens is at least the share of the limit that
-    their row takes, so that all of them together keep within it; the others are joined by a
-    shuffle, salted so that a word that is rare in training but frequent in these records does
-    not meet in one task.
+    where it was read: one small row per record is shuffled. Of a larger model the weights of words that are
+    common in these records are broadcast, as many as fit; a sketch of the records finds them. Of the
+    other words a Bloom filter rules out those that the model does not know, and the rest are shuffled;
+    a common word that did not fit is spread over as many groups as its estimated count asks for.
     """
     keep = [id_col, *carry]
     record = [*keep, "_words_a", "_words_b", "_length"]
@@ -193,37 +206,22 @@ def class_scores(
         F.greatest(F.coalesce(F.size(tokens_col), F.lit(1)), F.lit(1)).alias("_length"),
         F.col(tokens_col).alias("_tokens"),
     )
-    row_bytes = 8 * len(model.classes) + ROW_BYTES
-    weights = model.term_weights()
+    size = len(model.classes)
+    sparse = size > CLASS_COLUMNS
+    weights = model.term_postings() if sparse else model.term_weights()
+    row_bytes = ROW_BYTES + (POSTING_BYTES if sparse else 8 * size)
     # Terms counted once per class they occur in: too high, but known from the fit.
     small = sum(c.terms * row_bytes + c.term_bytes for c in model.classes) <= broadcast_bytes
     if not small:
         weights = materialize(weights, "bayes-weights")
-        small = broadcast_size(weights, "term", row_bytes=row_bytes) <= broadcast_bytes
+        small = _bytes(weights, sparse, size) <= broadcast_bytes
     if small:
         hits = _words(docs, record).join(F.broadcast(weights), "term", "left")
     else:
         # Both halves of the join read the tokens: clean the texts once.
         words = _words(materialize(docs, "score-tokens"), record)
-        hits = _split_join(words, weights, model, row_bytes, broadcast_bytes)
-    size = len(model.classes)
-    copies = F.sum(F.col("_first").cast("long")).alias("_copies")
-    if size <= CLASS_COLUMNS:
-        sums = [F.expr(f"sum(weights[{i}]) AS _s{i}") for i in range(size)]
-        summed = hits.groupBy(*record).agg(copies, *sums).withColumn(
-            "_sums", F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(size)])
-        )
-    else:
-        # The first word of a record brings all classes, known or not.
-        none = F.when(F.col("_first"), F.array_repeat(F.lit(0.0), size))
-        rows = hits.select(
-            *record, "_first", F.posexplode(F.coalesce("weights", none)).alias("_class", "_weight")
-        )
-        per_class = rows.groupBy(*record, "_class").agg(copies, F.sum("_weight").alias("_sum"))
-        in_order = F.array_sort(F.collect_list(F.struct("_class", "_sum")))
-        summed = per_class.groupBy(*record).agg(
-            F.max("_copies").alias("_copies"), in_order.getField("_sum").alias("_sums")
-        )
+        hits = _split_join(words, weights, id_col, broadcast_bytes, sparse, size)
+    summed = _sparse_sums(hits, record, size) if sparse else _dense_sums(hits, record, size)
     scored = summed.select(*keep, "_copies", _scores(model).alias("scores"))
     # One row for each of the records that agree.
     each = scored.select(*keep, "scores", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
@@ -233,30 +231,123 @@ def class_scores(
 def _words(docs: DataFrame, record: Sequence[str]) -> DataFrame:
     """One row per word; ``_first`` marks exactly one row of every record."""
     words = docs.select(*record, F.posexplode_outer("_tokens").alias("_position", "term"))
-    first = F.coalesce(F.col("_position") == 0, F.lit(True))
-    return words.withColumn("_first", first).drop("_position")
+    return words.withColumn("_first", F.coalesce(F.col("_position") == 0, F.lit(True)))
+
+
+def _bytes(weights: DataFrame, sparse: bool, size: int) -> int:
+    """What broadcasting written weights takes."""
+    if not sparse:
+        return broadcast_size(weights, "term", row_bytes=8 * size + ROW_BYTES)
+    entries = weights.agg(F.coalesce(F.sum(F.size("weights")), F.lit(0)).alias("n")).first().n
+    return broadcast_size(weights, "term") + POSTING_BYTES * entries
+
+
+def _dense_sums(hits: DataFrame, record: Sequence[str], size: int) -> DataFrame:
+    """``(*record, _copies, _sums)`` from dense weights: one sum per class in generated code."""
+    copies = F.sum(F.col("_first").cast("long")).alias("_copies")
+    sums = [F.expr(f"sum(weights[{i}]) AS _s{i}") for i in range(size)]
+    return hits.groupBy(*record).agg(copies, *sums).withColumn(
+        "_sums", F.array(*[F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(size)])
+    )
+
+
+def _sparse_sums(hits: DataFrame, record: Sequence[str], size: int) -> DataFrame:
+    """``(*record, _copies, _sums)`` from postings: rows in proportion to the entries of the words.
+
+    Class -1 counts the records that agree. Sums are put in order in blocks of classes, so that
+    looking one up compares it with the few of its block.
+    """
+    one = F.array(F.struct(F.lit(-1).alias("_class"), F.lit(1.0).alias("_weight")))
+    known = F.coalesce("weights", F.array().cast("array<struct<_class:int,_weight:double>>"))
+    posted = F.when(F.col("_first"), F.concat(one, known)).otherwise(known)
+    # The outer form, see ``explode_once``; words without entries leave a row that the filter drops.
+    rows = hits.select(*record, F.inline_outer(posted)).where(F.col("_class").isNotNull())
+    summed = rows.groupBy(*record, "_class").agg(F.sum("_weight").alias("_sum"))
+    block = F.floor(F.col("_class") / CLASS_BLOCK).cast("int").alias("_block")
+    blocks = summed.groupBy(*record, block).agg(
+        F.map_from_entries(F.collect_list(F.struct("_class", "_sum"))).alias("_in_block")
+    )
+    whole = blocks.groupBy(*record).agg(
+        F.map_from_entries(F.collect_list(F.struct("_block", "_in_block"))).alias("_blocks")
+    )
+
+    def dense(block: Column) -> Column:
+        last = F.least(block * CLASS_BLOCK + (CLASS_BLOCK - 1), F.lit(size - 1))
+        classes = F.sequence(block * CLASS_BLOCK, last)
+        own = F.array(F.element_at("_blocks", block))
+        return F.flatten(
+            F.transform(
+                own,
+                lambda sums: F.transform(classes, lambda c: F.coalesce(F.element_at(sums, c), F.lit(0.0))),
+            )
+        )
+
+    blocks_of = F.sequence(F.lit(0), F.lit((size - 1) // CLASS_BLOCK))
+    copies = F.element_at(F.element_at("_blocks", F.lit(-1)), F.lit(-1)).cast("long")
+    return whole.select(
+        *record, copies.alias("_copies"), F.flatten(F.transform(blocks_of, dense)).alias("_sums")
+    )
+
+
+def heavy_words(words: DataFrame, weights_bytes: int, broadcast_bytes: int) -> DataFrame:
+    """``(term, salts)`` of the words that would fill a task, at most ``HEAVY_WORDS`` of them.
+
+    A mergeable sketch of frequent items estimates their counts in one pass. The commonest, as many as
+    fit the limit at ``weights_bytes`` each, have 0 salts, which stands for broadcasting them; each of
+    the others gets so many that a salt has about as many rows as a group of its share.
+    """
+    found = words.where(F.col("term").isNotNull()).agg(
+        F.call_function(
+            "approx_top_k", F.col("term"), F.lit(HEAVY_WORDS), F.lit(TRACKED_WORDS)
+        ).alias("top"),
+        F.count("term").alias("n"),
+    ).first()
+    spark = words.sparkSession
+    groups = GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    room = broadcast_bytes // max(1, weights_bytes)
+    rows = []
+    for item in found.top or []:
+        salts = -(-item["count"] * groups // found.n)
+        if len(rows) < room:
+            rows.append((item["item"], 0))
+        elif salts > 1:
+            rows.append((item["item"], salts))
+    return spark.createDataFrame(rows, "term string, salts int")
 
 
 def _split_join(
-    words: DataFrame, weights: DataFrame, model: BayesModel, row_bytes: int, broadcast_bytes: int
+    words: DataFrame, weights: DataFrame, id_col: str, broadcast_bytes: int, sparse: bool, size: int
 ) -> DataFrame:
-    share = max(1, broadcast_bytes) / max(1, sum(stats.tokens for stats in model.classes))
-    is_frequent = F.col("total") * F.lit(share) >= F.octet_length("term") + F.lit(row_bytes)
-    frequent = weights.where(is_frequent)
-    rare = weights.where(~is_frequent)
-    near = words.join(F.broadcast(frequent), "term", "left")
-    far = (
-        words.where(F.col("term").isNotNull())
-        .join(F.broadcast(frequent.select("term")), "term", "left_anti")
+    # A heavy word may be one that every class has seen.
+    widest = ROW_BYTES + size * (POSTING_BYTES if sparse else 8)
+    heavy = heavy_words(words, widest, broadcast_bytes)
+    near_terms = heavy.where("salts = 0").select("term")
+    near = words.join(
+        F.broadcast(weights.join(F.broadcast(near_terms), "term")), "term", "left"
+    ).drop("_position")
+    far = far_rows(words, weights, heavy, id_col)
+    return near.unionByName(far.select(*near.columns))
+
+
+def far_rows(words: DataFrame, weights: DataFrame, heavy: DataFrame, id_col: str) -> DataFrame:
+    """Known words that are not broadcast, with their weights: one shuffle by word and salt."""
+    known = bloom_filter(weights.select(F.col("term").alias("word")))
+    salts = F.coalesce("salts", F.lit(1))
+    salted_words = (
+        words.where(F.col("term").isNotNull() & known.may_contain(F.col("term")))
+        .join(F.broadcast(heavy), "term", "left")
+        .where(salts > 0)
         .withColumn("_first", F.lit(False))
-        .withColumn("_salt", F.pmod(F.col("_words_a"), F.lit(SALTS)).cast("int"))
-        .join(
-            rare.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
-            ["term", "_salt"],
-        )
-        .drop("_salt")
+        .withColumn("_salt", F.pmod(F.xxhash64(id_col, "_words_a", "_position"), salts).cast("int"))
+        .drop("salts")
+    )
+    salted_weights = (
+        weights.join(F.broadcast(heavy), "term", "left")
+        .where(salts > 0)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("salts")
     )
-    return near.unionByName(far)
+    return salted_words.join(salted_weights, ["term", "_salt"]).drop("_salt")
 
 
 def _scores(model: BayesModel) -> Column:

@@ -1,8 +1,9 @@
 """Word-by-word work against a table: replace, tag, lemmatize by lexicon, drop listed words.
 
-All four explode the text to ``(id, position, word)``, join the table and put the words back
-in order. Each text is regrouped on its own id and a hash of it, so a group is one text, never
-a corpus: records may share an id or have none, and every one of them is answered.
+All four look up the distinct words of a text, piece by piece, and join only those that the table
+lists. The entries of a piece come back as one map, and the words of the text are replaced through it
+in an array expression: no row per word is shuffled, and texts are shuffled once. Maps belong to a
+record's id and a hash of its text: records may share an id or have none, and all are answered.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.lemma import lemma
 from tagloom.functions.text import explode_once, text_key
-from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
+from tagloom.operators.hotkeys import join_entries
+from tagloom.shared import BROADCAST_BYTES, materialize
 
-# Copies of a large lexicon that the rows of one frequent word are spread over.
-SALTS = 16
+# Words that share a map: looking one up compares it with the others, so a map stays short.
+PIECE_WORDS = 64
 
 
 def replace_words(
@@ -113,42 +115,51 @@ def _rebuild(
     broadcast_bytes: int,
     render: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    pieces = F.split(F.rtrim(F.col(text_col), F.lit(" ")), " ")
-    record = [id_col, "_key_a", "_key_b"]
-    words = docs.select(
-        id_col,
-        *text_key(F.col(text_col)),
-        F.posexplode_outer(pieces).alias("_position", "word"),
-    )
     # One entry per word, so that a repeated entry cannot multiply words.
     entries = materialize(
-        lexicon.groupBy("word").agg(F.min(value_col).alias("_value")), "lexicon"
-    )
-    if broadcast_size(entries, "word", "_value") <= broadcast_bytes:
-        joined = words.join(F.broadcast(entries), "word", "left")
-    else:
-        # Frequent words would meet in one task: spread them over copies of their entry.
-        salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = words.withColumn(
-            "_salt", F.pmod(F.xxhash64("_key_a", "_position"), F.lit(SALTS))
-        ).join(salted, ["word", "_salt"], "left")
-    # As a set: records that agree in id and text give the same words.
-    in_order = F.array_sort(
-        F.collect_set(
-            F.struct("_position", render(F.col("word"), F.col("_value")).alias("_out"))
-        )
+        lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.min(value_col).alias("_value")),
+        "lexicon",
     )
-    first = F.coalesce(F.col("_position") == 0, F.lit(True))
-    rebuilt = joined.groupBy(*record).agg(
-        in_order.alias("_words"),
-        F.max("_position").alias("_last"),
-        F.sum(first.cast("long")).alias("_copies"),
+    record = [id_col, "_key_a", "_key_b"]
+    keyed = docs.select(id_col, F.col(text_col).alias("_text"), *text_key(F.col(text_col)))
+    # Outer forms and filters after them: see ``explode_once``.
+    pieces = keyed.select(*record, F.posexplode_outer(_pieces(F.col("_text"))).alias("_piece", "_words"))
+    found = pieces.select(*record, "_piece", explode_once(F.array_distinct("_words")).alias("word"))
+    hits = join_entries(found.where(F.col("word").isNotNull()), entries, broadcast_bytes)
+    # Combined where they were found: rows of pieces and records are shuffled, not of words.
+    listed = F.map_from_entries(F.collect_set(F.struct("word", "_value")))
+    of_piece = hits.groupBy(*record, "_piece").agg(listed.alias("_listed"))
+    of_record = of_piece.groupBy(*record).agg(
+        F.map_from_entries(F.collect_list(F.struct("_piece", "_listed"))).alias("_maps")
+    ).select(F.col(id_col).alias("_id"), F.col("_key_a").alias("_a"), F.col("_key_b").alias("_b"), "_maps")
+    same = (
+        F.col(id_col).eqNullSafe(F.col("_id"))
+        & (F.col("_key_a") == F.col("_a"))
+        & (F.col("_key_b") == F.col("_b"))
     )
-    text = F.array_join(F.col("_words").getField("_out"), separator)
-    # A NULL text has no position and stays NULL.
-    out = rebuilt.select(
-        id_col,
-        F.when(F.col("_last").isNotNull(), text).alias(out_col),
-        F.explode(F.sequence(F.lit(1).cast("long"), "_copies")),
+
+    def rendered(words: Column, piece: Column) -> Column:
+        # An array of one element binds the map once for all words of the piece.
+        own = F.array(F.element_at("_maps", piece))
+        return F.flatten(
+            F.transform(own, lambda values: F.transform(words, lambda word: render(word, F.element_at(values, word))))
+        )
+
+    words = F.flatten(F.transform(_pieces(F.col("_text")), rendered))
+    # Words rendered as NULL are dropped by the join.
+    return keyed.join(of_record, same, "left").select(
+        id_col, F.array_join(words, separator).alias(out_col)
     )
-    return out.select(id_col, out_col)
+
+
+def _pieces(text: Column) -> Column:
+    """The words of a text as arrays of at most ``PIECE_WORDS``; NULL for a NULL text."""
+    words = F.array(F.split(F.rtrim(text, F.lit(" ")), " "))
+
+    def cut(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / PIECE_WORDS).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * PIECE_WORDS + 1, PIECE_WORDS)
+        )
+
+    return F.when(text.isNotNull(), F.flatten(F.transform(words, cut)))

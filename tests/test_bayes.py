@@ -183,3 +183,83 @@ def test_rows_without_label_or_text(spark):
     )
     stats = {s.label: (s.docs, s.tokens) for s in bayes.fit(docs, "segment").classes}
     assert stats == {"Finance": (2, 1), "Games": (1, 1)}
+
+
+def _words_of(spark, texts):
+    docs = tokenized(spark, texts).select(
+        "appId",
+        *text_key(F.col("tokens"), "_words"),
+        F.size("tokens").alias("_length"),
+        F.col("tokens").alias("_tokens"),
+    )
+    return bayes._words(docs, ["appId", "_words_a", "_words_b", "_length"])
+
+
+@pytest.fixture
+def monkeypatch_conf():
+    kept = {}
+
+    def put(spark, values):
+        for key, value in values.items():
+            kept.setdefault(key, (spark, spark.conf.get(key)))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, (spark, value) in kept.items():
+        spark.conf.set(key, value)
+
+
+def test_one_common_word_fills_no_task(spark, training, monkeypatch_conf):
+    texts = [(f"r{i}", " ".join(["budget"] * 5)) for i in range(2000)]
+    words = _words_of(spark, texts)
+    model = segments.train(training)
+    weights = model.term_weights()
+    heavy = bayes.heavy_words(words, 100, 0)
+    groups = bayes.GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r.term, r.salts) for r in heavy.collect()] == [("budget", groups)]
+    # As on a large table: nothing small enough to broadcast, no partitions joined.
+    monkeypatch_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"})
+    far = bayes.far_rows(words, weights, heavy, "appId")
+    assert far.count() == 10_000
+    dealt = [r["count"] for r in far.groupBy("_first", F.spark_partition_id().alias("p")).count().collect()]
+    assert len(dealt) > 1 and max(dealt) <= 3 * sorted(dealt)[len(dealt) // 2]
+
+
+def test_heavy_words_that_fit_are_broadcast(spark, training):
+    words = _words_of(spark, [(str(i), "bank bank chess w%d" % i) for i in range(500)])
+    heavy = {r.term: r.salts for r in bayes.heavy_words(words, 100, 150).collect()}
+    assert heavy["bank"] == 0 and heavy["chess"] > 1 and len(heavy) == 2
+    far = bayes.far_rows(words, segments.train(training).term_weights(), bayes.heavy_words(words, 100, 150), "appId")
+    # Unknown words are ruled out, the broadcast word is not shuffled.
+    assert {r.term for r in far.collect()} == {"chess"}
+
+
+def test_no_words_at_all(spark, training):
+    words = _words_of(spark, [("a", "x")]).where("false")
+    assert bayes.heavy_words(words, 100, 0).collect() == []
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1, 1 << 30])
+def test_postings_equal_dense_weights(spark, broadcast_bytes, monkeypatch):
+    labels = 230
+    rows = [(f"c{i % labels:03d}", f"w{i % 7} w{i % 31} only{i % labels} all") for i in range(900)]
+    docs = spark.createDataFrame(rows, "segment string, text string").select(
+        "segment", tokens(F.col("text")).alias("tokens")
+    )
+    model = bayes.fit(docs, "segment")
+    texts = [("a", "w1 w1 all"), ("b", "only7 only7 w3"), ("c", "unknown"), ("d", ""), ("e", None), ("a", "w1 w1 all"), (None, "all")]
+    scored = tokenized(spark, texts)
+
+    def of(df):
+        return sorted((r.appId or "", [round(x, 6) for x in r.scores]) for r in df.collect())
+
+    sparse = of(bayes.class_scores(scored, model, "appId", broadcast_bytes=broadcast_bytes))
+    monkeypatch.setattr(bayes, "CLASS_COLUMNS", labels)
+    assert sparse == of(bayes.class_scores(scored, model, "appId"))
+
+
+def test_rows_follow_the_entries_of_the_model(spark):
+    docs = spark.createDataFrame([(f"c{i}", [f"w{i}", "all"]) for i in range(300)], "segment string, tokens array<string>")
+    model = bayes.fit(docs, "segment")
+    sizes = {r.term: len(r.weights) for r in model.term_postings().collect()}
+    assert sizes.pop("all") == 300 and set(sizes.values()) == {1}

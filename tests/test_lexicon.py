@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import lexicon
+from tagloom.operators import bloom, lexicon
 
 DOCS = [(1, "big cats run big"), (2, "cats"), (3, ""), (4, None), (5, "a  b "), (6, "unknown words")]
 
@@ -69,3 +69,46 @@ def test_vocabulary(spark):
     docs = spark.createDataFrame([(["cats", "cats", "run"],), (None,)], "tokens array<string>")
     assert as_dict(lexicon.vocabulary_lemmas(docs)) == {"cats": "cat", "run": "run"}
     assert lexicon.vocabulary(docs).where(F.col("word").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_long_and_null_values(spark, broadcast_bytes):
+    words = [f"w{i % 700}" for i in range(5000)]
+    rows = [("long", " ".join(words)), ("blank", "   "), (None, "w1"), ("same", "w1"), ("same", "w1")]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    entries = spark.createDataFrame([(f"w{i}", f"v{i}") for i in range(0, 700, 2)] + [(None, "x"), ("w3", None)],
+                                    "word string, value string")
+    got = lexicon.replace_words(docs, "id", "text", entries, broadcast_bytes=broadcast_bytes).collect()
+    expected = " ".join(w if int(w[1:]) % 2 else "v" + w[1:] for w in words)
+    assert sorted((r.id or "", r.replaced) for r in got) == [
+        ("", "w1"), ("blank", ""), ("long", expected), ("same", "w1"), ("same", "w1")
+    ]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_no_row_per_word_is_shuffled(spark, broadcast_bytes):
+    """Rows written to exchanges: those of texts and pieces, and of the listed words, not of all words."""
+    rows = [(i, " ".join(["filler%d" % (i * k % 997) for k in range(200)] + ["listed"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    entries = spark.createDataFrame([("listed", "X")], "word string, value string")
+    out = lexicon.replace_words(docs, "id", "text", entries, broadcast_bytes=broadcast_bytes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert all("_position" not in line for line in shuffled)
+    if broadcast_bytes:
+        assert not [line for line in shuffled if "hashpartitioning(word" in line]
+    assert {r.replaced.split()[-1] for r in out.collect()} == {"X"}
+
+
+def test_bloom_filter_never_drops_a_listed_word(spark):
+    listed = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("word"))
+    for bits in (1 << 27, 64):
+        found = bloom.bloom_filter(listed, max_bits=bits)
+        assert listed.where(~found.may_contain(F.col("word"))).count() == 0
+    found = bloom.bloom_filter(listed)
+    others = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("word"))
+    assert others.where(found.may_contain(F.col("word"))).count() < 1600
+    empty = bloom.bloom_filter(listed.where("false"))
+    assert listed.where(empty.may_contain(F.col("word"))).count() == 0
+    nothing = spark.createDataFrame([(None,)], "word string")
+    assert nothing.where(found.may_contain(F.col("word")).isNull()).count() == 0
