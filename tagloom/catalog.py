@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import patterns, ranking, text
-from tagloom.operators import bayes, evaluate, features, langid, lexicon
+from tagloom.functions.lemma import lemma
+from tagloom.operators import bayes, evaluate, features, langid, lexicon, taglemma, tagger
 from tagloom.plans import corpus, mllib, segments
 from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
@@ -296,6 +297,35 @@ def drop_listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.drop_words_by_table(docs, "doc_id", "cleaned", listed)
 
 
+def _in_training(docs: DataFrame) -> DataFrame:
+    return docs.where(evaluate.in_training_part(F.col("doc_id")))
+
+
+@register
+def tag_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest tags of every word in its context, here languages, learnt from the larger part."""
+    docs = _cleaned_once(spark, sf_dir)
+    words = F.split("cleaned", " ")
+    model = tagger.fit(tagger.tagged_rows(_in_training(docs), words, F.upper("lang")))
+    return tagger.tag_sequence(docs, model, "doc_id", "cleaned")
+
+
+def _tagged_words(docs: DataFrame) -> DataFrame:
+    """Distinct ``(word, tag)`` of cleaned texts."""
+    words = text.explode_once(F.array_distinct(text.tokens(F.col("cleaned")))).alias("word")
+    return docs.select(words, F.upper("lang").alias("tag")).where(F.col("word") != "").distinct()
+
+
+@register
+def lemmatize_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base forms of all words by tag, learnt from the listed part: English words by the rules, others as they are."""
+    words = materialize(_tagged_words(_cleaned(spark, sf_dir)), "tagged-words")
+    listed = words.where(evaluate.in_training_part(F.col("word"))).withColumn(
+        "lemma", F.when(F.col("tag") == "EN", lemma(F.col("word"))).otherwise(F.col("word"))
+    )
+    return taglemma.lemmatize_tagged(words, taglemma.learn(listed))
+
+
 @register
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.language_profiles(documents(spark, sf_dir), "text", "lang")

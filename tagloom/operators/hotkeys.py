@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.bloom import bloom_filter
-from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
+from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materialize
 
 # Words that at least one in so many rows hold are hot: there cannot be more of them.
 HOT_SHARE = 4096
 
 
 def join_entries(
-    found: DataFrame, entries: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    found: DataFrame,
+    entries: DataFrame,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """``found(word, ...)`` joined with ``entries(word, _value)``, one entry a word; unlisted words go.
 
+    ``row_bytes`` is what an entry takes beyond its strings.
+
     Entries that fit are broadcast. Of a larger table a Bloom filter rules out the unlisted words where
     they stand; of those that pass, the hot ones meet a broadcast of their entries, at most ``HOT_SHARE``
     rows whatever the input, and the others are shuffled, none of them often enough to fill a task.
     """
-    if broadcast_size(entries, "word", "_value") <= broadcast_bytes:
+    strings = [name for name, kind in entries.dtypes if kind == "string"]
+    if broadcast_size(entries, *strings, row_bytes=row_bytes) <= broadcast_bytes:
         return found.join(F.broadcast(entries), "word")
     listed = bloom_filter(entries)
     passed = materialize(found.where(listed.may_contain(F.col("word"))), "listed-words")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.lemma import lemma
 from tagloom.functions.text import explode_once, text_key
 from tagloom.operators.hotkeys import join_entries
-from tagloom.shared import BROADCAST_BYTES, materialize
+from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, materialize
 
 # Words that share a map: looking one up compares it with the others, so a map stays short.
 PIECE_WORDS = 64
@@ -120,12 +120,30 @@ def _rebuild(
         lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.min(value_col).alias("_value")),
         "lexicon",
     )
+    # Words rendered as NULL are dropped by the join of the strings.
+    looked_up = look_up(docs, id_col, text_col, entries, render, broadcast_bytes)
+    return looked_up.select(id_col, F.array_join("_out", separator).alias(out_col))
+
+
+def look_up(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    entries: DataFrame,
+    render: Callable[[Column, Column], Column],
+    broadcast_bytes: int = BROADCAST_BYTES,
+    row_bytes: int = ROW_BYTES,
+) -> DataFrame:
+    """``(id, _text, _out)``: for every word of the text what ``render(word, value)`` makes of its entry.
+
+    ``entries(word, _value)`` has one row a word; the value of an unlisted word is NULL.
+    """
     record = [id_col, "_key_a", "_key_b"]
     keyed = docs.select(id_col, F.col(text_col).alias("_text"), *text_key(F.col(text_col)))
     # Outer forms and filters after them: see ``explode_once``.
     pieces = keyed.select(*record, F.posexplode_outer(_pieces(F.col("_text"))).alias("_piece", "_words"))
     found = pieces.select(*record, "_piece", explode_once(F.array_distinct("_words")).alias("word"))
-    hits = join_entries(found.where(F.col("word").isNotNull()), entries, broadcast_bytes)
+    hits = join_entries(found.where(F.col("word").isNotNull()), entries, broadcast_bytes, row_bytes)
     # Combined where they were found: rows of pieces and records are shuffled, not of words.
     listed = F.map_from_entries(F.collect_set(F.struct("word", "_value")))
     of_piece = hits.groupBy(*record, "_piece").agg(listed.alias("_listed"))
@@ -146,10 +164,7 @@ def _rebuild(
         )
 
     words = F.flatten(F.transform(_pieces(F.col("_text")), rendered))
-    # Words rendered as NULL are dropped by the join.
-    return keyed.join(of_record, same, "left").select(
-        id_col, F.array_join(words, separator).alias(out_col)
-    )
+    return keyed.join(of_record, same, "left").select(id_col, "_text", words.alias("_out"))
 
 
 def _pieces(text: Column) -> Column:

@@ -385,3 +385,93 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, c
 FROM steps GROUP BY window_start, event_type""",
     "stream_score": BATCH,
 }
+
+# --- taggers and base forms by tag -----------------------------------------------------------
+
+TAGS = """
+training AS MATERIALIZED (
+  SELECT doc_id, position, word, upper(lang) AS tag FROM words WHERE {part} AND lang IS NOT NULL),
+tags AS (SELECT tag, row_number() OVER (ORDER BY tag) AS i, n FROM (
+  SELECT tag, count(*) AS n FROM training GROUP BY tag)),
+moved AS (
+  SELECT tag AS a, lead(tag) OVER (PARTITION BY doc_id ORDER BY position) AS b FROM training),
+moves AS MATERIALIZED (
+  SELECT a.i AS a, b.i AS b, floor(ln((count(m.a) + 0.1e0)
+    / (sum(count(m.a)) OVER (PARTITION BY a.i) + 0.1e0 * (SELECT count(*) FROM tags))) * 1e6 + 0.5e0)::BIGINT AS v
+  FROM tags a CROSS JOIN tags b LEFT JOIN moved m ON m.a = a.tag AND m.b = b.tag GROUP BY a.i, b.i),
+start AS (
+  SELECT b.i, floor(ln((count(t.tag) + 0.1e0)
+    / (sum(count(t.tag)) OVER () + 0.1e0 * (SELECT count(*) FROM tags))) * 1e6 + 0.5e0)::BIGINT AS v
+  FROM tags b LEFT JOIN training t ON t.tag = b.tag AND t.position = 1 GROUP BY b.i),
+counts AS MATERIALIZED (SELECT word, tag, count(*) AS n FROM training GROUP BY ALL),
+emissions AS MATERIALIZED (
+  SELECT word, list(v ORDER BY i) AS v FROM (
+    SELECT w.word, t.i, round(ln((coalesce(c.n, 0) + 0.1e0) / (t.n + 0.1e0 * (
+      (SELECT count(DISTINCT word) FROM counts) + 1))) * 1e6)::BIGINT AS v
+    FROM (SELECT DISTINCT word FROM counts) w CROSS JOIN tags t
+    LEFT JOIN counts c ON c.word = w.word AND c.tag = t.tag) GROUP BY word),
+rare AS MATERIALIZED (
+  SELECT * FROM counts WHERE word IN (SELECT word FROM counts GROUP BY word HAVING sum(n) <= 10)),
+rare_tags AS (SELECT t.tag, t.i, coalesce(sum(r.n), 0) AS n FROM tags t LEFT JOIN rare r ON r.tag = t.tag GROUP BY ALL),
+ended AS MATERIALIZED (
+  SELECT l, right(word, l) AS ending, tag, sum(n) AS n
+  FROM rare CROSS JOIN (VALUES (1), (2), (3)) AS lengths(l) WHERE length(word) >= l GROUP BY ALL),
+endings AS MATERIALIZED (
+  SELECT l, ending, list(v ORDER BY i) AS v FROM (
+    SELECT e.l, e.ending, t.i, round(ln((coalesce(c.n, 0) + 0.1e0) / (t.n + 0.1e0 * (e.kinds + 1))) * 1e6)::BIGINT AS v
+    FROM (SELECT DISTINCT l, ending, k.kinds FROM ended JOIN (
+            SELECT l, count(DISTINCT ending) AS kinds FROM ended GROUP BY l) k USING (l)) e
+    CROSS JOIN rare_tags t
+    LEFT JOIN ended c ON c.l = e.l AND c.ending = e.ending AND c.tag = t.tag) GROUP BY l, ending),
+judged AS MATERIALIZED (
+  SELECT w.word, coalesce(m.v, e3.v, e2.v, e1.v, (SELECT list(0::BIGINT) FROM tags)) AS v
+  FROM (SELECT DISTINCT word FROM words) w
+  LEFT JOIN emissions m ON m.word = w.word
+  LEFT JOIN endings e3 ON e3.l = 3 AND length(w.word) >= 3 AND e3.ending = right(w.word, 3)
+  LEFT JOIN endings e2 ON e2.l = 2 AND length(w.word) >= 2 AND e2.ending = right(w.word, 2)
+  LEFT JOIN endings e1 ON e1.l = 1 AND length(w.word) >= 1 AND e1.ending = right(w.word, 1)),
+chains AS (
+  SELECT doc_id, list(v ORDER BY position) AS e FROM words JOIN judged USING (word) GROUP BY doc_id),
+model AS MATERIALIZED (
+  SELECT (SELECT list(v ORDER BY i) FROM start) AS s, (SELECT list(tag ORDER BY i) FROM tags) AS names,
+         (SELECT list(v ORDER BY b) FROM (SELECT b, list(v ORDER BY a) AS v FROM moves GROUP BY b)) AS inward),
+walked AS (
+  SELECT doc_id, names, list_reduce(e[2:], lambda acc, x: {{
+      'f': list_transform(inward, lambda m, b: list_max(list_transform(m, lambda v, a: v + acc.f[a])) + x[b]),
+      'k': list_append(acc.k, list_transform(inward, lambda m: list_position(
+        list_transform(m, lambda v, a: v + acc.f[a]), list_max(list_transform(m, lambda v, a: v + acc.f[a]))))::INT[])}},
+    {{'f': list_transform(s, lambda v, b: v + e[1][b]), 'k': []::INT[][]}}) AS r
+  FROM chains CROSS JOIN model),
+traced AS (
+  SELECT doc_id, names, list_reduce(list_reverse(r.k), lambda acc, k: list_append(acc, k[acc[-1]]),
+    [list_position(r.f, list_max(r.f))]::INT[]) AS path FROM walked)"""
+
+ORACLE_SQL["tag_sequence"] = f"""WITH {CLEANED}, {TAGS.format(part=TRAINING_PART)}
+SELECT c.doc_id, array_to_string(list_transform(list_reverse(path), lambda i: names[i]), ' ') AS tags
+FROM cleaned c LEFT JOIN traced t ON t.doc_id = c.doc_id"""
+
+_WORD_PART = "substr(md5(word), 1, 2) < 'cc'"
+ORACLE_SQL["lemmatize_tagged"] = f"""WITH {CLEANED},
+pairs AS MATERIALIZED (SELECT DISTINCT word, upper(lang) AS tag FROM words WHERE word <> ''),
+listed AS (
+  SELECT word, tag, CASE WHEN tag = 'EN' THEN {_lemma("word")} ELSE word END AS lemma
+  FROM pairs WHERE {_WORD_PART} AND tag IS NOT NULL),
+scripts AS (
+  SELECT word, tag, length(word) - same AS cut, substr(lemma, same + 1) AS add
+  FROM (SELECT *, len(list_filter(range(1, least(length(word), length(lemma)) + 1),
+                  lambda i: left(word, i) = left(lemma, i))) AS same FROM listed)),
+votes AS (
+  SELECT tag, d AS depth, CASE WHEN d = 7 THEN '^' || word ELSE right(word, d) END AS ending, cut, add, count(*) AS n
+  FROM scripts CROSS JOIN range(8) AS depths(d) WHERE d = 7 OR d <= length(word) GROUP BY ALL),
+trie AS MATERIALIZED (
+  SELECT tag, ending, depth, cut, add FROM votes
+  QUALIFY row_number() OVER (PARTITION BY tag, ending, depth ORDER BY n DESC, cut, add) = 1
+    AND (depth IN (0, 7) OR sum(n) OVER (PARTITION BY tag, ending, depth) >= 2)),
+found AS (
+  SELECT p.word, p.tag, t.cut, t.add FROM pairs p
+  JOIN (SELECT unnest(range(8)) AS d) depths ON d = 7 OR d <= length(p.word)
+  JOIN trie t ON t.tag = p.tag AND t.depth = d
+    AND t.ending = CASE WHEN d = 7 THEN '^' || p.word ELSE right(p.word, d) END
+  QUALIFY row_number() OVER (PARTITION BY p.word, p.tag ORDER BY d DESC) = 1)
+SELECT word, tag, CASE WHEN cut <= length(word) THEN left(word, length(word) - cut) || add ELSE word END AS lemma
+FROM pairs LEFT JOIN found USING (word, tag)"""
