@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import patterns, ranking, text
 from tagloom.functions.lemma import lemma
-from tagloom.operators import bayes, evaluate, features, langid, lexicon, taglemma, tagger
+from tagloom.operators import (
+    bayes,
+    evaluate,
+    features,
+    hashing,
+    langid,
+    lexicon,
+    onevsrest,
+    taglemma,
+    tagger,
+)
 from tagloom.plans import corpus, mllib, segments
 from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
@@ -358,9 +368,13 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashed counts of every English document, as ``bucket:n`` in bucket order."""
     words = text.tokens(F.col("clean_description"))
     docs = prepared(spark, sf_dir).select("appId", words.alias("tokens"))
-    return mllib.feature_sizes(mllib.hashed_features(docs), "appId")
+    entries = F.transform("features", lambda f: F.concat_ws(":", f["bucket"], f["n"]))
+    return hashing.features(docs, "appId", "tokens").select(
+        "appId", "buckets", "tokens", F.array_join(entries, " ").alias("features")
+    )
 
 
 @register
@@ -425,28 +439,40 @@ def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hashed_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Class scores of all documents by the hashed model of the English ones, and its labels."""
+    training = prepared(spark, sf_dir).select("segment", text.tokens(F.col("clean_description")).alias("tokens"))
+    model = hashing.fit(training, "segment", "tokens")
+    docs = _preprocessed(spark, sf_dir).select("appId", text.tokens(F.col("clean_description")).alias("tokens"))
+    return hashing.class_scores(docs, model, "appId", "tokens"), model.labels
+
+
 @register
 def hashed_nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = mllib.fit_hashed_bayes(prepared(spark, sf_dir))
-    scored = mllib.predict(model, _preprocessed(spark, sf_dir))
-    return scored.select("appId", "prediction", "predictedLabel")
+    scored, labels = _hashed_scores(spark, sf_dir)
+    best = ranking.best_index(F.col("scores"))
+    return scored.select(
+        "appId", best.cast("double").alias("prediction"), ranking.label_at(best, labels).alias("predictedLabel")
+    )
 
 
 @register
 def hashed_nb_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best labels of the hashed model, row by row without a shuffle."""
-    model = mllib.fit_hashed_bayes(prepared(spark, sf_dir))
-    best = mllib.top_labels_of(model, _preprocessed(spark, sf_dir), TOP_K)
-    return best.select("appId", F.array_join("labels", " ").alias("topXPredictions"))
+    """The best labels of the hashed model."""
+    scored, labels = _hashed_scores(spark, sf_dir)
+    best = ranking.top_labels(F.col("scores"), labels, TOP_K)
+    return scored.select("appId", F.array_join(best, " ").alias("topXPredictions"))
 
 
 @register
 def ovr_logreg_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-vs-rest over 20 slots, fitted on the English documents and applied to them."""
     training = segments.prepare_training(
         app_records(spark, sf_dir), drop_stop_word_pieces=True
-    )
-    model = mllib.fit_one_vs_rest(training)
-    return mllib.predict(model, training).select("appId", "prediction", "predictedLabel")
+    ).select("appId", "segment", "clean_description")
+    slotted = materialize(mllib.slots(training), "slots")
+    model = onevsrest.fit(slotted, "segment", "slots")
+    return onevsrest.predict(model, slotted, "slots").select("appId", "prediction", "predictedLabel")
 
 
 # --- ranking, queries, evaluation --------------------------------------------------------

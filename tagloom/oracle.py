@@ -475,3 +475,27 @@ found AS (
   QUALIFY row_number() OVER (PARTITION BY p.word, p.tag ORDER BY d DESC) = 1)
 SELECT word, tag, CASE WHEN cut <= length(word) THEN left(word, length(word) - cut) || add ELSE word END AS lemma
 FROM pairs LEFT JOIN found USING (word, tag)"""
+
+# --- hashed terms ------------------------------------------------------------------------------
+
+_BUCKET = "(('0x' || substr(md5(w), 1, 8))::BIGINT % 10000)"
+HASHED_RECORDS = f"""
+plain AS MATERIALIZED (
+  SELECT doc_id, source AS class, {ASCII} AS english, string_split({_preprocess("text")}, ' ') AS words
+  FROM documents),
+records AS MATERIALIZED (
+  SELECT doc_id, class, english, list_transform(words, lambda w: {_BUCKET}::VARCHAR) AS words FROM plain)"""
+_HASHED = _bayes(HASHED_RECORDS, "english", "true")
+
+ORACLE_SQL["hashed_features"] = f"""WITH {HASHED_RECORDS},
+counted AS (
+  SELECT doc_id, w::INT AS bucket, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS w FROM records WHERE english) GROUP BY ALL)
+SELECT CAST(doc_id AS VARCHAR) AS appId, CAST(count(*) AS INTEGER) AS buckets, CAST(sum(n) AS BIGINT) AS tokens,
+  string_agg(bucket || ':' || n, ' ' ORDER BY bucket) AS features FROM counted GROUP BY doc_id"""
+ORACLE_SQL["hashed_nb_predict"] = f"""{_HASHED} SELECT CAST(doc_id AS VARCHAR) AS appId,
+  CAST(idx AS DOUBLE) AS prediction, class AS predictedLabel FROM best"""
+ORACLE_SQL["hashed_nb_top_k"] = f"""{_HASHED}
+SELECT CAST(doc_id AS VARCHAR) AS appId, string_agg(class, ' ' ORDER BY rank) AS topXPredictions FROM (
+  SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, idx DESC) AS rank
+  FROM scores) WHERE rank <= {TOP_K} GROUP BY doc_id"""

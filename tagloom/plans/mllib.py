@@ -103,3 +103,12 @@ def feature_sizes(hashed: DataFrame, id_col: str) -> DataFrame:
         F.size(counts).alias("buckets"),
         F.aggregate(counts, F.lit(0.0), lambda total, n: total + n).cast("long").alias("tokens"),
     )
+
+
+def slots(
+    prepared: DataFrame, text_col: str = "clean_description", buckets: int = LINEAR_BUCKETS
+) -> DataFrame:
+    """Adds ``slots``, the dense hashed counts of the text's tokens, for ``operators.onevsrest``."""
+    words = Tokenizer(inputCol=text_col, outputCol="_tokens").transform(prepared)
+    hashed = hashed_features(words, "_tokens", buckets)
+    return hashed.withColumn("slots", vector_to_array("features")).drop("_tokens", "features")
