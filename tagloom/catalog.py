@@ -17,6 +17,7 @@ from tagloom.operators import (
     langid,
     lexicon,
     onevsrest,
+    shortlang,
     taglemma,
     tagger,
 )
@@ -351,6 +352,14 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect_language(docs, profiles, "doc_id", "text")
 
 
+@register
+def detect_language_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every turn of the conversations, by grams learnt from the documents."""
+    known = shortlang.profiles(documents(spark, sf_dir), "text", "lang")
+    turns = table(spark, sf_dir, "conversations", "conv_id")
+    return shortlang.detect_language_short(turns, known, "conv_id", "text", carry=["turn"])
+
+
 # --- features and models -----------------------------------------------------------------
 
 

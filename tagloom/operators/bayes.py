@@ -198,6 +198,36 @@ def class_scores(
     other words a Bloom filter rules out those that the model does not know, and the rest are shuffled;
     a common word that did not fit is spread over as many groups as its estimated count asks for.
     """
+    size = len(model.classes)
+    sparse = size > CLASS_COLUMNS
+    weights = model.term_postings() if sparse else model.term_weights()
+    row_bytes = ROW_BYTES + (POSTING_BYTES if sparse else 8 * size)
+    # Terms counted once per class they occur in: too high, but known from the fit.
+    small = sum(c.terms * row_bytes + c.term_bytes for c in model.classes) <= broadcast_bytes
+    summed = sum_weights(docs, weights, size, id_col, tokens_col, carry, broadcast_bytes, small, sparse)
+    keep = [id_col, *carry]
+    scored = summed.select(*keep, "_copies", _scores(model).alias("scores"))
+    # One row for each of the records that agree.
+    each = scored.select(*keep, "scores", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return each.select(*keep, "scores")
+
+
+def sum_weights(
+    docs: DataFrame,
+    weights: DataFrame,
+    size: int,
+    id_col: str,
+    tokens_col: str,
+    carry: Sequence[str] = (),
+    broadcast_bytes: int = BROADCAST_BYTES,
+    small: bool = False,
+    sparse: bool = False,
+) -> DataFrame:
+    """``(id, *carry, _length, _copies, _sums)``: the summed ``weights(term, weights)`` of each record's tokens.
+
+    Records that agree in all of it are one row with their number in ``_copies``; the sums are over all
+    of them. ``small`` says that the table is known to fit the limit; otherwise it is written and measured.
+    """
     keep = [id_col, *carry]
     record = [*keep, "_words_a", "_words_b", "_length"]
     docs = docs.select(
@@ -206,12 +236,6 @@ def class_scores(
         F.greatest(F.coalesce(F.size(tokens_col), F.lit(1)), F.lit(1)).alias("_length"),
         F.col(tokens_col).alias("_tokens"),
     )
-    size = len(model.classes)
-    sparse = size > CLASS_COLUMNS
-    weights = model.term_postings() if sparse else model.term_weights()
-    row_bytes = ROW_BYTES + (POSTING_BYTES if sparse else 8 * size)
-    # Terms counted once per class they occur in: too high, but known from the fit.
-    small = sum(c.terms * row_bytes + c.term_bytes for c in model.classes) <= broadcast_bytes
     if not small:
         weights = materialize(weights, "bayes-weights")
         small = _bytes(weights, sparse, size) <= broadcast_bytes
@@ -221,11 +245,7 @@ def class_scores(
         # Both halves of the join read the tokens: clean the texts once.
         words = _words(materialize(docs, "score-tokens"), record)
         hits = _split_join(words, weights, id_col, broadcast_bytes, sparse, size)
-    summed = _sparse_sums(hits, record, size) if sparse else _dense_sums(hits, record, size)
-    scored = summed.select(*keep, "_copies", _scores(model).alias("scores"))
-    # One row for each of the records that agree.
-    each = scored.select(*keep, "scores", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return each.select(*keep, "scores")
+    return _sparse_sums(hits, record, size) if sparse else _dense_sums(hits, record, size)
 
 
 def _words(docs: DataFrame, record: Sequence[str]) -> DataFrame:

@@ -499,3 +499,36 @@ ORACLE_SQL["hashed_nb_top_k"] = f"""{_HASHED}
 SELECT CAST(doc_id AS VARCHAR) AS appId, string_agg(class, ' ' ORDER BY rank) AS topXPredictions FROM (
   SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, idx DESC) AS rank
   FROM scores) WHERE rank <= {TOP_K} GROUP BY doc_id"""
+
+# --- languages of short texts --------------------------------------------------------------------
+
+_SHORT = f"""list_concat(
+  list_filter(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)), lambda g: g <> ' '),
+  list_filter(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), lambda g: g <> '  '),
+  list_filter(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), lambda g: substr(g, 2, 1) <> ' '))"""
+# Grams lie within a word and the blanks around it: distinct words are cut up once.
+_WORDS = "unnest(string_split(trim(t), ' ')) AS w"
+ORACLE_SQL["detect_language_short"] = f"""WITH word_n AS (
+  SELECT lang, ' ' || w || ' ' AS t, count(*) AS n FROM (
+    SELECT lang, {_WORDS} FROM (SELECT lang, {_LETTERS} AS t FROM documents WHERE lang IS NOT NULL))
+  WHERE w <> '' GROUP BY ALL),
+gram_n AS MATERIALIZED (
+  SELECT lang, g, sum(n) AS n FROM (SELECT lang, n, unnest({_SHORT}) AS g FROM word_n) GROUP BY lang, g),
+totals AS (SELECT lang, length(g) AS k, sum(n) AS n FROM gram_n GROUP BY ALL),
+langs AS (SELECT DISTINCT lang FROM gram_n),
+factors AS MATERIALIZED (
+  SELECT g.g, l.lang, round(ln(coalesce(n.n, 0) / coalesce(t.n, 1)::DOUBLE + 0.5e0 / 10000) * 1e6) AS f
+  FROM (SELECT DISTINCT g FROM gram_n) g CROSS JOIN langs l
+  LEFT JOIN gram_n n ON n.g = g.g AND n.lang = l.lang
+  LEFT JOIN totals t ON t.lang = l.lang AND t.k = length(g.g)),
+turns AS MATERIALIZED (SELECT row_number() OVER () AS row, conv_id, turn, {_LETTERS} AS t FROM conversations),
+turn_words AS (
+  SELECT row, ' ' || w || ' ' AS t FROM (SELECT row, {_WORDS} FROM turns) WHERE w <> ''),
+sums AS (
+  SELECT row, lang, sum(f) AS s
+  FROM (SELECT row, unnest({_SHORT}) AS g FROM turn_words) JOIN factors USING (g) GROUP BY row, lang),
+best AS (
+  SELECT row, lang, 1 / sum(exp((s - top) / 1e6)) OVER (PARTITION BY row) AS p, s = top AS is_top
+  FROM (SELECT *, max(s) OVER (PARTITION BY row) AS top FROM sums))
+SELECT conv_id, turn, min(CASE WHEN p >= 0.9999e0 AND is_top THEN lang END) AS lang_pred
+FROM turns LEFT JOIN best USING (row) GROUP BY row, conv_id, turn"""
