@@ -24,7 +24,7 @@ from tagloom.operators import (
 from tagloom.plans import corpus, mllib, segments
 from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
-from tagloom.sources import readers, writers
+from tagloom.sources import jsonarray, readers, writers
 from tagloom.streaming import report, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,27 @@ def ingest_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_json_records(spark, path, APP_RECORD).select(*APP_RECORD.names)
 
 
+# Files that the documents are written to, each one array.
+ARRAYS = 4
+
+
+@register
+def ingest_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a few files of one JSON array each and read back in ranges."""
+    records = app_records(spark, sf_dir)
+    part = F.pmod(F.xxhash64("appId"), F.lit(ARRAYS)).cast("int").alias("part")
+    body = F.concat(F.lit(","), F.to_json(F.struct("appId", "description", F.col("segment").alias("appName"))))
+    rows = records.select(part, F.lit(1).alias("place"), body.alias("value"))
+    parts = spark.range(ARRAYS).select(F.col("id").cast("int").alias("part"))
+    for place, value in ((0, '[{"package":"first"}'), (2, "]")):
+        rows = rows.unionByName(parts.select("part", F.lit(place).alias("place"), F.lit(value).alias("value")))
+    path = new_path(spark, "json-arrays")
+    dealt = rows.repartition(ARRAYS, "part").sortWithinPartitions("part", "place")
+    dealt.select("part", "value").write.partitionBy("part").text(path)
+    found = jsonarray.read_json_array(spark, path)
+    return found.where(F.col("package").isNull()).select(*APP_RECORD.names)
+
+
 @register
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of every HTML page."""
@@ -337,6 +358,16 @@ def lemmatize_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taglemma.lemmatize_tagged(words, taglemma.learn(listed))
 
 
+@register
+def drop_words_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a word-list file dropped; the file lists the words of the benchmark items, one a line."""
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word"))
+    path = new_path(spark, "word-list")
+    items.distinct().write.text(path)
+    listed = readers.read_word_list(spark, path)
+    return lexicon.drop_words_by_table(_cleaned(spark, sf_dir), "doc_id", "cleaned", listed)
+
+
 @register
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = langid.language_profiles(documents(spark, sf_dir), "text", "lang")
@@ -640,6 +671,36 @@ def sliding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sliding_report(table(spark, sf_dir, "events"), "ts", ["event_type"])
 
 
+REPORTED = ["event_type", "user_id"]
+
+
+@register
+def sliding_report_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sliding_report_panes(table(spark, sf_dir, "events"), "ts", REPORTED)
+
+
+@register
+def sliding_report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from a stream of files; a closing event a day later lets the last windows end."""
+    # A watermark takes a zoned timestamp.
+    stamped = F.col("ts").cast("timestamp").alias("ts")
+    events = table(spark, sf_dir, "events").select(stamped, *REPORTED)
+    folder = new_path(spark, "closing-event")
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in events.dtypes if name != "ts"]
+    last.select("ts", *nothing).write.parquet(folder)
+    stream = scoring.read_record_stream(
+        spark, sf_dir, table(spark, sf_dir, "events").schema, "events*.parquet"
+    ).select(stamped, *REPORTED, F.lit(False).alias("closing"))
+    closing = scoring.read_record_stream(spark, folder, events.schema).withColumn("closing", F.lit(True))
+    path = new_path(spark, "report")
+    streamed = report.sliding_report_panes(stream.unionByName(closing), "ts", [*REPORTED, "closing"], watermark="1 hour")
+    report.write_report(streamed, path, new_path(spark, "report-checkpoint")).awaitTermination()
+    found = spark.read.schema(streamed.schema).parquet(path).where(F.col("attribute") != "closing")
+    zoneless = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("window_start", "window_end")]
+    return found.select(*zoneless, "attribute", "value", "n")
+
+
 @register
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents classified as a stream of files, until all are read."""

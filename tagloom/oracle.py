@@ -532,3 +532,25 @@ best AS (
   FROM (SELECT *, max(s) OVER (PARTITION BY row) AS top FROM sums))
 SELECT conv_id, turn, min(CASE WHEN p >= 0.9999e0 AND is_top THEN lang END) AS lang_pred
 FROM turns LEFT JOIN best USING (row) GROUP BY row, conv_id, turn"""
+
+# --- reports by listed attributes, word-list files -------------------------------------------------
+
+ORACLE_SQL["sliding_report_panes"] = """WITH each AS (
+  SELECT ts, 'event_type' AS attribute, event_type AS value FROM events
+  UNION ALL SELECT ts, 'user_id', CAST(user_id AS VARCHAR) FROM events),
+steps AS (
+  SELECT attribute, value, time_bucket(INTERVAL 10 MINUTE, ts) - i * INTERVAL 10 MINUTE AS window_start
+  FROM each CROSS JOIN range(6) AS r(i) WHERE ts IS NOT NULL)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, attribute, value, count(*) AS n
+FROM steps GROUP BY ALL"""
+ORACLE_SQL["sliding_report_stream"] = ORACLE_SQL["sliding_report_panes"]
+ORACLE_SQL["drop_words_from_file"] = f"""WITH {CLEANED},
+listed AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark),
+others AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY position) AS others
+  FROM words ANTI JOIN listed USING (word) WHERE word <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN cleaned IS NOT NULL THEN coalesce(others, '') END AS kept
+FROM cleaned LEFT JOIN others USING (doc_id)"""
+
+ORACLE_SQL["ingest_json_array"] = """SELECT CAST(doc_id AS VARCHAR) AS appId, CAST(NULL AS VARCHAR) AS package,
+  source AS appName, text AS description FROM documents"""

@@ -1,4 +1,4 @@
-"""Declared record schemas; nothing is inferred, so an all-digit identifier stays a string."""
+"""Declared record schemas (fixed values: the field names of the input); nothing is inferred, so an all-digit identifier stays a string."""
 
 from pyspark.sql import types as T
 

@@ -88,3 +88,53 @@ def test_late_rows_are_dropped(spark):
     run()
     found = {row.window_start.hour * 60 + row.window_start.minute: row.n for row in spark.read.parquet(out).collect()}
     assert found == {0: 1, 60: 1}
+
+
+def test_panes_equal_sliding_windows(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    panes = report.sliding_report_panes(events, "ts", ["event_type"]).select(
+        "window_start", "window_end", F.col("value").alias("event_type"), "n"
+    )
+    plain = report.sliding_report(events, "ts", ["event_type"])
+    assert panes.exceptAll(plain).count() == 0 and plain.exceptAll(panes).count() == 0
+
+
+def test_panes_count_an_event_once_per_attribute(spark):
+    events = spark.createDataFrame([(None, "x", 1), ("2024-01-01 00:05:00", None, 1)], "ts string, a string, n int").select(
+        F.col("ts").cast("timestamp").alias("ts"), "a", "n"
+    )
+    df = report.sliding_report_panes(events, "ts", ["a", "n"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    rows = df.collect()
+    assert len(rows) == 12 and {(r.attribute, r.value, r.n) for r in rows} == {("a", None, 1), ("n", "1", 1)}
+    # The rows that are counted into panes are shuffled once, by pane; windows are made of panes.
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert report.sliding_report_panes(events.where("false"), "ts", ["a"]).collect() == []
+
+
+def test_late_rows_of_panes_are_dropped(spark):
+    path = new_path(spark, "late-panes")
+
+    def add(*stamps):
+        rows = [(stamp, "x") for stamp in stamps]
+        df = spark.createDataFrame(rows, "ts string, event_type string")
+        df.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(path)
+
+    out, checkpoint = new_path(spark, "late-panes-out"), new_path(spark, "late-panes-checkpoint")
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(path)
+        counted = report.sliding_report_panes(
+            stream, "ts", ["event_type"], window="20 minutes", slide="10 minutes", watermark="5 minutes"
+        )
+        report.write_report(counted, out, checkpoint).awaitTermination()
+
+    add("2024-01-01 00:01:00", "2024-01-01 00:12:00", "2024-01-01 01:00:00")
+    run()
+    add("2024-01-01 00:02:00", "2024-01-01 03:00:00")
+    run()
+    add("2024-01-01 06:00:00")
+    run()
+    found = {r.window_start.hour * 60 + r.window_start.minute: r.n for r in spark.read.parquet(out).where("day(window_start) = 1").collect()}
+    # 00:02 came after 01:00 and counts in no window.
+    assert found == {0: 2, 10: 1, 50: 1, 60: 1, 170: 1, 180: 1}
