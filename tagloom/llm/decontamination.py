@@ -36,6 +36,9 @@ SAMPLES = 6
 SAMPLED = 3
 # Items whose tables are broadcast at once; a larger benchmark takes several passes.
 SLICE_ITEMS = 20_000
+# Windows that are embedded at once, and words of a text that an item is aligned with at once.
+WINDOWS = 2048
+ALIGNED_WORDS = 1 << 15
 # Slots of the bitmap that rules out most word pairs of a text.
 SEEN_BITS = 22
 LEAKS = "doc_id long, item_id long, edits int, item_words int, start_word long, end_word long"
@@ -202,6 +205,36 @@ def held_words(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(words)), n), items.single_items[index]
 
 
+def window_items(words: np.ndarray, low: int, high: int, length: int, items: Items) -> set[int]:
+    """Items that share a key with some window of ``length`` words; ``WINDOWS`` of them at a time."""
+    found: set[int] = set()
+    stop = max(low + 1, high - length // 2)
+    for first in range(low, stop, WINDOWS):
+        n = min(WINDOWS, stop - first)
+        part = words[first : first + n + length]
+        keys = np.unique(embedding_keys(part, np.arange(n), np.full(n, length)))
+        left = np.searchsorted(items.keys, keys, side="left")
+        right = np.searchsorted(items.keys, keys, side="right")
+        for h in np.flatnonzero(right > left):
+            found.update(items.key_items[left[h] : right[h]].tolist())
+    return found
+
+
+def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """``best_passage`` of a text of any length, in stretches that overlap by a leak's greatest length."""
+    overlap = len(item) + allowed(len(item)) + 1
+    step = max(ALIGNED_WORDS, 4 * overlap)
+    if len(text) <= step + overlap:
+        return best_passage(item, text)
+    best: tuple[int, int, int] | None = None
+    for first in range(0, len(text) - overlap, step):
+        edits, start, end = best_passage(item, text[first : first + step + overlap])
+        # The least edits, then the last start, as within a stretch.
+        if best is None or (edits, -first - start) < (best[0], -best[1]):
+            best = (edits, first + start, first + end)
+    return best
+
+
 def leaks_of(
     words: np.ndarray,
     items: Items,
@@ -226,16 +259,11 @@ def leaks_of(
         mine = owner == likely
         for low, high in places(place[mine], pair[mine], length, int(items.distinct[likely])):
             low, high = max(0, low), min(len(words), high)
-            starts = np.arange(low, max(low + 1, high - length // 2), dtype=np.int64)
-            keys = embedding_keys(words, starts, np.full(len(starts), length)).ravel()
-            left = np.searchsorted(items.keys, keys, side="left")
-            right = np.searchsorted(items.keys, keys, side="right")
-            hits = [items.key_items[left[h] : right[h]] for h in np.flatnonzero(right > left)]
-            for item in np.unique(np.concatenate([[likely], *hits])).tolist():
+            for item in {likely, *window_items(words, low, high, length, items)}:
                 if (item, low, high) in tried:
                     continue
                 tried.add((item, low, high))
-                edits, start, end = best_passage(items.words[item], words[low:high])
+                edits, start, end = aligned(items.words[item], words[low:high])
                 leak = (item, edits, int(lengths[item]), low + start, low + end)
                 if edits <= allowed(int(lengths[item])) and (
                     item not in best or (edits, low + start) < (best[item][1], best[item][3])

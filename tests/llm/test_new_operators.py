@@ -313,3 +313,39 @@ def test_sql_gives_the_same_rows(spark, sf_dir, name):
     assert sorted(result.columns) == sorted(df.columns)
     theirs = sorted(repr(tuple(row)) for row in result.select(*df.columns).fetchall())
     assert sorted(repr(tuple(row)) for row in df.collect()) == theirs
+
+
+# --- decontamination of very long texts ----------------------------------------------------
+
+
+def test_long_repetitive_text_is_walked_in_slices():
+    from tagloom.llm import decontamination as d
+    from tagloom.llm import texts as t
+
+    import pyarrow as pa
+
+    items = d.index_items([7, 8], ["ha ha ha ha ha ha", "one two three four five six seven eight nine ten"])
+    filler = ["ha"] * (2 * d.ALIGNED_WORDS) + "one two three four FIVE six seven eight nine ten".lower().split() + ["ha"] * 3000
+    words = t.split_words(pa.array([" ".join(filler)])).hashes()
+    found = {leak[0]: leak for leak in d.leaks_of(words, items)}
+    assert found[7][1] == 0 and found[8] == (8, 0, 10, 2 * d.ALIGNED_WORDS, 2 * d.ALIGNED_WORDS + 10)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=120), st.lists(st.integers(0, 3), min_size=1, max_size=6))
+def test_alignment_in_stretches_equals_the_whole(text, item):
+    from tagloom.llm import decontamination as d
+
+    text, item = np.array(text, np.uint64), np.array(item, np.uint64)
+    kept = d.ALIGNED_WORDS
+    try:
+        d.ALIGNED_WORDS = 8
+        got = d.aligned(item, text)
+    finally:
+        d.ALIGNED_WORDS = kept
+    whole = d.best_passage(item, text)
+    # Only passages within the allowed edits matter, and those fit the overlap.
+    if whole[0] <= d.allowed(len(item)):
+        assert got[0] == whole[0]
+    else:
+        assert got[0] > d.allowed(len(item))
