@@ -32,6 +32,8 @@ WIDTH = 16
 NOISE = 16
 CLASS_NOISE = 4
 BATCH_TOKENS = 4096
+# Contexts that are normalised at once: their scores of all choices stay in a core's cache.
+SCORED_ROWS = 256
 RATE = 0.05
 # Every trainer sends all parameters, so partitions are joined up to about so many tokens each.
 TRAINER_TOKENS = 1 << 21
@@ -42,7 +44,6 @@ HOT_SHARE = 1 << 19
 COMBINED_TOKENS = 1 << 22
 
 END = np.uint64(1)
-MARKER = 0
 
 
 @dataclass(frozen=True)
@@ -154,25 +155,27 @@ class Model:
         low = HEAD + k * self.class_words
         return low, np.minimum(low + self.class_words, self.size)
 
-    def predicted(self, previous: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def mixed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of all words as the first and as the second word before."""
         before, _, _, first_scale, second_scale = self.parts()
-        return before[previous] * first_scale + before[second] * second_scale
+        return before * first_scale, before * second_scale
 
     def log_totals(self, contexts: np.ndarray) -> np.ndarray:
         """Log of the first step's normalising sums of contexts ``previous * (size + 2) + second``."""
         _, after, bias, _, _ = self.parts()
-        firsts = self.firsts()
+        firsts, (near, far) = self.firsts(), self.mixed()
         after, bias = after[firsts], bias[firsts]
         out = np.empty(len(contexts))
-        for start in range(0, len(contexts), 2048):
-            part = contexts[start : start + 2048]
-            q = self.predicted(part // (self.size + 2), part % (self.size + 2))
-            out[start : start + 2048] = _log_sums(q @ after.T + bias)
+        for start in range(0, len(contexts), SCORED_ROWS):
+            part = contexts[start : start + SCORED_ROWS]
+            q = near[part // (self.size + 2)] + far[part % (self.size + 2)]
+            out[start : start + SCORED_ROWS] = _log_sums(q @ after.T + bias)
         return out
 
     def log_shares(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log-probabilities of targets behind their contexts."""
         _, after, bias, _, _ = self.parts()
+        near, far = self.mixed()
         context, place = np.unique(one * (self.size + 2) + two, return_inverse=True)
         own, k = -self.log_totals(context)[place], self.class_of(target)
         first = np.where(k < 0, target, self.size + 1 + k)
@@ -180,20 +183,29 @@ class Model:
         bounds = np.searchsorted(k[order], np.arange(self.classes + 1))
         for at in range(0, len(target), 1 << 16):
             cut = slice(at, at + (1 << 16))
-            q = self.predicted(one[cut], two[cut])
+            q = near[one[cut]] + far[two[cut]]
             own[cut] += (q * after[first[cut]]).sum(axis=1) + bias[first[cut]]
         for group in np.flatnonzero(np.diff(bounds)).tolist():
             low, end = self.members(group)
-            for at in range(bounds[group], bounds[group + 1], 4096):
-                rows = order[at : min(at + 4096, bounds[group + 1])]
-                scores = self.predicted(one[rows], two[rows]) @ after[low:end].T + bias[low:end]
-                own[rows] += scores[np.arange(len(rows)), target[rows] - low] - _log_sums(scores)
+            for at in range(bounds[group], bounds[group + 1], SCORED_ROWS):
+                rows = order[at : min(at + SCORED_ROWS, bounds[group + 1])]
+                scores = (near[one[rows]] + far[two[rows]]) @ after[low:end].T + bias[low:end]
+                # The sums are taken in place: the targets' scores come first.
+                own[rows] += scores[np.arange(len(rows)), target[rows] - low]
+                own[rows] -= _log_sums(scores)
         return own
 
 
 def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of every row; overwrites ``scores``."""
+    if scores.shape[1] and scores.max() < 60 and scores[:, 0].min() > -60:
+        # Nothing overflows and no sum is lost: the usual case needs no shift.
+        np.exp(scores, out=scores)
+        return np.log(scores.sum(axis=1))
     top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return top + np.log(scores.sum(axis=1))
 
 
 def noise_of(words: Words) -> np.ndarray:
@@ -212,7 +224,7 @@ def start(words: Words) -> Model:
     bias = np.log(np.concatenate([noise, shares]))
     bias[: len(k)][k >= 0] -= np.log(shares[k[k >= 0]])
     vectors = random.normal(0, 0.1, (words.size + 2 + model.choices) * WIDTH)
-    model.flat = np.concatenate([vectors, bias, np.ones(2 * WIDTH)])
+    model.flat = np.concatenate([vectors, bias, np.ones(2 * WIDTH)]).astype(np.float32)
     return model
 
 
@@ -230,11 +242,11 @@ class Trainer:
     def __init__(self, words: Words, seed: int) -> None:
         self.model = start(words)
         self.firsts = self.model.firsts()
-        noise = np.exp(self.model.parts()[2][self.firsts])
+        noise = np.exp(self.model.parts()[2][self.firsts].astype(np.float64))
         self.noise = noise / noise.sum()
-        self.log_noise = np.zeros(self.model.choices)
+        self.log_noise = np.zeros(self.model.choices, np.float32)
         self.log_noise[self.firsts] = np.log(NOISE * self.noise)
-        self.seen = np.ones(len(self.model.flat))
+        self.seen = np.ones(len(self.model.flat), np.float32)
         self.random = np.random.default_rng(seed)
         self.tokens = 0
 
@@ -255,7 +267,7 @@ class Trainer:
             low, end = model.members(k[behind])
             word, q_b = target[behind], q[behind]
             other = low + (self.random.random((CLASS_NOISE, len(behind))) * (end - low)).astype(np.int64)
-            level = np.log(CLASS_NOISE / (end - low))
+            level = np.log(CLASS_NOISE / (end - low)).astype(np.float32)
             up = _up((q_b * after[word]).sum(axis=1) + bias[word] - level)
             g_b = up[:, None] * after[word]
             rows.append(word)
@@ -270,11 +282,11 @@ class Trainer:
             g_q[behind] += g_b
         seen = model.parts_of(self.seen)
         g_one, g_two = (g_q * before[one]).sum(axis=0), (g_q * before[two]).sum(axis=0)
-        used, at = np.unique(np.concatenate([one, two]), return_inverse=True)
-        _climb(before, seen[0], used, _summed(at, np.concatenate([g_q * scale_one, g_q * scale_two]), len(used)))
-        used, at = np.unique(np.concatenate(rows), return_inverse=True)
-        _climb(after, seen[1], used, _summed(at, np.concatenate(slopes), len(used)))
-        _climb(bias, seen[2], used, np.bincount(at, np.concatenate(slopes_b), len(used)))
+        used, sums = _summed(np.concatenate([one, two]), np.concatenate([g_q * scale_one, g_q * scale_two]))
+        _climb(before, seen[0], used, sums)
+        used, sums, sums_b = _summed(np.concatenate(rows), np.concatenate(slopes), np.concatenate(slopes_b))
+        _climb(after, seen[1], used, sums)
+        _climb(bias, seen[2], used, sums_b)
         _climb(scale_one, seen[3], slice(None), g_one)
         _climb(scale_two, seen[4], slice(None), g_two)
         self.tokens += len(target)
@@ -285,12 +297,17 @@ def _up(score: np.ndarray) -> np.ndarray:
 
 
 def _climb(values: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
-    seen[rows] += g * g
-    values[rows] += RATE * g / np.sqrt(seen[rows])
+    so_far = seen[rows] + g * g
+    seen[rows] = so_far
+    values[rows] += RATE * g / np.sqrt(so_far)
 
 
-def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(at, values[:, k], size) for k in range(values.shape[1])], axis=1)
+def _summed(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows in order, and the sums of each one's values."""
+    order = np.argsort(rows)
+    ordered = rows[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begin], *(np.add.reduceat(v[order], begin, axis=0) for v in values)
 
 
 def train(docs: DataFrame, words: Words) -> Model:
@@ -308,7 +325,7 @@ def train(docs: DataFrame, words: Words) -> Model:
                 cut = slice(at, at + BATCH_TOKENS)
                 trainer.step(symbols[cut], one[cut], two[cut])
         if trainer is not None:
-            flat = trainer.model.flat * trainer.tokens
+            flat = trainer.model.flat.astype(np.float64) * trainer.tokens
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(len(flat)), pa.int32()),
@@ -387,26 +404,21 @@ def scores(docs: DataFrame) -> DataFrame:
         "rare array<long>, times array<int>"
     )
     scored = materialize(keyed.mapInArrow(score, schema), "scored")
-    # One marker row per document row tells how often equal rows have been added up.
-    marked = F.arrays_zip(
-        F.concat(F.array(F.lit(MARKER).cast("long")), "rare").alias("word"),
-        F.concat(F.array(F.lit(1)), "times").alias("times"),
-    )
-    exploded = scored.select("k1", "k2", F.inline(marked).alias("word", "times"))
-    met = exploded.join(counts, "word", "left")
+    copies = scored.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    exploded = scored.select("k1", "k2", F.inline(F.arrays_zip("rare", "times")).alias("word", "times"))
+    met = exploded.join(counts, "word")
+    # Equal rows add up the same words once more each.
     rare = met.groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("word") == MARKER, 1).otherwise(0)).alias("copies"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_rare"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_known"),
+        F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_known")
     )
-    both = scored.drop("rare", "times").join(rare, ["k1", "k2"])
-    rest = F.col("rare_known") / F.col("copies")
+    both = scored.drop("rare", "times").join(copies, ["k1", "k2"]).join(rare, ["k1", "k2"], "left")
+    rest = F.coalesce(F.col("rare_known") / F.col("copies"), F.lit(0.0))
     base = float(np.log10(words.tokens + words.distinct + 1))
     return both.select(
         "doc_id",
         (~tables.in_training("doc_id", FOLDS, HELD_OUT_FOLD)).alias("held_out"),
         "n_tokens",
-        (F.col("n_hot") + F.col("n_rare") / F.col("copies")).cast("long").alias("n_known"),
+        (F.col("n_hot") + F.coalesce(F.col("n_rare") / F.col("copies"), F.lit(0.0))).cast("long").alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("known") + rest - F.col("n_tokens") * F.lit(base)).alias("base_score"),
         (F.col("own") + rest).alias("score"),

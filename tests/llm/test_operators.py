@@ -362,7 +362,8 @@ def test_bilinear_is_normalised():
     model = trainer.model
     _, after, bias, _, _ = model.parts()
     contexts = np.arange(49)
-    scores = model.predicted(contexts // 7, contexts % 7) @ after.T + bias
+    near, far = model.mixed()
+    scores = (near[contexts // 7] + far[contexts % 7]) @ after.T + bias
     assert np.exp(scores - model.log_totals(contexts)[:, None]).sum(axis=1) == pytest.approx(np.ones(49))
 
 
