@@ -36,11 +36,14 @@ TAG = re.compile(
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr".split()
+    "s samp small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object select title xmp".split())
+RAW = frozenset("script style noscript template textarea svg annotation iframe object select title xmp".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
+# Of these, what may also be laid around a whole page.
+AROUND_ALL = frozenset("form fieldset dialog".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Parts of class and id names that mark what is not the article.
@@ -51,36 +54,46 @@ MARKS = frozenset(
     "signup login share sharing social related recommended recommendations widget pagination pager toolbar "
     "hidden skip".split()
 )
-ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Attributes one after the other, so that no name is looked for within a value or another name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# What begins a tag; any other "<" is text.
+TAG_START = re.compile(r"<[a-zA-Z/!?]")
 PART = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is set aside for what it is, and whether parts of its names mark it."""
-    if tag in ASIDE:
-        return True, False
+    """Whether an element is set aside for what it is, and whether it may be laid around the page's text.
+
+    The first is true for tags, roles and hidden elements; the second for those whose names mark them, and for
+    forms and the like. Both are told apart from wrappers by what they hold.
+    """
+    loose = tag in AROUND_ALL
+    aside = tag in ASIDE and not loose
     if tag in ("html", "body") or not attributes:
-        return False, False
-    marked = False
+        return aside, loose
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "role" and value.lower() in ROLES:
-            return True, False
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, False
-        if name in ("class", "id") and MARKS & set(PART.findall(CAMEL.sub(" ", value).lower())):
-            marked = True
-    return False, marked
+        if (
+            name == "role" and value.lower() in ROLES
+            or name == "hidden"
+            or name == "aria-hidden" and value.lower() == "true"
+        ):
+            aside = True
+        elif name in ("class", "id") and MARKS & set(PART.findall(CAMEL.sub(" ", value).lower())):
+            loose = loose or tag not in ARTICLE
+    return aside, loose
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     """``(text, set aside, in an article, share of links)`` of every block of the page, in order."""
     lines, pieces, linked, total = [], [], 0, 0
-    # Open elements: name, whether it is set aside, number of the mark or 0, whether it is an article.
-    stack: list[tuple[str, bool, int, bool]] = []
+    # Open elements: name, number of the mark or 0, whether it is an article.
+    stack: list[tuple[str, int, bool]] = []
     opened: Counter[str] = Counter()
-    asides = articles = links = 0
+    articles = links = 0
+    # Marks of elements that are no wrappers unless an article's text is in them.
+    strict: set[int] = set()
     marks: list[int] = []
     n_marks = 0
 
@@ -89,14 +102,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                lines.append((text, asides > 0, tuple(marks), articles > 0, linked / max(total, 1)))
+                lines.append((text, tuple(marks), articles > 0, linked / max(total, 1)))
             pieces, linked, total = [], 0, 0
 
     def close() -> str:
-        nonlocal asides, articles
-        name, aside, mark, article = stack.pop()
+        nonlocal articles
+        name, mark, article = stack.pop()
         opened[name] -= 1
-        asides -= aside
         articles -= article
         if mark:
             marks.pop()
@@ -144,31 +156,33 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
             # An open element of the kind ends where its next one begins.
             while stack and stack[-1][0] == tag:
                 close()
-        aside, marked = is_aside(tag, attributes)
+        aside, loose = is_aside(tag, attributes)
         mark = 0
-        if marked and tag not in ARTICLE:
+        if aside or loose:
             mark = n_marks = n_marks + 1
             marks.append(mark)
-        stack.append((tag, aside, mark, tag in ARTICLE))
+            if aside:
+                strict.add(mark)
+        stack.append((tag, mark, tag in ARTICLE))
         opened[tag] += 1
-        asides += aside
         articles += tag in ARTICLE
         links += tag == "a"
-    say(page[at:] if page[at : at + 1] != "<" else "")
+    say("" if TAG_START.match(page, at) else page[at:])
     flush()
-    wrappers = wrappers_of(lines)
-    return [
-        (text, aside or not wrappers.issuperset(marks), article, share)
-        for text, aside, marks, article, share in lines
-    ]
+    wrappers = wrappers_of(lines, strict)
+    return [(text, not wrappers.issuperset(marks), article, share) for text, marks, article, share in lines]
 
 
-def wrappers_of(lines: list[tuple[str, bool, tuple[int, ...], bool, float]]) -> set[int]:
-    """Numbers of the marks whose elements hold most of the articles' text, or else of all unlinked text."""
-    told = [x for x in lines if not x[1] and x[4] <= LINK_SHARE]
-    told = [x for x in told if x[3]] or told
+def wrappers_of(lines: list[tuple[str, tuple[int, ...], bool, float]], strict: set[int]) -> set[int]:
+    """Numbers of the marks whose elements hold most of the articles' text, or else of all unlinked text.
+
+    Without an article the ``strict`` ones are no wrappers, and what they hold is not counted.
+    """
+    told = [x for x in lines if x[3] <= LINK_SHARE]
+    within = [x for x in told if x[2]]
+    told = within or [x for x in told if strict.isdisjoint(x[1])]
     held: Counter[int] = Counter()
-    for text, _, marks, _, _ in told:
+    for text, marks, _, _ in told:
         for mark in marks:
             held[mark] += len(text)
     total = sum(len(x[0]) for x in told)

@@ -349,3 +349,38 @@ def test_alignment_in_stretches_equals_the_whole(text, item):
         assert got[0] == whole[0]
     else:
         assert got[0] > d.allowed(len(item))
+
+
+# --- main text of pages with common markup -------------------------------------------------
+
+ARTICLE = "".join(f"<p>Paragraph {i} of the story tells what happened on that day in some detail.</p>" for i in range(6))
+STORY = " ".join(f"Paragraph {i} of the story tells what happened on that day in some detail." for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div style="overflow:hidden">{ARTICLE}</div></body>',
+        f'<body><article title="the hidden truth">{ARTICLE}</article></body>',
+        f'<body><div data-role="banner">{ARTICLE}</div></body>',
+        f"<body><form id=aspnetForm><nav><a href=/>Home</a></nav>{ARTICLE}</form></body>",
+        f"<body><div hidden><p>Not shown to anyone who reads this page, in any case.</p></div>{ARTICLE}</body>",
+        f"<body><header><div><article>{ARTICLE}</article></div></header><footer><p>All rights are reserved by the owner of this site.</p></footer></body>",
+        f'<body><div role=form><main>{ARTICLE}</main><form><p>Write a comment here if you have one, please, dear reader.</p></form></div></body>',
+    ],
+)
+def test_wrappers_with_telling_attributes_keep_the_article(page):
+    from tagloom.llm import mainhtml
+
+    assert mainhtml.main_text(page) == STORY
+
+
+def test_text_behind_a_stray_bracket_and_formulas_stay():
+    from tagloom.llm import mainhtml
+
+    formula = "<p>The area is <math><mi>x</mi><msup><mi>y</mi><mn>2</mn></msup></math> for all shapes of this kind that we know.</p>"
+    assert mainhtml.main_text(f"<article>{formula}</article>") == "The area is xy2 for all shapes of this kind that we know."
+    page = f"<article>{ARTICLE}</article>< 5 is small, and so the text behind the article goes on to its very end"
+    assert mainhtml.main_text(page).startswith(STORY)
+    assert [line[0] for line in mainhtml.lines_of("<p>a</p>< 5 is small")] == ["a", "< 5 is small"]
+    assert [line[0] for line in mainhtml.lines_of('<p>a</p><div class="cut off')] == ["a"]
