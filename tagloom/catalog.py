@@ -149,6 +149,18 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.cleaned(table(spark, sf_dir, "pages", "page_id"), "page_id", "html")
 
 
+@register
+def clean_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of its own, cleaned into a table twice: the second run replaces the first."""
+    source, target = new_path(spark, "pages"), new_path(spark, "cleaned-pages")
+    pages = table(spark, sf_dir, "pages", "page_id").where(F.col("html").isNotNull())
+    pages.select("page_id", "html").write.partitionBy("page_id").text(source)
+    for _ in range(2):
+        corpus.clean_folder_parts(spark, source, target, "*.txt", recursive=True)
+    page_id = F.regexp_extract("file", r"page_id=([0-9]+)", 1).cast("long").alias("page_id")
+    return spark.read.parquet(target).select(page_id, "cleaned")
+
+
 @register
 def batch_segments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.json_rows(batch_segments(spark, sf_dir), "appId", "predictedLabelFinal")

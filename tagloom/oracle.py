@@ -554,3 +554,4 @@ FROM cleaned LEFT JOIN others USING (doc_id)"""
 
 ORACLE_SQL["ingest_json_array"] = """SELECT CAST(doc_id AS VARCHAR) AS appId, CAST(NULL AS VARCHAR) AS package,
   source AS appName, text AS description FROM documents"""
+ORACLE_SQL["clean_folder_roundtrip"] = f"SELECT page_id, {_clean('html')} AS cleaned FROM pages WHERE html IS NOT NULL"

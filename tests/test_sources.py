@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tagloom.plans import corpus
 from tagloom.schema import CORRUPT_COLUMN
 from tagloom.shared import new_path, shared_folder
-from tagloom.sources import readers, writers
+from tagloom.sources import folders, readers, writers
 
 
 def test_payload(spark):
@@ -108,3 +108,32 @@ def test_small_table_is_spread_and_large_is_not(spark, sf_dir, monkeypatch):
 def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_files_are_dealt_into_tasks_of_like_size(spark):
+    rows = [(f"f{i}", 40 + (i * 7919) % 5000) for i in range(4000)] + [(f"big{i}", 60_000) for i in range(16)] + [("none", 0)]
+    files = spark.createDataFrame(rows, "file string, size long")
+    dealt = folders.dealt(files, 8)
+    assert dealt.count() == len(rows) == dealt.select("file").distinct().count()
+    sizes = [r.size for r in dealt.groupBy("task").agg(F.sum("size").alias("size")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * min(sizes)
+
+
+def test_packed_folder_and_rerun(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for i in range(40):
+        (source / f"page {i}.html").write_text(f"<p>The Cats number{'x' * i * 50}\nran</p>")
+    (source / "other.txt").write_text("not read")
+    packed = folders.read_packed(spark, str(source), task_bytes=10_000)
+    assert packed.count() == 40
+    found = packed.groupBy("task", F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("size")).collect()
+    assert len(found) == len({r.p for r in found}) == len({r.task for r in found}) > 2
+    assert max(r["size"] for r in found) <= 2 * min(r["size"] for r in found)
+    rows = []
+    for _ in range(2):
+        corpus.clean_folder_parts(spark, str(source), target, task_bytes=10_000)
+        rows.append(sorted(map(str, spark.read.parquet(target).collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    (tmp_path / "none").mkdir()
+    assert folders.read_packed(spark, str(tmp_path / "none")).count() == 0
