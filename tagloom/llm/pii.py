@@ -24,6 +24,8 @@ from tagloom.llm import texts
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 800
+# The sample is sorted out of about so many times its rows.
+CUT = 8
 ROUNDS = 150
 RATE = 0.3
 DECAY = 1e-3
@@ -289,14 +291,25 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for kind, start, end in sorted(spans))
 
 
+def _first_ranked(docs: DataFrame) -> DataFrame:
+    """Rows of ``(text, rank)`` that hold the ``SAMPLE_ROWS`` first texts with a mark, and not many more.
+
+    Ranks are uniform, so a bound on them that follows from the number of rows leaves few rows for the one
+    task that sorts; where too few texts have a mark, the bound is raised.
+    """
+    ranked = docs.select("text", F.xxhash64("doc_id", "text").alias("rank"))
+    share = min(1.0, CUT * SAMPLE_ROWS / max(1, docs.count()))
+    while True:
+        bound = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+        part = ranked.where(F.col("rank") <= bound).where(F.col("text").rlike("[0-9@+]"))
+        if share >= 1 or part.count() >= SAMPLE_ROWS:
+            return part
+        share = min(1.0, share * CUT)
+
+
 def train(docs: DataFrame) -> Field:
     """Fit to the marked tokens of at most ``SAMPLE_ROWS`` texts, the first by a hash."""
-    sample = (
-        docs.select("text", F.xxhash64("doc_id", "text").alias("rank"))
-        .where(F.col("text").rlike("[0-9@+]"))
-        .orderBy("rank", "text")
-        .limit(SAMPLE_ROWS)
-    )
+    sample = _first_ranked(docs).orderBy("rank", "text").limit(SAMPLE_ROWS)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.chunks(batches):
