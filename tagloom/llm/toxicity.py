@@ -45,20 +45,22 @@ FOLDS, HELD_OUT_FOLD = 3, 1
 
 @dataclass(frozen=True)
 class Machine:
+    """``places`` names the row of a bucket's weight and factors; row 0, all zeros, is that of the others."""
+
     bias: float
     weights: np.ndarray
     factors: np.ndarray
-    known: np.ndarray
+    places: np.ndarray
 
     def scores(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probabilities of rows whose terms are ``terms[first[i]:first[i + 1]]``."""
-        linear, pairs, _ = self._parts(terms, first)
+        linear, pairs, _ = self._parts(self.places[terms], first)
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs, -500, 500)))
 
-    def _parts(self, terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = np.maximum(_row_sums(self.known[terms], first), 1)
-        linear = _row_sums(self.weights[terms], first)
-        v = self.factors[terms]
+    def _parts(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = np.maximum(_row_sums(at > 0, first), 1)
+        linear = _row_sums(self.weights[at], first)
+        v = self.factors[at]
         sums = np.stack([_row_sums(v[:, k], first) for k in range(v.shape[1])], axis=1)
         squares = _row_sums((v * v).sum(axis=1), first)
         return linear, ((sums * sums).sum(axis=1) - squares) / (2 * n), sums
@@ -144,17 +146,19 @@ def in_pairs(rows: list[np.ndarray], labels: np.ndarray, toxic_rows: np.ndarray)
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Logistic loss, AdaGrad over mini-batches; without both labels a constant."""
     random = np.random.default_rng(seed)
-    size = 1 << BUCKET_BITS
-    weights = np.zeros(size)
-    factors = random.normal(0, 0.01, (size, FACTORS))
+    places = np.zeros(1 << BUCKET_BITS, np.int32)
     if not len(rows) or labels.min() == labels.max():
         known = float(labels.mean()) if len(rows) else 0.0
         bias = -500.0 if known == 0 else 500.0
-        return Machine(bias, weights, np.zeros((size, FACTORS)), np.zeros(size, bool))
+        return Machine(bias, np.zeros(1), np.zeros((1, FACTORS)), places)
     bias, seen_b = 0.0, 1e-8
-    held = telling(rows, labels)
-    factors[~held] = 0
-    rows = [terms[held[terms]] for terms in rows]
+    held = np.flatnonzero(telling(rows, labels))
+    # Only the buckets that take part have rows, however many there are.
+    places[held] = np.arange(1, len(held) + 1)
+    rows = [places[terms[places[terms] > 0]] for terms in rows]
+    size = len(held) + 1
+    weights, factors = np.zeros(size), np.zeros((size, FACTORS))
+    factors[1:] = random.normal(0, 0.01, (len(places), FACTORS))[held]
     seen_w, seen_v = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
     for _ in range(EPOCHS):
         order = random.permutation(len(rows))
@@ -162,7 +166,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
             chosen = order[start : start + BATCH_ROWS]
             first = np.concatenate([[0], np.cumsum([len(rows[i]) for i in chosen])])
             terms = np.concatenate([rows[i] for i in chosen])
-            machine = Machine(bias, weights, factors, held)
+            machine = Machine(bias, weights, factors, places)
             linear, pairs, sums = machine._parts(terms, first)
             p = 1 / (1 + np.exp(-np.clip(bias + linear + pairs, -50, 50)))
             slope = (p - labels[chosen]) / len(chosen)
@@ -180,7 +184,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
                 factors[used, k] -= RATE * 0.3 * h / np.sqrt(seen_v[used, k])
             seen_b += slope.sum() ** 2
             bias -= RATE * slope.sum() / np.sqrt(seen_b)
-    return Machine(bias, weights, factors, held)
+    return Machine(bias, weights, factors, places)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:

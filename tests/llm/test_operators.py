@@ -478,7 +478,7 @@ def test_toxicity_scores_a_text_alike_in_any_batch():
     random = np.random.default_rng(5)
     size = 1 << toxicity.BUCKET_BITS
     machine = toxicity.Machine(
-        0.1, random.normal(size=size), random.normal(size=(size, toxicity.FACTORS)), np.ones(size, bool)
+        0.1, random.normal(size=size + 1), random.normal(size=(size + 1, toxicity.FACTORS)), np.arange(1, size + 1)
     )
     texts = ["one two three", None, "", "three two one four", "one two three"]
     together = machine.scores(*toxicity.hashed_terms(pa.array(texts, pa.string())))
