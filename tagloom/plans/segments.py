@@ -20,6 +20,8 @@ from tagloom.functions.text import (
     tokens,
 )
 from tagloom.operators import bayes
+from tagloom.operators.bloom import bloom_filter
+from tagloom.shared import BROADCAST_BYTES, broadcast_size, materialize
 
 
 def is_english(description: Column) -> Column:
@@ -51,21 +53,32 @@ def prepare_training(
     drop_stop_word_pieces: bool = False,
     detected: DataFrame | None = None,
     id_col: str = "appId",
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """English records with ``clean_description``.
 
     ``drop_stop_word_pieces`` first drops comma-separated pieces that are a stop word.
     Without it splitting and joining on commas is left out: cleaning turns commas into
     blanks. With ``detected`` (id, lang_pred, and where ids repeat the text keys) the detected language of the
-    record decides what is English instead of the characters; that costs a join of the texts.
+    record decides what is English instead of the characters. The English records' keys are broadcast if they
+    fit; of more, a Bloom filter of them drops the other texts before the rest is shuffled.
     """
     stop_words = default_stop_words() if stop_words is None else stop_words
     if detected is None:
         english = records.where(is_english(F.col(text_col)))
     else:
-        keyed = records.select("*", *text_key(F.col(text_col))).alias("r")
-        chosen = detected.where(F.col("lang_pred") == "en").alias("d")
-        english = keyed.join(chosen, _same_record(id_col, _keys(detected)), "left_semi").drop("_key_a", "_key_b")
+        keys = _keys(detected)
+        keyed = records.select("*", *text_key(F.col(text_col)))
+        chosen = materialize(
+            detected.where(F.col("lang_pred") == "en").select(id_col, *keys).distinct(), "english-records"
+        )
+        names = [name for name, kind in chosen.dtypes if kind == "string"]
+        if broadcast_size(chosen, *names) <= broadcast_bytes:
+            chosen = F.broadcast(chosen)
+        elif keys:
+            keyed = keyed.where(bloom_filter(chosen, "_key_a").may_contain(F.col("_key_a")))
+        same = _same_record(id_col, keys)
+        english = keyed.alias("r").join(chosen.alias("d"), same, "left_semi").drop("_key_a", "_key_b")
     text = F.col(text_col)
     if drop_stop_word_pieces:
         pieces = drop_stop_pieces(comma_pieces(text), default_stop_words())

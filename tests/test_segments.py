@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import ranking
+from tagloom.functions.text import text_key
 from tagloom.plans import mllib, segments
 
 RECORDS = [
@@ -128,3 +129,17 @@ def test_one_vs_rest(training):
 def test_hashed_feature_sizes(spark):
     docs = spark.createDataFrame([("1", ["a", "b", "a"])], "appId string, tokens array<string>")
     assert tuple(mllib.feature_sizes(mllib.hashed_features(docs), "appId").first()) == ("1", 2, 3)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_training_rows_by_detected_language(spark, broadcast_bytes, keyed):
+    rows = [("1", "the cats", "A"), ("2", "die Katzen", "A"), (None, "the dogs", "B"), (None, "der Hund", "B"), ("3", None, "C")]
+    records = spark.createDataFrame(rows, "appId string, description string, segment string")
+    english = F.col("description").startswith("the")
+    detected = records.select("appId", *(text_key(F.col("description")) if keyed else []), F.when(english, "en").alias("lang_pred"))
+    if not keyed:
+        records, detected = records.where("appId is not null"), detected.where("appId is not null")
+    got = segments.prepare_training(records, detected=detected, broadcast_bytes=broadcast_bytes)
+    assert got.columns == ["appId", "description", "segment", "clean_description"]
+    assert sorted(r.description for r in got.collect()) == (["the cats", "the dogs"] if keyed else ["the cats"])
