@@ -31,10 +31,15 @@ HEADLINE = (
     "lookup_replace",
     "annotate_tokens",
     "segment_distribution",
+    "tag_sequence",
+    "lemmatize_tagged",
+    "detect_language_short",
     "ingest_json_batch",
     "ingest_delimited",
     "clean_documents",
+    "ingest_json_array",
     "sliding_report",
+    "sliding_report_panes",
 )
 
 
