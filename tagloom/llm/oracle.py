@@ -185,7 +185,84 @@ SELECT page_id, host, path, rule,
 FROM ruled WHERE nth = 1"""
 
 
+# White space between words, as the operators take them.
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+_REPEATS = f"""
+WITH split AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents
+),
+windows AS MATERIALIZED (
+    SELECT row, i, array_to_string(words[i:i + 34], ' ') AS w
+    FROM split, unnest(range(1, len(words) - 33)) AS t(i)
+),
+repeated AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+covered AS (
+    SELECT DISTINCT row, unnest(range(i, i + 35)) AS j FROM windows WHERE w IN (SELECT w FROM repeated)
+),
+each AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM split),
+kept AS (
+    SELECT row, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n
+    FROM each ANTI JOIN covered USING (row, j) GROUP BY row
+)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.row = s.row"""
+
+
+def _linked(links: str) -> str:
+    """CTEs of the smallest id reachable over ``links(a, b)``, which hold every link both ways."""
+    return f"""
+links AS MATERIALIZED ({links}),
+reached AS (
+    SELECT a AS node, a AS seen FROM (SELECT DISTINCT a FROM links)
+    UNION
+    SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.seen
+),
+classes AS (SELECT node, min(seen) AS component FROM reached GROUP BY node)"""
+
+
+_NEAR = """
+    SELECT x.vec_id AS a, y.vec_id AS b FROM known x JOIN known y ON y.label = x.label AND y.vec_id <> x.vec_id
+    WHERE len(x.v) = len(y.v) AND list_inner_product(x.v, y.v)
+          / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.98"""
+_VECTORS = f"""
+WITH RECURSIVE known AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+{_linked(_NEAR)},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c.component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN classes c ON c.node = e.vec_id LEFT JOIN counts n ON n.a = e.vec_id"""
+
+_ALIKE = """
+    SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON y.s = x.s AND y.doc_id <> x.doc_id
+    JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))"""
+_LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+_SHINGLES = f"""
+WITH RECURSIVE lowered AS MATERIALIZED (
+    SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWERED)} AS words FROM documents
+),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s
+    FROM lowered, unnest(range(1, greatest(len(words) - 3, 2))) AS t(i) WHERE len(words) > 0
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+{_linked(_ALIKE)}
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component, d.doc_id) AS kept
+FROM lowered d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN classes c ON c.node = d.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_lattice": _VECTORS,
+    "op4_minhash": _SHINGLES,
+    "op5_superkmers": _REPEATS,
     "op11_codes": _codes_sql(4),
     "op12_divergence": _AUDIT,
     "op13_hosts": _HOSTS,
