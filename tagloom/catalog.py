@@ -702,7 +702,7 @@ def sliding_report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = [F.lit(None).cast(kind).alias(name) for name, kind in events.dtypes if name != "ts"]
     last.select("ts", *nothing).write.parquet(folder)
     stream = scoring.read_record_stream(
-        spark, sf_dir, table(spark, sf_dir, "events").schema, "events*.parquet"
+        spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema
     ).select(stamped, *REPORTED, F.lit(False).alias("closing"))
     closing = scoring.read_record_stream(spark, folder, events.schema).withColumn("closing", F.lit(True))
     path = new_path(spark, "report")
@@ -718,7 +718,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents classified as a stream of files, until all are read."""
     model = segments.train(prepared(spark, sf_dir))
     stream = scoring.read_record_stream(
-        spark, sf_dir, documents(spark, sf_dir).schema, "documents*.parquet"
+        spark, f"{sf_dir}/documents*.parquet", documents(spark, sf_dir).schema
     )
     records = stream.select(
         F.col("doc_id").cast("string").alias("appId"), F.col("text").alias("description")

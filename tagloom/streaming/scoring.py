@@ -18,7 +18,10 @@ def read_record_stream(
     pattern: str = "*.parquet",
     files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> DataFrame:
-    """Parquet files of a folder as they arrive, a bounded number per micro-batch."""
+    """Parquet files of a folder as they arrive, a bounded number per micro-batch.
+
+    A path with ``*`` names files as well as folders of files, such as a table of either form.
+    """
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)

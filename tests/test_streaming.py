@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tagloom.catalog import QUERIES
 from tagloom.functions.text import default_stop_words, preprocess_text
 from tagloom.plans import mllib, segments
 from tagloom.shared import new_path
@@ -138,3 +139,12 @@ def test_late_rows_of_panes_are_dropped(spark):
     found = {r.window_start.hour * 60 + r.window_start.minute: r.n for r in spark.read.parquet(out).where("day(window_start) = 1").collect()}
     # 00:02 came after 01:00 and counts in no window.
     assert found == {0: 2, 10: 1, 50: 1, 60: 1, 170: 1, 180: 1}
+
+
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for streamed, batch in (("stream_score", "batch_segments"), ("sliding_report_stream", "sliding_report_panes")):
+        found, expected = QUERIES[streamed](spark, str(tmp_path)), QUERIES[batch](spark, sf_dir)
+        assert found.count() == expected.count() > 0
+        assert found.select(expected.columns).exceptAll(expected).count() == 0
