@@ -468,34 +468,37 @@ def nb_model_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _trained(
+    spark: SparkSession, sf_dir: str, only_english: bool = False
+) -> tuple[bayes.BayesModel, DataFrame]:
+    """The model of the English documents and all of them, cleaned once for both."""
+    records = segments.preprocess_records(app_records(spark, sf_dir), only_english=only_english)
+    return segments.train(records.where("english")), records
+
+
 @register
 def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = segments.train(prepared(spark, sf_dir))
-    scored = segments.score_records(app_records(spark, sf_dir), model)
+    model, records = _trained(spark, sf_dir)
+    scored = segments.score_records(records, model, preprocessed=True)
     return segments.predict(scored, model).select("appId", "label_idx", "predictedLabel")
 
 
 @register
 def nb_raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = segments.train(prepared(spark, sf_dir))
-    scored = segments.score_records(app_records(spark, sf_dir), model)
+    model, records = _trained(spark, sf_dir)
+    scored = segments.score_records(records, model, preprocessed=True)
     return segments.raw_scores(scored, model).select(
         "appId", F.col("label").alias("segment"), F.round("score", 2).alias("score")
     )
 
 
-def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return app_records(spark, sf_dir).withColumn(
-        "clean_description",
-        text.preprocess_text(F.col("description"), text.default_stop_words()),
-    )
-
-
 def _hashed_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Class scores of all documents by the hashed model of the English ones, and its labels."""
-    training = prepared(spark, sf_dir).select("segment", text.tokens(F.col("clean_description")).alias("tokens"))
-    model = hashing.fit(training, "segment", "tokens")
-    docs = _preprocessed(spark, sf_dir).select("appId", text.tokens(F.col("clean_description")).alias("tokens"))
+    records = segments.preprocess_records(app_records(spark, sf_dir)).withColumn(
+        "tokens", text.tokens(F.col("clean_description"))
+    )
+    model = hashing.fit(records.where("english").select("segment", "tokens"), "segment", "tokens")
+    docs = records.select("appId", "tokens")
     return hashing.class_scores(docs, model, "appId", "tokens"), model.labels
 
 
@@ -537,8 +540,8 @@ def prepare_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def batch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = segments.train(prepared(spark, sf_dir))
-    return segments.batch_segments(app_records(spark, sf_dir), model)
+    model, records = _trained(spark, sf_dir, only_english=True)
+    return segments.batch_segments(records, model, preprocessed=True)
 
 
 @register
@@ -553,8 +556,8 @@ def batch_segments_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def batch_segments_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = segments.train(prepared(spark, sf_dir))
-    return segments.batch_segments(app_records(spark, sf_dir), model, non_english="drop")
+    model, records = _trained(spark, sf_dir, only_english=True)
+    return segments.batch_segments(records, model, non_english="drop", preprocessed=True)
 
 
 @register
@@ -573,8 +576,8 @@ def batch_segments_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def top_k_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = segments.train(prepared(spark, sf_dir))
-    best = segments.top_segments(app_records(spark, sf_dir), model, TOP_K)
+    model, records = _trained(spark, sf_dir)
+    best = segments.top_segments(records, model, TOP_K, preprocessed=True)
     return best.select(
         "appId",
         "topXPredictions",
@@ -611,10 +614,10 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _labelled_predictions(records: DataFrame, model: bayes.BayesModel) -> DataFrame:
+def _labelled_predictions(records: DataFrame, model: bayes.BayesModel, preprocessed: bool = False) -> DataFrame:
     """``(appId, label, prediction)`` as label indexes."""
     label = ranking.index_of(F.col("segment"), model.labels)
-    scored = segments.score_records(records.withColumn("label", label), model, carry=["label"])
+    scored = segments.score_records(records.withColumn("label", label), model, carry=["label"], preprocessed=preprocessed)
     return segments.predict(scored, model).withColumnRenamed("label_idx", "prediction")
 
 
@@ -626,9 +629,8 @@ def _holdout_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = app_records(spark, sf_dir).where(segments.is_english(F.col("description")))
-    model = segments.train(segments.prepare_training(records))
-    return _labelled_predictions(records, model)
+    model, records = _trained(spark, sf_dir, only_english=True)
+    return _labelled_predictions(records.where("english"), model, preprocessed=True)
 
 
 def _rounded(measured: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ CLASS_BLOCK = 64
 # The commonest words of the scored records that are looked for, the items their sketch tracks, and the
 # groups that a shuffle partition gets if no word is more common than the others.
 HEAVY_WORDS = 1024
+# Terms with at least so many uses in training are told apart no further when the commonest are chosen.
+COMMON_USES = 4096
 TRACKED_WORDS = 1 << 16
 GROUPS = 4
 
@@ -153,9 +155,19 @@ def fit(
         F.col(label_col).cast("string").alias("label"),
         explode_once(F.concat(marker, F.col(tokens_col))).alias("term"),
     )
-    counts = materialize(
-        exploded.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n")), "bayes-counts"
+    return fit_counts(
+        exploded.groupBy("label", "term").agg(F.count(F.lit(1)).alias("n")), smoothing, features, uniform_priors
     )
+
+
+def fit_counts(
+    counts: DataFrame,
+    smoothing: float = SMOOTHING,
+    features: int = HASH_BUCKETS,
+    uniform_priors: bool = False,
+) -> BayesModel:
+    """The model of ``counts(label, term, n)``, one row a label and term; NULL terms hold the document counts."""
+    counts = materialize(counts, "bayes-counts")
     return BayesModel(counts, _class_stats(counts), smoothing, features, uniform_priors)
 
 
@@ -184,6 +196,7 @@ def class_scores(
     tokens_col: str = "tokens",
     carry: Sequence[str] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
+    written: bool = False,
 ) -> DataFrame:
     """``(id, *carry, scores)``: the raw scores of every record in label order.
 
@@ -193,10 +206,12 @@ def class_scores(
     tokens counts as one unknown word.
 
     A model within ``broadcast_bytes`` is joined on the map side, and each record is added up
-    where it was read: one small row per record is shuffled. Of a larger model the weights of words that are
-    common in these records are broadcast, as many as fit; a sketch of the records finds them. Of the
-    other words a Bloom filter rules out those that the model does not know, and the rest are shuffled;
-    a common word that did not fit is spread over as many groups as its estimated count asks for.
+    where it was read: one small row per record is shuffled. Of a larger model the weights of the terms that
+    were commonest in training are broadcast, as many as fit half of that. Of the other words a Bloom filter
+    rules out those that the model does not know; the rest are written, a sketch finds those that are common
+    in these records, whose weights are broadcast too, as many as fit the other half, and the others are
+    shuffled; a common word that did not fit is spread over as many groups as its estimated count asks for.
+    ``written`` says that reading the tokens twice is cheap.
     """
     size = len(model.classes)
     sparse = size > CLASS_COLUMNS
@@ -204,7 +219,7 @@ def class_scores(
     row_bytes = ROW_BYTES + (POSTING_BYTES if sparse else 8 * size)
     # Terms counted once per class they occur in: too high, but known from the fit.
     small = sum(c.terms * row_bytes + c.term_bytes for c in model.classes) <= broadcast_bytes
-    summed = sum_weights(docs, weights, size, id_col, tokens_col, carry, broadcast_bytes, small, sparse)
+    summed = sum_weights(docs, weights, size, id_col, tokens_col, carry, broadcast_bytes, small, sparse, written)
     keep = [id_col, *carry]
     scored = summed.select(*keep, "_copies", _scores(model).alias("scores"))
     # One row for each of the records that agree.
@@ -222,6 +237,7 @@ def sum_weights(
     broadcast_bytes: int = BROADCAST_BYTES,
     small: bool = False,
     sparse: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """``(id, *carry, _length, _copies, _sums)``: the summed ``weights(term, weights)`` of each record's tokens.
 
@@ -243,7 +259,7 @@ def sum_weights(
         hits = _words(docs, record).join(F.broadcast(weights), "term", "left")
     else:
         # Both halves of the join read the tokens: clean the texts once.
-        words = _words(materialize(docs, "score-tokens"), record)
+        words = _words(docs if written else materialize(docs, "score-tokens"), record)
         hits = _split_join(words, weights, id_col, broadcast_bytes, sparse, size)
     return _sparse_sums(hits, record, size) if sparse else _dense_sums(hits, record, size)
 
@@ -335,27 +351,51 @@ def heavy_words(words: DataFrame, weights_bytes: int, broadcast_bytes: int) -> D
     return spark.createDataFrame(rows, "term string, salts int")
 
 
+def common_uses(weights: DataFrame, broadcast_bytes: int, sparse: bool, size: int) -> int:
+    """The least ``total`` of the commonest terms that fit the limit together; found from ``COMMON_USES`` rows at most."""
+    own = F.octet_length("term") + ROW_BYTES + (F.size("weights") * POSTING_BYTES if sparse else 8 * size)
+    uses = F.least("total", F.lit(COMMON_USES)).alias("uses")
+    taken, least = 0, COMMON_USES + 1
+    rows = weights.groupBy(uses).agg(F.sum(own).alias("bytes")).collect()
+    for row in sorted(rows, key=lambda row: -row.uses):
+        taken += row.bytes
+        if taken > broadcast_bytes:
+            break
+        least = row.uses
+    return least
+
+
 def _split_join(
     words: DataFrame, weights: DataFrame, id_col: str, broadcast_bytes: int, sparse: bool, size: int
 ) -> DataFrame:
+    room = broadcast_bytes // 2
+    is_common = F.least("total", F.lit(COMMON_USES)) >= F.lit(common_uses(weights, room, sparse, size))
+    common, rare = weights.where(is_common), weights.where(~is_common)
+    known = bloom_filter(rare.select(F.col("term").alias("word")))
+    rare_words = materialize(
+        words.where(F.col("term").isNotNull() & known.may_contain(F.col("term"))), "rare-words"
+    )
     # A heavy word may be one that every class has seen.
     widest = ROW_BYTES + size * (POSTING_BYTES if sparse else 8)
-    heavy = heavy_words(words, widest, broadcast_bytes)
+    heavy = heavy_words(rare_words, widest, room)
     near_terms = heavy.where("salts = 0").select("term")
-    near = words.join(
-        F.broadcast(weights.join(F.broadcast(near_terms), "term")), "term", "left"
-    ).drop("_position")
-    far = far_rows(words, weights, heavy, id_col)
+    near_weights = common.unionByName(rare.join(F.broadcast(near_terms), "term").select(*weights.columns))
+    near = words.join(F.broadcast(near_weights), "term", "left").drop("_position")
+    far = _salted_join(rare_words, rare, heavy, id_col)
     return near.unionByName(far.select(*near.columns))
 
 
 def far_rows(words: DataFrame, weights: DataFrame, heavy: DataFrame, id_col: str) -> DataFrame:
     """Known words that are not broadcast, with their weights: one shuffle by word and salt."""
     known = bloom_filter(weights.select(F.col("term").alias("word")))
+    asked = words.where(F.col("term").isNotNull() & known.may_contain(F.col("term")))
+    return _salted_join(asked, weights, heavy, id_col)
+
+
+def _salted_join(words: DataFrame, weights: DataFrame, heavy: DataFrame, id_col: str) -> DataFrame:
     salts = F.coalesce("salts", F.lit(1))
     salted_words = (
-        words.where(F.col("term").isNotNull() & known.may_contain(F.col("term")))
-        .join(F.broadcast(heavy), "term", "left")
+        words.join(F.broadcast(heavy), "term", "left")
         .where(salts > 0)
         .withColumn("_first", F.lit(False))
         .withColumn("_salt", F.pmod(F.xxhash64(id_col, "_words_a", "_position"), salts).cast("int"))

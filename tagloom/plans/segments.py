@@ -86,6 +86,30 @@ def prepare_training(
     return english.withColumn("clean_description", preprocess_text(text, stop_words))
 
 
+def preprocess_records(
+    records: DataFrame,
+    text_col: str = "description",
+    stop_words: Sequence[str] | None = None,
+    only_english: bool = False,
+) -> DataFrame:
+    """``records`` with ``english`` and ``clean_description`` in place of the text, written once.
+
+    For records that a model is both trained on and applied to: texts are cleaned once. With
+    ``only_english`` the clean text of the other records is NULL.
+    """
+    stop_words = default_stop_words() if stop_words is None else stop_words
+    english, clean = is_english(F.col(text_col)), preprocess_text(F.col(text_col), stop_words)
+    others = [name for name in records.columns if name != text_col]
+    return materialize(
+        records.select(
+            *others,
+            english.alias("english"),
+            (F.when(english, clean) if only_english else clean).alias("clean_description"),
+        ),
+        "preprocessed",
+    )
+
+
 def train(
     prepared: DataFrame, segment_col: str = "segment", smoothing: float = SMOOTHING
 ) -> bayes.BayesModel:
@@ -101,18 +125,23 @@ def score_records(
     stop_words: Sequence[str] | None = None,
     only_english: bool = False,
     carry: Sequence[str] = (),
+    preprocessed: bool = False,
 ) -> DataFrame:
     """``(id, *carry, english, scores)``; one row per record, whether or not ids repeat.
 
-    ``only_english`` spares the text work on records whose answer will be overridden.
+    ``only_english`` spares the text work on records whose answer will be overridden. ``preprocessed`` says
+    that the records come from ``preprocess_records``.
     """
-    stop_words = default_stop_words() if stop_words is None else stop_words
-    words = preprocessed_tokens(F.col(text_col), stop_words)
-    english = is_english(F.col(text_col))
+    if preprocessed:
+        words, english = F.split("clean_description", " "), F.col("english")
+    else:
+        stop_words = default_stop_words() if stop_words is None else stop_words
+        words = preprocessed_tokens(F.col(text_col), stop_words)
+        english = is_english(F.col(text_col))
     if only_english:
         words = F.when(english, words)
     tokenized = records.select(id_col, *carry, english.alias("english"), words.alias("tokens"))
-    return bayes.class_scores(tokenized, model, id_col, carry=[*carry, "english"])
+    return bayes.class_scores(tokenized, model, id_col, carry=[*carry, "english"], written=preprocessed)
 
 
 def predict(scored: DataFrame, model: bayes.BayesModel) -> DataFrame:
@@ -130,23 +159,25 @@ def batch_segments(
     stop_words: Sequence[str] | None = None,
     non_english: str = "override",
     detected: DataFrame | None = None,
+    preprocessed: bool = False,
 ) -> DataFrame:
     """``(id, predictedLabelFinal)``: the segment of each record.
 
     ``non_english="override"`` answers such records with a message, ``"drop"`` leaves them
     out. With ``detected`` (id, lang_pred, and where ids repeat the text keys) the detected language decides instead
-    of the characters; it is joined to the scores, one small row per record, not to the texts.
+    of the characters; it is joined to the scores, one small row per record, not to the texts. ``preprocessed``
+    records come from ``preprocess_records``; they then bring the text keys themselves.
     """
     if non_english not in ("override", "drop"):
         raise ValueError("non_english is 'override' or 'drop'")
     by_characters = detected is None
     if by_characters and non_english == "drop":
-        records = records.where(is_english(F.col(text_col)))
+        records = records.where(F.col("english") if preprocessed else is_english(F.col(text_col)))
     carry = () if by_characters else _keys(detected)
-    if carry:
+    if carry and not preprocessed:
         records = records.select(id_col, text_col, *text_key(F.col(text_col)))
     scored = score_records(
-        records, model, id_col, text_col, stop_words, only_english=by_characters, carry=carry
+        records, model, id_col, text_col, stop_words, only_english=by_characters, carry=carry, preprocessed=preprocessed
     )
     answered = predict(scored, model)
     if not by_characters:
@@ -173,13 +204,14 @@ def top_segments(
     text_col: str = "description",
     stop_words: Sequence[str] | None = None,
     override: bool = False,
+    preprocessed: bool = False,
 ) -> DataFrame:
     """``(id, labels, topXPredictions)``: the ``k`` best labels, as an array and blank-joined.
 
     Equal scores put the higher label index first, unlike the single prediction, which
     takes the lower one. The language override is off unless asked for.
     """
-    scored = score_records(records, model, id_col, text_col, stop_words, only_english=override)
+    scored = score_records(records, model, id_col, text_col, stop_words, only_english=override, preprocessed=preprocessed)
     best = top_labels(F.col("scores"), model.labels, k)
     if override:
         best = F.when(F.col("english"), best).otherwise(F.array(F.lit(UNSUPPORTED_LANGUAGE)))

@@ -263,3 +263,36 @@ def test_rows_follow_the_entries_of_the_model(spark):
     model = bayes.fit(docs, "segment")
     sizes = {r.term: len(r.weights) for r in model.term_postings().collect()}
     assert sizes.pop("all") == 300 and set(sizes.values()) == {1}
+
+
+def test_commonest_terms_of_a_larger_model_are_broadcast(spark):
+    uses = {f"w{i:02d}": i + 1 for i in range(60)}
+    rows = [("Games", [word] * n) for word, n in uses.items()] + [("Finance", ["w00"])]
+    model = bayes.fit(spark.createDataFrame(rows, "segment string, tokens array<string>"), "segment")
+    weights = model.term_weights()
+    row = bayes.ROW_BYTES + 2 * 8 + 3
+    assert bayes.common_uses(weights, 10 * row, False, 2) == 51
+    assert bayes.common_uses(weights, 1, False, 2) > bayes.COMMON_USES
+    assert bayes.common_uses(weights, 1000 * row, False, 2) == 2
+    docs = spark.createDataFrame([("a", ["w59", "w59", "w00", "x"]), ("b", ["w58"])], "appId string, tokens array<string>")
+    keyed = docs.select("appId", *text_key(F.col("tokens"), "_words"), F.size("tokens").alias("_length"), F.col("tokens").alias("_tokens"))
+    words = bayes._words(keyed, ["appId", "_words_a", "_words_b", "_length"])
+    hits = bayes._split_join(words, weights, "appId", 20 * row, False, 2)
+    # Both common words meet their weights where they stand, once each, and every word marks its record once.
+    assert hits.where("term = 'w59' AND weights IS NOT NULL").count() == 2
+    assert hits.where("_first").count() == 2
+    whole, split = bayes.class_scores(docs, model, "appId"), bayes.class_scores(docs, model, "appId", broadcast_bytes=20 * row)
+    assert close(scores_of(whole), scores_of(split))
+
+
+def test_records_cleaned_once_are_answered_alike(spark):
+    rows = [("1", "Banks, lending", "Finance"), ("2", None, "Games"), ("3", "café bank", "Games"), ("1", "", "Games")]
+    records = spark.createDataFrame(rows, "appId string, description string, segment string")
+    model = segments.train(segments.prepare_training(records))
+    for only_english in (False, True):
+        once = segments.preprocess_records(records, only_english=only_english)
+        assert segments.train(once.where("english")).classes == model.classes
+        for how in ("override", "drop"):
+            plain = segments.batch_segments(records, model, non_english=how)
+            found = segments.batch_segments(once, model, non_english=how, preprocessed=True)
+            assert sorted(found.collect()) == sorted(plain.collect())
