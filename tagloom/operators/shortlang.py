@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.ranking import label_at
-from tagloom.functions.text import explode_once
 from tagloom.operators.bayes import sum_weights
+from tagloom.operators.langid import gram_counts, only_letters
 from tagloom.shared import BROADCAST_BYTES, materialize
 
 # Fixed values. The floor that a gram adds in every language, and the posterior that decides.
@@ -35,8 +35,7 @@ class ShortProfiles:
 
 def grams(text: Column) -> Column:
     """All grams of one to three characters of the words; blanks only at the ends of a gram."""
-    letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    padded = F.concat(F.lit(" "), letters, F.lit(" "))
+    padded = F.concat(F.lit(" "), only_letters(text), F.lit(" "))
     found = [
         F.regexp_extract_all(padded, F.lit(pattern), F.lit(1))
         for pattern in (r"([^ ])", r"(?=(.[^ ]|[^ ].))", r"(?=(.[^ ].))")
@@ -46,13 +45,8 @@ def grams(text: Column) -> Column:
 
 def profiles(docs: DataFrame, text_col: str, lang_col: str) -> ShortProfiles:
     """Gram shares of every language, over whole texts; rows without text or language teach nothing."""
-    exploded = docs.where(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), explode_once(grams(F.col(text_col))).alias("term")
-    )
-    counts = materialize(
-        exploded.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")),
-        "gram-counts",
-    )
+    counted = gram_counts(docs, text_col, lang_col, grams).withColumnRenamed("label", "lang")
+    counts = materialize(counted.where(F.col("term").isNotNull()), "gram-counts")
     length = F.char_length("term").alias("length")
     totals = {(r.lang, r.length): r.n for r in counts.groupBy("lang", length).agg(F.sum("n").alias("n")).collect()}
     languages = tuple(sorted({lang for lang, _ in totals}))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import langid
+from tagloom.operators import langid, shortlang
 
 SAMPLES = [
     ("the quick brown fox jumps over the lazy dog and then the other dogs", "en"),
@@ -51,3 +51,18 @@ def test_agrees_with_the_given_languages(spark, sf_dir):
     found = langid.detect_language(docs.where("doc_id % 5 = 0"), learnt, "doc_id", "text")
     wrong = found.join(docs, "doc_id").where(~F.col("lang_pred").eqNullSafe(F.col("lang")))
     assert wrong.count() <= 2
+
+
+def test_grams_of_counted_words_equal_grams_of_texts(spark):
+    rows = [("The cat, the hat", "en"), ("the the cat", "en"), ("", "de"), (None, "de"), ("12 été \U0001d4d0b x", "fr"), ("none", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for grams in (langid.trigrams, shortlang.grams):
+        exploded = docs.where("lang IS NOT NULL").select(
+            F.col("lang").alias("label"),
+            F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), grams(F.col("text")))).alias("term"),
+        )
+        direct = exploded.groupBy("label", "term").count()
+        counted = langid.gram_counts(docs, "text", "lang", grams)
+        assert sorted(map(str, counted.collect())) == sorted(str(r).replace("count=", "n=") for r in direct.collect())
+    counting = langid.gram_counts(docs, "text", "lang", langid.trigrams)._jdf.queryExecution().optimizedPlan().toString()
+    assert counting.count("Aggregate") == 2
