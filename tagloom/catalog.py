@@ -122,22 +122,25 @@ def ingest_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_json_records(spark, path, APP_RECORD).select(*APP_RECORD.names)
 
 
-# Files that the documents are written to, each one array.
+# Files that the documents are written to, each one array: at least so many, and one for so many bytes of records.
 ARRAYS = 4
+ARRAY_BYTES = 64 * 1024 * 1024
 
 
 @register
 def ingest_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as a few files of one JSON array each and read back in ranges."""
+    """Documents written as files of one JSON array each and read back in ranges."""
     records = app_records(spark, sf_dir)
-    part = F.pmod(F.xxhash64("appId"), F.lit(ARRAYS)).cast("int").alias("part")
+    size = records.agg(F.sum(F.octet_length("description")).alias("size")).first().size or 0
+    arrays = max(ARRAYS, -(-size // ARRAY_BYTES))
+    part = F.pmod(F.xxhash64("appId"), F.lit(arrays)).cast("int").alias("part")
     body = F.concat(F.lit(","), F.to_json(F.struct("appId", "description", F.col("segment").alias("appName"))))
     rows = records.select(part, F.lit(1).alias("place"), body.alias("value"))
-    parts = spark.range(ARRAYS).select(F.col("id").cast("int").alias("part"))
+    parts = spark.range(arrays).select(F.col("id").cast("int").alias("part"))
     for place, value in ((0, '[{"package":"first"}'), (2, "]")):
         rows = rows.unionByName(parts.select("part", F.lit(place).alias("place"), F.lit(value).alias("value")))
     path = new_path(spark, "json-arrays")
-    dealt = rows.repartition(ARRAYS, "part").sortWithinPartitions("part", "place")
+    dealt = rows.repartitionById(arrays, F.col("part")).sortWithinPartitions("part", "place")
     dealt.select("part", "value").write.partitionBy("part").text(path)
     found = jsonarray.read_json_array(spark, path)
     return found.where(F.col("package").isNull()).select(*APP_RECORD.names)

@@ -55,7 +55,7 @@ def record_texts(spark: SparkSession, path: str) -> DataFrame:
     before = in_range.rowsBetween(Window.unboundedPreceding, -1)
     # Within a string: an odd number of quotes so far.
     so_far = F.coalesce(F.sum("quotes").over(before), F.lit(0)) + F.col("quotes_before")
-    stated = fragments.join(quotes, ["file", "start"]).withColumn("inside", (so_far % 2).cast("int"))
+    stated = fragments.join(F.broadcast(quotes), ["file", "start"]).withColumn("inside", (so_far % 2).cast("int"))
     closes = F.col("brace") & ((F.col("inside") + F.col("quotes")) % 2 == 0)
     change = _outside_brackets(F.col("value"), F.col("inside")) - closes.cast("int")
     text = F.when(F.col("brace"), F.concat("value", F.lit("}"))).otherwise(F.col("value"))
@@ -66,12 +66,12 @@ def record_texts(spark: SparkSession, path: str) -> DataFrame:
     depths = _carried(deep.groupBy("file", "start").agg(F.sum("change").alias("sum")), "depth_before")
     depth = F.sum("change").over(in_range) + F.col("depth_before")
     # A record ends where a brace outside of strings leads back to the depth of the array.
-    ends = deep.join(depths, ["file", "start"]).withColumn("depth", depth).withColumn(
+    ends = deep.join(F.broadcast(depths), ["file", "start"]).withColumn("depth", depth).withColumn(
         "ends", ((F.col("depth") == 1) & F.col("closes")).cast("int")
     )
     ended = _carried(ends.groupBy("file", "start").agg(F.sum("ends").alias("sum")), "records_before")
     number = F.coalesce(F.sum("ends").over(before), F.lit(0)) + F.col("records_before")
-    numbered = ends.join(ended, ["file", "start"]).withColumn("record", number)
+    numbered = ends.join(F.broadcast(ended), ["file", "start"]).withColumn("record", number)
     in_order = F.array_sort(F.collect_list(F.struct("start", "nth", "fragment")))
     whole = numbered.groupBy("file", "record").agg(
         F.array_join(in_order["fragment"], "").alias("text"), (F.max("ends") == 1).alias("ended")
@@ -102,7 +102,8 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
     )
     is_last = (F.col("start") == F.col("last.start")) & (F.col("nth") == F.col("last.nth"))
     phantom = is_last & F.col("excess").isin(1, 1 - MARK)
-    return lines.join(files, "file").select(
+    # One row a file: joined by its name, all of a file would meet in one task.
+    return lines.join(F.broadcast(files), "file").select(
         "file", "start", "nth", "value", _quotes(F.col("value")).alias("quotes"), (~phantom).alias("brace")
     )
 

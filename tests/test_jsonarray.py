@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tagloom import catalog
 from tagloom.schema import CORRUPT_COLUMN
 from tagloom.sources import jsonarray
 
@@ -80,3 +81,13 @@ def test_broken_and_empty_files(spark, tmp_path):
         folder.mkdir()
         got = read(spark, write(folder, text))
         assert [(r[0], r[4]) for r in got] == sorted(rows, key=str), name
+
+
+def test_documents_are_written_as_more_arrays_when_they_grow(spark, sf_dir, tmp_path, monkeypatch):
+    expected = sorted(map(str, catalog.QUERIES["ingest_json_array"](spark, sf_dir).collect()))
+    monkeypatch.setattr(catalog, "ARRAY_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: str(tmp_path / name))
+    found = catalog.QUERIES["ingest_json_array"](spark, sf_dir)
+    files = list((tmp_path / "json-arrays").rglob("part-*.txt"))
+    assert len(files) > 4 and max(f.stat().st_size for f in files) < 300_000
+    assert sorted(map(str, found.collect())) == expected
