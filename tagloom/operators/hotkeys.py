@@ -11,6 +11,37 @@ from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, broadcast_size, materiali
 # Words that at least one in so many rows hold are hot: there cannot be more of them.
 HOT_SHARE = 4096
 
+# Steps of a doubling by which words are ranked: a rank is one row of the driver's, some hundreds in all.
+RANKS = 16
+
+
+def common_entries(
+    entries: DataFrame, words: DataFrame, room: int, row_bytes: int = ROW_BYTES
+) -> tuple[DataFrame, DataFrame | None]:
+    """``entries(word, _value)`` of the words commonest in ``words(word)``, as many as fit ``room`` bytes, and the others.
+
+    A table that fits is returned whole, and None for the others. Words are counted, all of them, only for
+    a larger one. ``row_bytes`` is what an entry takes beyond its strings.
+    """
+    strings = [name for name, kind in entries.dtypes if kind == "string"]
+    if broadcast_size(entries, *strings, row_bytes=row_bytes) <= room:
+        return entries, None
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.coalesce(F.floor(F.log2("n") * RANKS), F.lit(-1)).cast("int").alias("_rank")
+    ranked = materialize(entries.join(counts, "word", "left").select(*entries.columns, rank), "ranked-entries")
+    size = F.lit(row_bytes).cast("long")
+    for name in strings:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    sizes = {row._rank: row.size for row in ranked.groupBy("_rank").agg(F.sum(size).alias("size")).collect()}
+    taken, least = 0, max(sizes, default=0) + 1
+    for found in sorted(sizes, reverse=True):
+        taken += sizes[found]
+        if taken > room:
+            break
+        least = found
+    near = ranked.where(F.col("_rank") >= least).drop("_rank")
+    return near, ranked.where(F.col("_rank") < least).drop("_rank")
+
 
 def join_entries(
     found: DataFrame,

@@ -1,9 +1,11 @@
 """Word-by-word work against a table: replace, tag, lemmatize by lexicon, drop listed words.
 
-All four look up the distinct words of a text, piece by piece, and join only those that the table
-lists. The entries of a piece come back as one map, and the words of the text are replaced through it
-in an array expression: no row per word is shuffled, and texts are shuffled once. Maps belong to a
-record's id and a hash of its text: records may share an id or have none, and all are answered.
+A table that fits is packed into one row, and texts are answered where they stand. Of a larger one that row has
+the entries of the words commonest in the texts. Of the other words the distinct ones of a text are looked
+up, piece by piece, and only those that the table lists are joined. The entries of a piece come back as one map, and
+the words of the text are replaced through it in an array expression: texts are shuffled once, and a row per
+word only for the rarer words. Maps belong to a record's id and a hash of its text: records may share an id or
+have none, and all are answered.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.lemma import lemma
 from tagloom.functions.text import explode_once, text_key
-from tagloom.operators.hotkeys import join_entries
+from tagloom.operators.hotkeys import common_entries, join_entries
+from tagloom.operators.packed import pack
 from tagloom.shared import BROADCAST_BYTES, ROW_BYTES, materialize
 
 # Words that share a map: looking one up compares it with the others, so a map stays short.
@@ -136,14 +139,27 @@ def look_up(
 ) -> DataFrame:
     """``(id, _text, _out)``: for every word of the text what ``render(word, value)`` makes of its entry.
 
-    ``entries(word, _value)`` has one row a word; the value of an unlisted word is NULL.
+    ``entries(word, _value)``, a written table, has one row a word; the value of an unlisted word is NULL.
     """
+    near, far = common_entries(
+        entries, docs.select(explode_once(_words(F.col(text_col))).alias("word")), broadcast_bytes // 2, row_bytes
+    )
+    packed = pack(near)
+    if far is None:
+        rows = docs.select(id_col, F.col(text_col).alias("_text"))
+        whole = _words(F.col("_text"))
+        return packed.select(
+            rows, [id_col, "_text"], lambda value_of: F.transform(whole, lambda word: render(word, value_of(word))), "_out"
+        )
     record = [id_col, "_key_a", "_key_b"]
     keyed = docs.select(id_col, F.col(text_col).alias("_text"), *text_key(F.col(text_col)))
     # Outer forms and filters after them: see ``explode_once``.
     pieces = keyed.select(*record, F.posexplode_outer(_pieces(F.col("_text"))).alias("_piece", "_words"))
-    found = pieces.select(*record, "_piece", explode_once(F.array_distinct("_words")).alias("word"))
-    hits = join_entries(found.where(F.col("word").isNotNull()), entries, broadcast_bytes, row_bytes)
+    others = packed.select(
+        pieces, [*record, "_piece"], lambda value_of: F.filter("_words", lambda word: value_of(word).isNull()), "_others"
+    )
+    found = others.select(*record, "_piece", explode_once(F.array_distinct("_others")).alias("word"))
+    hits = join_entries(found.where(F.col("word").isNotNull()), far, broadcast_bytes, row_bytes)
     # Combined where they were found: rows of pieces and records are shuffled, not of words.
     listed = F.map_from_entries(F.collect_set(F.struct("word", "_value")))
     of_piece = hits.groupBy(*record, "_piece").agg(listed.alias("_listed"))
@@ -156,20 +172,27 @@ def look_up(
         & (F.col("_key_b") == F.col("_b"))
     )
 
-    def rendered(words: Column, piece: Column) -> Column:
-        # An array of one element binds the map once for all words of the piece.
-        own = F.array(F.element_at("_maps", piece))
-        return F.flatten(
-            F.transform(own, lambda values: F.transform(words, lambda word: render(word, F.element_at(values, word))))
-        )
+    def rendered(value_of: Callable[[Column], Column]) -> Column:
+        def of_words(words: Column, piece: Column) -> Column:
+            # An array of one element binds the map once for all words of the piece.
+            own = F.array(F.element_at("_maps", piece))
+            return F.flatten(F.transform(own, lambda values: F.transform(words, lambda word: of_word(word, values))))
+
+        def of_word(word: Column, values: Column) -> Column:
+            return render(word, F.coalesce(value_of(word), F.element_at(values, word)))
+
+        return F.flatten(F.transform(_pieces(F.col("_text")), of_words))
+
+    return packed.select(keyed.join(of_record, same, "left"), [id_col, "_text"], rendered, "_out")
+
 
-    words = F.flatten(F.transform(_pieces(F.col("_text")), rendered))
-    return keyed.join(of_record, same, "left").select(id_col, "_text", words.alias("_out"))
+def _words(text: Column) -> Column:
+    return F.split(F.rtrim(text, F.lit(" ")), " ")
 
 
 def _pieces(text: Column) -> Column:
     """The words of a text as arrays of at most ``PIECE_WORDS``; NULL for a NULL text."""
-    words = F.array(F.split(F.rtrim(text, F.lit(" ")), " "))
+    words = F.array(_words(text))
 
     def cut(whole: Column) -> Column:
         last = F.floor((F.size(whole) - 1) / PIECE_WORDS).cast("int")

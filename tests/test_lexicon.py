@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import bloom, lexicon
+from tagloom.operators import bloom, hotkeys, lexicon, packed
 
 DOCS = [(1, "big cats run big"), (2, "cats"), (3, ""), (4, None), (5, "a  b "), (6, "unknown words")]
 
@@ -112,3 +112,42 @@ def test_bloom_filter_never_drops_a_listed_word(spark):
     assert listed.where(empty.may_contain(F.col("word"))).count() == 0
     nothing = spark.createDataFrame([(None,)], "word string")
     assert nothing.where(found.may_contain(F.col("word")).isNull()).count() == 0
+
+
+def test_a_table_that_fits_moves_no_text(spark, docs):
+    entries = spark.createDataFrame([("big", "large"), ("cats", "cat")], "word string, value string")
+    plan = lexicon.replace_words(docs, "id", "text", entries)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "Join" not in plan
+
+
+def test_only_words_beyond_the_commonest_are_joined(spark, monkeypatch):
+    """1,000 entries of which room is for a tenth: rows to join are those of the rarer words."""
+    joined = []
+
+    def counted(found, entries, *rest):
+        joined.append((found.count(), entries.count()))
+        return hotkeys.join_entries(found, entries, *rest)
+
+    monkeypatch.setattr(lexicon, "join_entries", counted)
+    rows = [(i, " ".join([f"often{k}" for k in range(50)] + [f"rare{i}"])) for i in range(950)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    words = [f"often{k}" for k in range(50)] + [f"rare{i}" for i in range(950)]
+    entries = spark.createDataFrame([(w, w.upper()) for w in words], "word string, value string")
+    out = lexicon.replace_words(docs, "id", "text", entries, broadcast_bytes=25_000)
+    assert as_dict(out) == {i: text.upper() for i, text in rows}
+    assert joined == [(950, 950)]
+    # The common words are part of an expression, not a column of the rows.
+    assert "_packed" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_table(spark):
+    written = spark.createDataFrame([(f"w{i}", i) for i in range(1000)] + [("null", None)], "word string, _value int")
+    table = packed.pack(written)
+    words = spark.createDataFrame([(f"w{i}",) for i in range(0, 2000, 7)] + [("null",), (None,), ("",)], "word string")
+    found = table.select(words, ["word"], lambda value_of: F.array(value_of(F.col("word"))), "found")
+    got = {r.word: r.found[0] for r in found.collect()}
+    assert got == {f"w{i}": i if i < 1000 else None for i in range(0, 2000, 7)} | {"null": None, None: None, "": None}
+    nothing = packed.pack(written.where("false"))
+    found = nothing.select(words, ["word"], lambda value_of: F.array(value_of(F.col("word"))), "found")
+    assert {r.found[0] for r in found.collect()} == {None}
+    assert "_packed" not in found._jdf.queryExecution().executedPlan().toString()
