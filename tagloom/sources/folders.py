@@ -18,17 +18,25 @@ NUMBERED = 256
 PARTS = 64
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*.html", recursive: bool = False) -> DataFrame:
-    """``(file, size)`` of the files of a folder; no content is read."""
-    files = (
+def _files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    """The files of a folder, listed once however often the table is read; their contents are read only if asked for."""
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", recursive)
         .load(path)
     )
+
+
+def _sizes(files: DataFrame) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
+def listing(spark: SparkSession, path: str, pattern: str = "*.html", recursive: bool = False) -> DataFrame:
+    """``(file, size)`` of the files of a folder; no content is read."""
+    return _sizes(_files(spark, path, pattern, recursive))
+
+
 def dealt(files: DataFrame, tasks: int) -> DataFrame:
     """``(file, size, task)``: every file of ``files(file, size)`` with one of ``tasks`` of like total size."""
     numbered = files.withColumn(
@@ -56,13 +64,11 @@ def read_packed(
 
     A file is never cut: one larger than a task makes its task larger. An empty folder gives no rows.
     """
-    files = listing(spark, path, pattern, recursive)
+    whole = _files(spark, path, pattern, recursive)
+    files = _sizes(whole)
     total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("n")).first()
     tasks = max(1, min(total.n, -(-total.size // task_bytes)))
-    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    contents = reader.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
-    )
+    contents = whole.select(F.col("_metadata.file_path").alias("file"), F.col("content").cast("string").alias("text"))
     placed = contents.join(dealt(files, tasks).select("file", "task"), "file")
     return placed.repartitionById(tasks, F.col("task"))
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from tagloom.plans import corpus
@@ -137,3 +138,18 @@ def test_packed_folder_and_rerun(spark, tmp_path):
     assert rows[0] == rows[1] and len(rows[0]) == 40
     (tmp_path / "none").mkdir()
     assert folders.read_packed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_folder_is_listed_once(spark, tmp_path, monkeypatch):
+    texts = {"a.html": "one\r\ntwo \u00e9", "b.html": "\n", "c.html": "\ufeffthree\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    loads = []
+    for method in ("load", "text"):
+        whole = getattr(DataFrameReader, method)
+        monkeypatch.setattr(
+            DataFrameReader, method, lambda self, *a, whole=whole, **kw: loads.append(1) or whole(self, *a, **kw)
+        )
+    rows = folders.read_packed(spark, str(tmp_path)).collect()
+    assert len(loads) == 1
+    assert {r.file.split("/")[-1]: r.text for r in rows} == texts
