@@ -91,18 +91,28 @@ def hashed_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which buckets occur often enough and not alike under both labels, alone or in pairs."""
-    size, n, toxic = 1 << BUCKET_BITS, len(rows), labels.sum()
-    row = np.repeat(labels, [len(terms) for terms in rows])
-    flat = np.concatenate(rows)
-    a = np.bincount(flat, row, size)
-    total = np.bincount(flat, minlength=size)
-    ratio = np.zeros(size)
+    n, toxic = len(rows), labels.sum()
+    a = _counts([rows[i] for i in np.flatnonzero(labels == 1)])
+    total = a + _counts([rows[i] for i in np.flatnonzero(labels != 1)])
+    out = in_pairs(rows, labels, a)
+    some = np.flatnonzero(total >= LEAST_ROWS)
+    a, total = a[some], total[some]
+    ratio = np.zeros(len(some))
     for seen, label_share in ((a, toxic / n), (total - a, 1 - toxic / n)):
         for observed, expected in (
             (seen, total * label_share), (n * label_share - seen, (n - total) * label_share)
         ):
             ratio += 2 * observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9))
-    return (total >= LEAST_ROWS) & (ratio >= LEAST_RATIO) | in_pairs(rows, labels, a)
+    out[some[ratio >= LEAST_RATIO]] = True
+    return out
+
+
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows of every bucket, added up by a few rows at a time."""
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for start in range(0, len(rows), 256):
+        np.add.at(out, np.concatenate(rows[start : start + 256]), 1)
+    return out
 
 
 def in_pairs(rows: list[np.ndarray], labels: np.ndarray, toxic_rows: np.ndarray) -> np.ndarray:
@@ -158,7 +168,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     rows = [places[terms[places[terms] > 0]] for terms in rows]
     size = len(held) + 1
     weights, factors = np.zeros(size), np.zeros((size, FACTORS))
-    factors[1:] = random.normal(0, 0.01, (len(places), FACTORS))[held]
+    # A start for each bucket there could be, drawn a part at a time.
+    for low in range(0, len(places), 1 << 16):
+        part = held[np.searchsorted(held, low) : np.searchsorted(held, low + (1 << 16))]
+        factors[places[part]] = random.normal(0, 0.01, (1 << 16, FACTORS))[part - low]
     seen_w, seen_v = np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
     for _ in range(EPOCHS):
         order = random.permutation(len(rows))
@@ -215,10 +228,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
     # Repeated rows of a document count once.
     schema = "doc_id long, toxic long, terms array<int>"
-    learnt = rows.mapInArrow(terms, schema).dropDuplicates(["doc_id"]).toArrow()
-    learnt = learnt.sort_by("doc_id")
-    features = [x.values.to_numpy() for x in learnt.column("terms")]
-    return fit(features, learnt.column("toxic").to_numpy().astype(float))
+    sample = rows.mapInArrow(terms, schema).dropDuplicates(["doc_id"])
+    # A bounded sample: one task learns from it, and the driver holds no more than the machine.
+    learnt = sample.repartition(1).mapInArrow(
+        _learn, "bias double, held array<int>, weights array<double>, factors array<double>"
+    ).toArrow()
+    if not learnt.num_rows:
+        return fit([], np.zeros(0))
+    held, weights, factors = (learnt.column(c)[0].values.to_numpy() for c in ("held", "weights", "factors"))
+    places = np.zeros(1 << BUCKET_BITS, np.int32)
+    places[held] = np.arange(1, len(held) + 1)
+    return Machine(learnt.column("bias")[0].as_py(), weights, factors.reshape(-1, FACTORS), places)
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine fitted to all rows, in one row; its held buckets are in the order of their places."""
+    held = [batch for batch in batches if batch.num_rows]
+    if held:
+        sample = pa.Table.from_batches(held).sort_by("doc_id")
+        held.clear()
+        features = [x.values.to_numpy() for x in sample.column("terms")]
+        machine = fit(features, sample.column("toxic").to_numpy().astype(float))
+        held = np.flatnonzero(machine.places).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([machine.bias]), *(pa.array([x]) for x in (held, machine.weights, machine.factors.ravel()))],
+            names=["bias", "held", "weights", "factors"],
+        )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -502,6 +502,21 @@ def test_toxicity_keeps_rare_terms_of_large_samples():
     assert toxicity.telling(rows, (np.arange(4000) < 2000).astype(float))[1]
 
 
+def test_toxicity_is_learnt_in_a_task(spark, monkeypatch):
+    rows = [(i, f"plain words {i % 7} " + ("vile rot" if i % 2 else "kind sun")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    known = docs.join(labels, "doc_id").where(toxicity.tables.in_training("doc_id", 3, 1)).orderBy("doc_id").toArrow()
+    flat, first = toxicity.hashed_terms(known.column("text").combine_chunks())
+    terms = [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    expected = toxicity.fit(terms, known.column("toxic").to_numpy().astype(float))
+    monkeypatch.setattr(toxicity, "fit", None)  # in this process only
+    got = toxicity.train(docs, labels)
+    assert got.bias == expected.bias
+    for name in ("weights", "factors", "places"):
+        assert np.array_equal(getattr(got, name), getattr(expected, name))
+
+
 def test_toxicity(spark):
     random = np.random.default_rng(8)
     rows, labels = [(900, None), (901, ""), (None, "w1")], [(900, 0), (950, None), (None, 1)]
