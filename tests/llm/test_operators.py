@@ -136,6 +136,25 @@ def test_minhash_compares_a_set_with_many_as_with_each():
         assert minhash.similar_to(items, sets).tolist() == [minhash.similar(items, other) for other in sets]
 
 
+def test_minhash_fetches_texts_only_of_pairs_whose_signatures_agree(spark, monkeypatch):
+    whole = [passage(80) for _ in range(30)]
+    # A third of its shingles in common with the next text, and a near copy of every fifth.
+    rows = [(i, f"{whole[i]} {whole[(i + 1) % 30]}") for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 30, 5)]
+    asked, confirm = set(), minhash.confirmed
+
+    def spied(candidates, docs):
+        asked.update((r.a, r.b) for r in candidates.collect())
+        return confirm(candidates, docs)
+
+    monkeypatch.setattr(minhash, "confirmed", spied)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i % 100 for i, _ in rows}
+    # Not every near copy meets its text at a leading node, the blocks find the others.
+    assert asked
+    assert {tuple(sorted(pair)) for pair in asked} <= {(i, 100 + i) for i in range(0, 30, 5)}
+
+
 def test_minhash_skips_hot_lists(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HOT_LEAST", 4)
     monkeypatch.setattr(minhash, "BLOCK", 8)
