@@ -2,9 +2,10 @@
 
 The strings of a shard, each ended by a terminator, form one cyclic text. Its rows are the
 rotations in order. Two shards are merged without sorting suffixes again: an interleave says
-which shard each merged row comes from; taking the two symbols before each row in interleave order
-and dealing the rows stably by them gives the interleave that is right for two symbols more. Rows
-that still agree after k rounds share a prefix of 2k symbols: the rounds also yield common prefixes.
+which shard each merged row comes from; taking the symbols before each row in interleave order
+and dealing the rows stably by them gives the interleave that is right for so many symbols more. A
+round takes ``STEP`` symbols, as the rank of their run among those of both shards. Rows
+that still agree after k rounds share a prefix of k runs: the rounds also yield common prefixes.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shard:
-    """Rotations in order as text positions, and the two symbols before each as one number."""
+    """Rotations in order as text positions, and the symbols before each: ``STEP`` of them, a byte each."""
 
     order: np.ndarray
     before: np.ndarray
 
 
-# Valid UTF-8 uses fewer byte values than this, so two symbols fit 16 bits.
-SYMBOLS = 255
+# Symbols of a round: as many as one number holds.
+STEP = 8
 
 
 def encode(strings: list[bytes]) -> np.ndarray:
@@ -39,40 +40,58 @@ def build(text: np.ndarray, depth: int) -> Shard:
     """Rotations ordered by at least their first ``depth`` symbols, by prefix doubling."""
     n = len(text)
     key, have = text.astype(np.uint64), 1
-    while have < 8:
+    while have < STEP:
         key = key << np.uint64(8 * have) | np.roll(key, -have)
         have *= 2
+    run = key
     while True:
-        order = np.argsort(key, kind="stable")
+        # Rows that tie share a rank, in whatever order they stand.
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)])
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         if have >= depth or rank[order[-1]] == n - 1:
-            return Shard(order, text[order - 2] * np.uint16(SYMBOLS) + text[order - 1])
+            return Shard(order, run[order - STEP])
         key = rank * (n + 1) + np.roll(rank, -have)
         have *= 2
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """Place of each value among the distinct ones."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(values)), np.int64), ordered[1:] != ordered[:-1]]))
+    return out
+
+
+def dealt_by(rank: np.ndarray) -> np.ndarray:
+    """The stable order of ranks, by halves of 16 bits."""
+    order = np.argsort(rank.astype(np.uint16), kind="stable")
+    high = (rank >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def merge(a: Shard, b: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """``(from_b, block)`` of the merged rows: the interleave, and equal numbers for rows that
-    share their first ``depth`` symbols, an even number."""
-    n = len(a.order) + len(b.order)
-    from_b = np.arange(n) >= len(a.order)
-    block = np.zeros(n, np.int64)
-    symbols = np.empty(n, np.uint16)
-    for round_ in range(depth // 2):
-        symbols[~from_b], symbols[from_b] = a.before, b.before
-        dealt = np.argsort(symbols, kind="stable")
-        from_b, symbol, old = from_b[dealt], symbols[dealt], block[dealt]
-        new = np.concatenate([[0], ((symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])).astype(np.int64)])
-        refined = np.cumsum(new)
-        last = old.max(initial=0)
-        # The same number of blocks as before: no later round can split one.
-        done = refined[-1] == last and round_ > 0
-        block = refined
-        if done:
-            break
+    share their first ``depth`` symbols."""
+    split = len(a.order)
+    from_b = np.arange(split + len(b.order)) >= split
+    block = np.zeros(len(from_b), np.int64)
+    before = np.concatenate([a.before, b.before])
+    whole = ranks(before)
+    # Where whole runs don't make up the depth, the first round takes a shorter one: the last symbols.
+    rest = depth % STEP
+    rounds = [whole] * (depth // STEP)
+    if rest:
+        rounds.insert(0, ranks(before & np.uint64((1 << 8 * rest) - 1)))
+    for runs in rounds:
+        of = np.empty(len(from_b), np.int64)
+        of[~from_b], of[from_b] = runs[:split], runs[split:]
+        dealt = dealt_by(of)
+        from_b, run, old = from_b[dealt], of[dealt], block[dealt]
+        block = np.zeros(len(from_b), np.int64)
+        np.cumsum((run[1:] != run[:-1]) | (old[1:] != old[:-1]), out=block[1:])
     return from_b, block
 
 
@@ -88,7 +107,7 @@ def window_classes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.nd
     owner = np.concatenate([np.repeat(np.arange(len(strings)), [len(s) + 1 for s in strings])])
     starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
     if len(shards) == 1:
-        shards.append(Shard(np.zeros(0, np.int64), np.zeros(0, np.uint16)))
+        shards.append(Shard(np.zeros(0, np.int64), np.zeros(0, np.uint64)))
     from_b, block = merge(*shards, window)
     position = np.empty(len(from_b), np.int64)
     position[~from_b] = shards[0].order

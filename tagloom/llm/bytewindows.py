@@ -31,35 +31,34 @@ def _sha(data: bytes) -> str:
 
 
 def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every distinct string the windows that start earlier in another string."""
+    """Every distinct string with its first occurrence and the windows that start earlier in another string."""
     for table, bounds in tables.whole_groups(batches, ["minimiser"], 1 << 11):
         sizes = np.diff(bounds)
         # A string that is alone in its bucket repeats nothing but itself.
         twice = table.column("twice").to_numpy() > 0
         rows = np.flatnonzero(np.repeat(sizes > 1, sizes) | twice)
-        if not len(rows):
-            continue
-        table = table.take(pa.array(rows))
-        packed = table.column("packed").to_pylist()
-        doc, start = (table.column(c).to_numpy() for c in ("first_doc", "first_start"))
-        string, offset, block = bwt.window_classes(packed, WINDOW)
-        order = np.lexsort((start[string] + offset, doc[string], block))
-        string, offset, block = string[order], offset[order], block[order]
-        lead = np.ones(len(block), bool)
-        lead[1:] = block[1:] != block[:-1]
-        leader = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        own, at = doc[string], start[string] + offset
-        later = (own > own[leader]) | (at > at[leader])
-        mask = np.zeros(len(packed), np.int64)
-        np.bitwise_or.at(mask, string[later], np.int64(1) << offset[later])
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("minimiser").combine_chunks(),
-                table.column("string_id").combine_chunks(),
-                pa.array(mask),
-            ],
-            names=["minimiser", "string_id", "mask"],
-        )
+        mask = np.zeros(table.num_rows, np.int64)
+        if len(rows):
+            mask[rows] = _earlier_masks(table.take(pa.array(rows)))
+        kept = ["minimiser", "string_id", "first_doc", "first_start"]
+        columns = [table.column(c).combine_chunks() for c in kept]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(mask)], names=[*kept, "mask"])
+
+
+def _earlier_masks(table: pa.Table) -> np.ndarray:
+    packed = table.column("packed").to_pylist()
+    doc, start = (table.column(c).to_numpy() for c in ("first_doc", "first_start"))
+    string, offset, block = bwt.window_classes(packed, WINDOW)
+    order = np.lexsort((start[string] + offset, doc[string], block))
+    string, offset, block = string[order], offset[order], block[order]
+    lead = np.ones(len(block), bool)
+    lead[1:] = block[1:] != block[:-1]
+    leader = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    own, at = doc[string], start[string] + offset
+    later = (own > own[leader]) | (at > at[leader])
+    mask = np.zeros(len(packed), np.int64)
+    np.bitwise_or.at(mask, string[later], np.int64(1) << offset[later])
+    return mask
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +150,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         )
         for part in superkmers.split_hot(runs)
     )
-    earlier = tables.sorted_by(cool, ["minimiser"], ["string_id"]).mapInArrow(
-        _earlier, "minimiser long, string_id long, mask long"
-    )
-    masks = earlier.unionByName(_hot_masks(hot))
-    leads = runs.groupBy("minimiser", "string_id").agg(first.alias("first"))
-    known = materialize(
-        leads.join(masks, ["minimiser", "string_id"], "left"), "earlier-windows"
-    )
+    schema = "minimiser long, string_id long, first_doc long, first_start long, mask long"
+    earlier = tables.sorted_by(cool, ["minimiser"], ["string_id"]).mapInArrow(_earlier, schema)
+    hot = materialize(hot, "hot-strings", "zstd")
+    cut_up = hot.drop("packed", "twice").join(_hot_masks(hot), ["minimiser", "string_id"], "left")
+    known = materialize(earlier.unionByName(cut_up), "earlier-windows")
     full = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
-    is_first = (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     later = runs.select("minimiser", "string_id", "k1", "k2", "doc", "start", "windows").join(
         known, ["minimiser", "string_id"]
     )

@@ -23,6 +23,8 @@ from tagloom.shared import materialize
 
 # Different super-k-mers of one minimiser beyond which they are cut into windows.
 HOT = 2_000
+# Bits that name a minimiser: two that share a name only share a bucket, and shorter names pack better.
+NAME_BITS = np.uint64(40)
 # Windows of a super-k-mer at most: one bit each in a 64-bit mask.
 MOST_WINDOWS = 60
 
@@ -83,6 +85,7 @@ def runs_of(units: Units, kind: Kind, row: int) -> tuple[np.ndarray, ...]:
     left = texts.sliding_minimum(high | place, width) & low
     right = low - (texts.sliding_minimum(high | (low - place), width) & low)
     least = grams[left.astype(np.int64)]
+    names = least >> (np.uint64(64) - NAME_BITS)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     lengths = np.diff(np.concatenate([starts, [n]]))
     twice = left[starts] != right[starts + lengths - 1]
@@ -92,7 +95,7 @@ def runs_of(units: Units, kind: Kind, row: int) -> tuple[np.ndarray, ...]:
         starts = np.repeat(starts, pieces) + index * MOST_WINDOWS
         twice = np.repeat(twice, pieces)
         lengths = np.diff(np.concatenate([starts, [n]]))
-    return least[starts], starts, lengths, twice
+    return names[starts], starts, lengths, twice
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def scan(keyed: DataFrame, kind: Kind, digest: Callable[[bytes], str]) -> DataFr
         "doc_id long, k1 long, k2 long, n_units long, whole_sha256 string, "
         "minimisers array<long>, times array<int>"
     )
-    return materialize(keyed.mapInArrow(read, schema), "scanned")
+    return materialize(keyed.mapInArrow(read, schema), "scanned", "zstd")
 
 
 def restricted(keyed: DataFrame, per_row: DataFrame) -> DataFrame:
@@ -155,6 +158,7 @@ def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
     per_row = materialize(
         shared.groupBy("k1", "k2").agg(F.collect_set("minimiser").alias("repeated")),
         "repeated-minimisers",
+        "zstd",
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,8 @@ def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
     )
     packed = restricted(keyed, per_row).select("text", "k1", "k2", "doc_id", "repeated")
     out = packed.mapInArrow(pack, schema).withColumn("string_id", F.xxhash64("packed"))
-    return materialize(out, "super-k-mers")
+    # Neighbours overlap, which the stronger compression finds.
+    return materialize(out, "super-k-mers", "zstd")
 
 
 def split_hot(runs: DataFrame) -> tuple[DataFrame, DataFrame]:

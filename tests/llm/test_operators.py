@@ -21,6 +21,7 @@ from tagloom.llm import (
     mainhtml,
     minhash,
     pii,
+    superkmers,
     toxicity,
     wordwindows,
 )
@@ -219,6 +220,29 @@ def test_merged_transform_is_the_transform_of_all():
     assert len(string) == sum(max(0, len(s) - 99) for s in strings)
 
 
+def test_names_of_minimisers_are_short_and_alike_in_every_text():
+    shared = passage(60)
+    names = []
+    for text in (shared, f"{passage(40)} {shared} {passage(40)}"):
+        units = superkmers.byte_units(pa.array([text]), bytewindows.GRAM)
+        names.append(superkmers.runs_of(units, bytewindows.KIND, 0)[0])
+    assert set(names[0]) <= set(names[1])
+    assert 0 < len(names[0]) and max(n.max() for n in names) < 1 << 40
+
+
+@pytest.mark.parametrize("window", [7, 24, 101])
+def test_merge_takes_eight_symbols_a_round(monkeypatch, window):
+    rounds, deal = [], bwt.dealt_by
+    monkeypatch.setattr(bwt, "dealt_by", lambda rank: rounds.append(len(rank)) or deal(rank))
+    strings = [passage(30).encode() for _ in range(9)]
+    strings += [strings[0][5:], strings[3], b"ab" * 60, "é€😀".encode() * 20]
+    string, offset, block = bwt.window_classes(strings, window)
+    names = [strings[s][o : o + window] for s, o in zip(string, offset, strict=True)]
+    assert len(set(names)) == len(set(block)) == len(set(zip(names, block, strict=True)))
+    assert len(names) == sum(max(0, len(s) - window + 1) for s in strings)
+    assert len(rounds) == -(-window // 8)
+
+
 def test_lattice(spark):
     random = np.random.default_rng(1)
     base = random.normal(size=(120, 16))
