@@ -40,6 +40,8 @@ TRAINER_TOKENS = 1 << 21
 FOLDS, HELD_OUT_FOLD = 7, 2
 # A word with one in so many tokens is frequent: no more than HOT_SHARE words are.
 HOT_SHARE = 1 << 19
+# Text that is scored at once: the more, the more contexts occur again.
+CHUNK_BYTES = 1 << 21
 # Tokens whose counts are combined before they leave a task.
 COMBINED_TOKENS = 1 << 22
 
@@ -82,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, n = np.unique(np.concatenate(kept), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    for batch in texts.chunks(batches):
+    for batch in texts.chunks(batches, limit=CHUNK_BYTES):
         hashes, _ = tokens_of(batch.column("text"))
         kept.append(hashes)
         held += len(hashes)
@@ -316,7 +318,7 @@ def train(docs: DataFrame, words: Words) -> Model:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = None
-        for batch in texts.chunks(batches):
+        for batch in texts.chunks(batches, limit=CHUNK_BYTES):
             trainer = trainer or Trainer(shared.value, 9)
             hashes, first = tokens_of(batch.column("text"))
             symbols = shared.value.look_up(hashes)[1]
@@ -368,7 +370,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
         size = words.size
-        for batch in texts.chunks(batches):
+        for batch in texts.chunks(batches, limit=CHUNK_BYTES):
             hashes, first = tokens_of(batch.column("text"))
             c, symbols = words.look_up(hashes)
             one, two = contexts_of(symbols, first, size)
