@@ -34,9 +34,13 @@ CLASS_NOISE = 4
 BATCH_TOKENS = 4096
 # Contexts that are normalised at once: their scores of all choices stay in a core's cache.
 SCORED_ROWS = 256
+# Words of a chunk whose exponentials of all first choices are kept while its contexts are normalised.
+TABLED_WORDS = 1 << 13
 RATE = 0.05
 # Every trainer sends all parameters, so partitions are joined up to about so many tokens each.
 TRAINER_TOKENS = 1 << 21
+# Parameters of a row that a trainer sends.
+BLOCK = 1 << 10
 FOLDS, HELD_OUT_FOLD = 7, 2
 # A word with one in so many tokens is frequent: no more than HOT_SHARE words are.
 HOT_SHARE = 1 << 19
@@ -166,12 +170,29 @@ class Model:
         """Log of the first step's normalising sums of contexts ``previous * (size + 2) + second``."""
         _, after, bias, _, _ = self.parts()
         firsts, (near, far) = self.firsts(), self.mixed()
-        after, bias = after[firsts], bias[firsts]
+        choices = _Choices(after[firsts], bias[firsts])
+        one, two = np.divmod(contexts, self.size + 2)
         out = np.empty(len(contexts))
-        for start in range(0, len(contexts), SCORED_ROWS):
-            part = contexts[start : start + SCORED_ROWS]
-            q = near[part // (self.size + 2)] + far[part % (self.size + 2)]
-            out[start : start + SCORED_ROWS] = _log_sums(q @ after.T + bias)
+        # The exponentials of a word that stands in many contexts are taken once.
+        times = np.bincount(two, minlength=self.size + 2)
+        tabled = np.argsort(-times, kind="stable")[:TABLED_WORDS]
+        tabled = tabled[times[tabled] > 1]
+        slot = np.full(self.size + 2, -1)
+        if choices.bound(near.take(one, axis=0)) < 30 and choices.bound(far.take(two, axis=0)) < 30:
+            slot[tabled] = np.arange(len(tabled))
+            table = choices.exponentials(far[tabled])
+        slot = slot[two]
+        with_slot, rest = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        with_slot = with_slot[np.argsort(one[with_slot], kind="stable")]
+        for start in range(0, len(with_slot), SCORED_ROWS):
+            rows = with_slot[start : start + SCORED_ROWS]
+            word = one[rows]
+            new = np.concatenate([[True], word[1:] != word[:-1]])
+            firsts_of = choices.exponentials(near[word[new]], biased=False).take(np.cumsum(new) - 1, axis=0)
+            out[rows] = np.log(np.vecdot(firsts_of, table.take(slot[rows], axis=0)))
+        for start in range(0, len(rest), SCORED_ROWS):
+            rows = rest[start : start + SCORED_ROWS]
+            out[rows] = choices.log_sums(near.take(one[rows], axis=0) + far.take(two[rows], axis=0))
         return out
 
     def log_shares(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -181,33 +202,71 @@ class Model:
         context, place = np.unique(one * (self.size + 2) + two, return_inverse=True)
         own, k = -self.log_totals(context)[place], self.class_of(target)
         first = np.where(k < 0, target, self.size + 1 + k)
-        order = np.argsort(k, kind="stable")
-        bounds = np.searchsorted(k[order], np.arange(self.classes + 1))
+        # A class is normalised once behind a context.
+        behind = np.flatnonzero(k >= 0)
+        pair, at_pair = np.unique(k[behind] * len(context) + place[behind], return_inverse=True)
+        group_of, of = np.divmod(pair, max(1, len(context)))
+        before_one, before_two = np.divmod(context[of], self.size + 2)
+        totals = np.empty(len(pair))
+        bounds = np.searchsorted(group_of, np.arange(self.classes + 1))
         for at in range(0, len(target), 1 << 16):
             cut = slice(at, at + (1 << 16))
-            q = near[one[cut]] + far[two[cut]]
-            own[cut] += (q * after[first[cut]]).sum(axis=1) + bias[first[cut]]
+            q = near.take(one[cut], axis=0) + far.take(two[cut], axis=0)
+            own[cut] += _dots(q, after.take(first[cut], axis=0)) + bias[first[cut]]
+            within = behind[slice(*np.searchsorted(behind, [at, at + (1 << 16)]))]
+            own[within] += _dots(q.take(within - at, axis=0), after.take(target[within], axis=0))
         for group in np.flatnonzero(np.diff(bounds)).tolist():
             low, end = self.members(group)
+            choices = _Choices(after[low:end], bias[low:end])
             for at in range(bounds[group], bounds[group + 1], SCORED_ROWS):
-                rows = order[at : min(at + SCORED_ROWS, bounds[group + 1])]
-                scores = (near[one[rows]] + far[two[rows]]) @ after[low:end].T + bias[low:end]
-                # The sums are taken in place: the targets' scores come first.
-                own[rows] += scores[np.arange(len(rows)), target[rows] - low]
-                own[rows] -= _log_sums(scores)
+                cut = slice(at, min(at + SCORED_ROWS, bounds[group + 1]))
+                totals[cut] = choices.log_sums(
+                    near.take(before_one[cut], axis=0) + far.take(before_two[cut], axis=0)
+                )
+        own[behind] += bias[target[behind]] - totals[at_pair]
         return own
 
 
-def _log_sums(scores: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of every row; overwrites ``scores``."""
-    if scores.shape[1] and scores.max() < 60 and scores[:, 0].min() > -60:
-        # Nothing overflows and no sum is lost: the usual case needs no shift.
+class _Choices:
+    """Choices of one step, their biases as one more component behind their vectors."""
+
+    def __init__(self, vectors: np.ndarray, bias: np.ndarray) -> None:
+        self.both = np.concatenate([vectors, bias[:, None]], axis=1).T.copy()
+        self.longest = float(np.sqrt(_dots(vectors, vectors).max(initial=0)))
+        self.highest = float(np.abs(bias).max(initial=0))
+
+    def bound(self, q: np.ndarray) -> float:
+        """No score of a row of ``q`` is further from 0."""
+        return self.longest * float(np.sqrt(_dots(q, q).max(initial=0))) + self.highest
+
+    def scores(self, q: np.ndarray, biased: bool = True) -> np.ndarray:
+        if not biased:
+            return q @ self.both[:-1]
+        return np.concatenate([q, np.ones((len(q), 1), q.dtype)], axis=1) @ self.both
+
+    def exponentials(self, q: np.ndarray, biased: bool = True) -> np.ndarray:
+        scores = self.scores(q, biased)
+        return np.exp(scores, out=scores)
+
+    def log_sums(self, q: np.ndarray) -> np.ndarray:
+        """Log of the summed exponentials of the scores of all choices, for every row of ``q``."""
+        if self.bound(q) < 60:
+            # Nothing overflows and no sum is lost: the usual case needs no shift.
+            return np.log(_row_sums(self.exponentials(q)))
+        scores = self.scores(q)
+        top = scores.max(axis=1)
+        scores -= top[:, None]
         np.exp(scores, out=scores)
-        return np.log(scores.sum(axis=1))
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return top + np.log(scores.sum(axis=1))
+        return top + np.log(_row_sums(scores))
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of vectors of equal place."""
+    return np.einsum("...j,...j->...", a, b)
 
 
 def noise_of(words: Words) -> np.ndarray:
@@ -255,42 +314,49 @@ class Trainer:
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         model = self.model
         before, after, bias, scale_one, scale_two = model.parts()
-        q = before[one] * scale_one + before[two] * scale_two
+        near, far = before.take(one, axis=0), before.take(two, axis=0)
+        q = near * scale_one + far * scale_two
         k = model.class_of(target)
         first = np.where(k < 0, target, model.size + 1 + k)
         noise = self.firsts[self.random.choice(len(self.firsts), NOISE, p=self.noise)]
-        up = _up((q * after[first]).sum(axis=1) + bias[first] - self.log_noise[first])
-        down = -_up(-(q @ after[noise].T + bias[noise] - self.log_noise[noise]))
-        g_q = up[:, None] * after[first] + down @ after[noise]
-        rows, slopes = [first, noise], [up[:, None] * q, down.T @ q]
-        slopes_b = [up, down.sum(axis=0)]
+        vectors, shared = after.take(first, axis=0), after.take(noise, axis=0)
+        up = _up(_dots(q, vectors) + bias[first] - self.log_noise[first])
+        down = -_up(-(q @ shared.T + bias[noise] - self.log_noise[noise]))
+        g_q = up[:, None] * vectors
+        g_q += down @ shared
+        # A choice's slope is a multiple of the context of a place; the shared noise has sums of contexts.
+        contexts, place = np.concatenate([q, down.T @ q]), [np.arange(len(q) + NOISE)]
+        rows, slopes, slopes_b = [first, noise], [up, np.ones(NOISE, up.dtype)], [up, down.sum(axis=0)]
         behind = np.flatnonzero(k >= 0)
         if len(behind):
             low, end = model.members(k[behind])
-            word, q_b = target[behind], q[behind]
             other = low + (self.random.random((CLASS_NOISE, len(behind))) * (end - low)).astype(np.int64)
             level = np.log(CLASS_NOISE / (end - low)).astype(np.float32)
-            up = _up((q_b * after[word]).sum(axis=1) + bias[word] - level)
-            g_b = up[:, None] * after[word]
-            rows.append(word)
-            slopes.append(up[:, None] * q_b)
-            slopes_b.append(up)
-            for noise in other:
-                down = -_up(-((q_b * after[noise]).sum(axis=1) + bias[noise] - level))
-                g_b += down[:, None] * after[noise]
-                rows.append(noise)
-                slopes.append(down[:, None] * q_b)
-                slopes_b.append(down)
-            g_q[behind] += g_b
+            words = np.concatenate([target[behind][None], other])
+            vectors = after.take(words, axis=0)
+            score = _dots(vectors, q.take(behind, axis=0)) + bias[words] - level
+            score[1:] *= -1
+            slope = _up(score)
+            slope[1:] *= -1
+            vectors *= slope[:, :, None]
+            g_q[behind] += vectors.sum(axis=0)
+            rows.append(words.ravel())
+            place.append(np.tile(behind, len(words)))
+            slopes.append(slope.ravel())
+            slopes_b.append(slope.ravel())
         seen = model.parts_of(self.seen)
-        g_one, g_two = (g_q * before[one]).sum(axis=0), (g_q * before[two]).sum(axis=0)
-        used, sums = _summed(np.concatenate([one, two]), np.concatenate([g_q * scale_one, g_q * scale_two]))
-        _climb(before, seen[0], used, sums)
-        used, sums, sums_b = _summed(np.concatenate(rows), np.concatenate(slopes), np.concatenate(slopes_b))
-        _climb(after, seen[1], used, sums)
-        _climb(bias, seen[2], used, sums_b)
-        _climb(scale_one, seen[3], slice(None), g_one)
-        _climb(scale_two, seen[4], slice(None), g_two)
+        g_one, g_two = np.einsum("ij,ij->j", g_q, near), np.einsum("ij,ij->j", g_q, far)
+        used, order, begin = _grouped(np.concatenate([one, two]))
+        g_both = np.concatenate([g_q * scale_one, g_q * scale_two])
+        _climb(before, seen[0], used, _summed(g_both.take(order, axis=0), begin))
+        used, order, begin = _grouped(np.concatenate(rows))
+        g_after = contexts.take(np.concatenate(place)[order], axis=0)
+        g_after *= np.concatenate(slopes)[order][:, None]
+        _climb(after, seen[1], used, _summed(g_after, begin))
+        _climb(bias, seen[2], used, np.add.reduceat(np.concatenate(slopes_b)[order], begin))
+        every = np.arange(WIDTH)
+        _climb(scale_one, seen[3], every, g_one)
+        _climb(scale_two, seen[4], every, g_two)
         self.tokens += len(target)
 
 
@@ -298,18 +364,51 @@ def _up(score: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(score, -30, 30)))
 
 
-def _climb(values: np.ndarray, seen: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
-    so_far = seen[rows] + g * g
-    seen[rows] = so_far
-    values[rows] += RATE * g / np.sqrt(so_far)
+def _climb(values: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    so_far = seen.take(rows, axis=0)
+    so_far += g * g
+    _put(seen, rows, so_far)
+    step = g / np.sqrt(so_far, out=so_far)
+    step *= RATE
+    step += values.take(rows, axis=0)
+    _put(values, rows, step)
+
+
+def _put(values: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
+    """``values[rows] = new``, a whole row as one item."""
+    if values.ndim == 2:
+        item = f"V{values.shape[1] * values.itemsize}"
+        values, new = values.view(item)[:, 0], new.view(item)[:, 0]
+    values[rows] = new
 
 
-def _summed(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows in order, and the sums of each one's values."""
-    order = np.argsort(rows)
-    ordered = rows[order]
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, the stable order of all, and where each one's group begins in it."""
+    bits = len(rows).bit_length()
+    # Sorting row and place in one number is faster than sorting places by rows.
+    both = np.sort(rows << bits | np.arange(len(rows)))
+    ordered, order = both >> bits, both & ((1 << bits) - 1)
     begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[begin], *(np.add.reduceat(v[order], begin, axis=0) for v in values)
+    return ordered[begin], order, begin
+
+
+# Most groups are small: so many of their rows are added one by one.
+FEW = 4
+
+
+def _summed(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the groups of rows that begin there."""
+    out, size = values.take(begin, axis=0), np.diff(begin, append=len(values))
+    more = np.flatnonzero(size > 1)
+    for j in range(1, FEW):
+        out[more] += values.take(begin[more] + j, axis=0)
+        more = more[size[more] > j + 1]
+    if len(more):
+        # The rest of each large group, up to the next large group's rest.
+        bounds = np.stack([begin[more] + FEW, begin[more] + size[more]], axis=1).ravel()
+        bounds = bounds[:-1] if bounds[-1] == len(values) else bounds
+        out[more] += np.add.reduceat(values, bounds, axis=0)[::2]
+    return out
 
 
 def train(docs: DataFrame, words: Words) -> Model:
@@ -327,27 +426,44 @@ def train(docs: DataFrame, words: Words) -> Model:
                 cut = slice(at, at + BATCH_TOKENS)
                 trainer.step(symbols[cut], one[cut], two[cut])
         if trainer is not None:
-            flat = trainer.model.flat.astype(np.float64) * trainer.tokens
+            flat = trainer.model.flat
+            bounds = np.append(np.arange(0, len(flat), BLOCK), len(flat))
+            blocks = len(bounds) - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(len(flat)), pa.int32()),
-                    pa.array(flat),
-                    pa.array(np.full(len(flat), trainer.tokens), pa.int64()),
+                    pa.array(np.arange(blocks), pa.int32()),
+                    pa.array(np.full(blocks, trainer.tokens), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)),
                 ],
-                names=["place", "value", "tokens"],
+                names=["block", "tokens", "value"],
             )
 
     trainers = max(1, -(-words.tokens // TRAINER_TOKENS))
-    learnt = docs.select("text").coalesce(trainers).mapInArrow(learn, "place int, value double, tokens long")
-    sums = learnt.groupBy("place").agg(F.sum("value").alias("value"), F.sum("tokens").alias("tokens"))
-    table = sums.select("place", (F.col("value") / F.col("tokens")).cast("float").alias("value")).toArrow()
+    learnt = docs.select("text").coalesce(trainers).mapInArrow(learn, "block int, tokens long, value array<float>")
+    blocks = tables.sorted_by(learnt, ["block"], ["tokens"])
+    table = blocks.mapInArrow(_averages, "block int, value array<float>").toArrow()
     model = start(words)
-    if table.num_rows:
-        place = table.column("place").to_numpy()
-        model.flat[place] = table.column("value").to_numpy()
+    for block, value in zip(table.column("block").to_pylist(), table.column("value"), strict=True):
+        at = block * BLOCK
+        model.flat[at : at + BLOCK] = value.values.to_numpy()
     return model
 
 
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every block's average by tokens over what the trainers have learnt."""
+    for table, bounds in tables.whole_groups(batches, ["block"], 256):
+        tokens = table.column("tokens").to_numpy()
+        learnt = table.column("value").combine_chunks()
+        blocks, values = [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            flat = learnt.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+            blocks.append(table.column("block")[a].as_py())
+            values.append((tokens[a:b] @ flat.astype(np.float64) / tokens[a:b].sum()).astype(np.float32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array(values, pa.list_(pa.float32()))], names=["block", "value"]
+        )
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 

@@ -424,6 +424,64 @@ def test_bilinear_classes_are_normalised(monkeypatch):
     assert np.exp(each).sum(axis=0) == pytest.approx(np.ones(len(one)))
 
 
+def test_bilinear_takes_exponentials_by_word_and_class_not_by_token(monkeypatch):
+    monkeypatch.setattr(bilinear, "HEAD", 20)
+    monkeypatch.setattr(bilinear, "CLASS_WORDS", 10)
+    words = bilinear.Words(np.arange(40, dtype=np.uint64), np.arange(90, 50, -1), np.arange(40), 40, 3000, 50, 180, 10)
+    model = bilinear.Trainer(words, 1).model
+    contexts = np.arange(42 * 42)
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **out: taken.append(x.size) or exp(x, **out))
+    totals = model.log_totals(contexts)
+    # Every word once before and once two before; a word may go on in the next block of contexts.
+    assert sum(taken) <= (2 * 42 + len(contexts) / bilinear.SCORED_ROWS + 1) * len(model.firsts())
+    _, after, bias, _, _ = model.parts()
+    near, far = model.mixed()
+    scores = ((near[contexts // 42] + far[contexts % 42]) @ after.T + bias)[:, model.firsts()]
+    assert totals == pytest.approx(np.log(exp(scores).sum(axis=1)), abs=1e-5)
+    taken.clear()
+    once = model.log_shares(np.array([25]), np.array([1]), np.array([2]))
+    first = sum(taken)
+    often = model.log_shares(np.full(1000, 25), np.full(1000, 1), np.full(1000, 2))
+    assert sum(taken) == 2 * first
+    assert often == pytest.approx(np.full(1000, once[0]))
+
+
+def test_bilinear_sums_are_whole_where_exponentials_overflow():
+    words = bilinear.Words(np.arange(5, dtype=np.uint64), np.arange(9, 4, -1), np.arange(5), 5, 50, 9, 15, 4)
+    model = bilinear.start(words)
+    model.flat *= 300
+    contexts = np.arange(49)
+    _, after, bias, _, _ = model.parts()
+    near, far = (x.astype(np.float64) for x in model.mixed())
+    scores = (near[contexts // 7] + far[contexts % 7]) @ after.T + bias
+    top = scores.max(axis=1)
+    assert top.max() > 100
+    exact = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    assert model.log_totals(contexts) == pytest.approx(exact, rel=1e-4)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 10])
+def test_bilinear_averages_trainers_by_tokens_and_sends_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(bilinear, "TRAINER_TOKENS", 100)
+    monkeypatch.setattr(bilinear, "BLOCK", block)
+    rows = [(" ".join(f"w{k % (5 + i)}" for k in range(40 + 30 * i)),) for i in range(6)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    hashes = [bilinear.tokens_of(pa.array([t]))[0] for (t,) in rows]
+    word, n = np.unique(np.concatenate(hashes), return_counts=True)
+    counts = spark.createDataFrame(zip(word.view(np.int64).tolist(), n.tolist(), strict=True), "word long, c long")
+    words = bilinear.frequent_words(counts)
+    total, weight = 0, 0
+    for part in docs.rdd.glom().collect():
+        if part:
+            own, first = bilinear.tokens_of(pa.array([r.text for r in part]))
+            symbols = words.look_up(own)[1]
+            trainer = bilinear.Trainer(words, 9)
+            trainer.step(symbols, *bilinear.contexts_of(symbols, first, words.size))
+            total, weight = total + trainer.model.flat.astype(np.float64) * len(own), weight + len(own)
+    assert bilinear.train(docs, words).flat == pytest.approx(total / weight, abs=1e-6)
+
+
 def test_bilinear_vocabulary_grows_and_held_out_texts_gain(spark):
     random = np.random.default_rng(7)
     rows = [(i, " ".join(f"t{i % 3}w{k}" for k in random.integers(0, 400, 300))) for i in range(600)]
