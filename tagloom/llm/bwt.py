@@ -46,53 +46,74 @@ def build(text: np.ndarray, depth: int) -> Shard:
     run = key
     while True:
         # Rows that tie share a rank, in whatever order they stand.
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if have >= depth or rank[order[-1]] == n - 1:
-            return Shard(order, run[order - STEP])
-        key = rank * (n + 1) + np.roll(rank, -have)
+        order = places(key)
+        if have >= depth:
+            return Shard(order, run.take(order - STEP, mode="wrap"))
+        rank = ranks_in(key, order)
+        if rank[order[-1]] == n - 1:
+            return Shard(order, run.take(order - STEP, mode="wrap"))
+        key = rank * n + np.roll(rank, -have)
         have *= 2
 
 
-def ranks(values: np.ndarray) -> np.ndarray:
-    """Place of each value among the distinct ones."""
-    order = np.argsort(values)
-    ordered = values[order]
+def places(values: np.ndarray) -> np.ndarray:
+    """Places in the stable order of numbers that are not negative."""
+    bits, most = max(1, len(values) - 1).bit_length(), int(values.max(initial=0)).bit_length()
+    if bits + most > 64:
+        return np.argsort(values, kind="stable")
+    # Number and place in one, the smaller the faster, sort faster than places by numbers.
+    kind = np.uint32 if bits + most <= 32 else np.uint64
+    both = values.astype(kind) << kind(bits)
+    both |= np.arange(len(values), dtype=kind)
+    both.sort()
+    both &= kind((1 << bits) - 1)
+    return both.astype(np.int64)
+
+
+def ranks_in(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Place of each value among the distinct ones, by their order."""
+    ordered = values.take(order)
     out = np.empty(len(values), np.int64)
-    out[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(values)), np.int64), ordered[1:] != ordered[:-1]]))
+    out[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(values)), bool), ordered[1:] != ordered[:-1]]))
     return out
 
 
+def ranks(values: np.ndarray) -> np.ndarray:
+    """Place of each value among the distinct ones."""
+    return ranks_in(values, places(values))
+
+
 def dealt_by(rank: np.ndarray) -> np.ndarray:
-    """The stable order of ranks, by halves of 16 bits."""
-    order = np.argsort(rank.astype(np.uint16), kind="stable")
-    high = (rank >> 16).astype(np.uint16)
-    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+    """The stable order of ranks."""
+    return places(rank)
 
 
 def merge(a: Shard, b: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """``(from_b, block)`` of the merged rows: the interleave, and equal numbers for rows that
     share their first ``depth`` symbols."""
     split = len(a.order)
-    from_b = np.arange(split + len(b.order)) >= split
-    block = np.zeros(len(from_b), np.int64)
+    n = split + len(b.order)
+    number = np.int32 if n < 1 << 30 else np.int64
     before = np.concatenate([a.before, b.before])
-    whole = ranks(before)
+    whole = ranks(before).astype(number)
     # Where whole runs don't make up the depth, the first round takes a shorter one: the last symbols.
     rest = depth % STEP
     rounds = [whole] * (depth // STEP)
     if rest:
-        rounds.insert(0, ranks(before & np.uint64((1 << 8 * rest) - 1)))
+        rounds.insert(0, ranks(before & np.uint64((1 << 8 * rest) - 1)).astype(number))
+    # A row's block and, as the last bit, its shard.
+    row = (np.arange(n) >= split).astype(number)
+    of, new = np.empty(n, number), np.zeros(n, bool)
     for runs in rounds:
-        of = np.empty(len(from_b), np.int64)
-        of[~from_b], of[from_b] = runs[:split], runs[split:]
+        from_b = (row & 1).astype(bool)
+        of[np.flatnonzero(from_b)], of[np.flatnonzero(~from_b)] = runs[split:], runs[:split]
         dealt = dealt_by(of)
-        from_b, run, old = from_b[dealt], of[dealt], block[dealt]
-        block = np.zeros(len(from_b), np.int64)
-        np.cumsum((run[1:] != run[:-1]) | (old[1:] != old[:-1]), out=block[1:])
-    return from_b, block
+        row, run = row.take(dealt), of.take(dealt)
+        old = row >> 1
+        np.logical_or(run[1:] != run[:-1], old[1:] != old[:-1], out=new[1:])
+        row &= 1
+        row += 2 * np.cumsum(new, dtype=number)
+    return (row & 1).astype(bool), (row >> 1).astype(np.int64)
 
 
 def window_classes(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

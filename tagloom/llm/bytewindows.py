@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ WINDOW = 100
 GRAM = 41
 KIND = superkmers.Kind(WINDOW, GRAM, superkmers.byte_units)
 LAST = (1 << 63) - 1
+# Text that is transformed at once: the arrays of so many symbols stay in a core's cache.
+PIECE_BYTES = 1 << 15
 
 
 def _sha(data: bytes) -> str:
@@ -38,25 +41,44 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = table.column("twice").to_numpy() > 0
         rows = np.flatnonzero(np.repeat(sizes > 1, sizes) | twice)
         mask = np.zeros(table.num_rows, np.int64)
-        if len(rows):
-            mask[rows] = _earlier_masks(table.take(pa.array(rows)))
+        for piece in _pieces(table, rows, np.repeat(np.arange(len(sizes)), sizes)):
+            mask[piece] = _earlier_masks(table.take(pa.array(piece)))
         kept = ["minimiser", "string_id", "first_doc", "first_start"]
         columns = [table.column(c).combine_chunks() for c in kept]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(mask)], names=[*kept, "mask"])
 
 
+def _pieces(table: pa.Table, rows: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
+    """``rows`` in pieces of whole groups, of at most ``PIECE_BYTES`` of text if a group has no more."""
+    if not len(rows):
+        return
+    group = group[rows]
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(rows))
+    lengths = pc.binary_length(table.column("packed")).to_numpy()[rows]
+    size = np.cumsum(lengths + 1)[ends - 1]
+    at, start, base = 0, 0, 0
+    while at < len(ends):
+        at = max(at + 1, int(np.searchsorted(size, base + PIECE_BYTES, side="right")))
+        yield rows[start : ends[at - 1]]
+        start, base = ends[at - 1], size[at - 1]
+
+
 def _earlier_masks(table: pa.Table) -> np.ndarray:
     packed = table.column("packed").to_pylist()
     doc, start = (table.column(c).to_numpy() for c in ("first_doc", "first_start"))
     string, offset, block = bwt.window_classes(packed, WINDOW)
-    order = np.lexsort((start[string] + offset, doc[string], block))
-    string, offset, block = string[order], offset[order], block[order]
-    lead = np.ones(len(block), bool)
-    lead[1:] = block[1:] != block[:-1]
-    leader = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-    own, at = doc[string], start[string] + offset
-    later = (own > own[leader]) | (at > at[leader])
     mask = np.zeros(len(packed), np.int64)
+    new = np.ones(len(block) + 1, bool)
+    new[1:-1] = block[1:] != block[:-1]
+    # Most windows are alone in their class.
+    shared = np.flatnonzero(~(new[:-1] & new[1:]))
+    if not len(shared):
+        return mask
+    string, offset, new = string[shared], offset[shared], new[shared]
+    own, at, begin, of = doc[string], start[string] + offset, np.flatnonzero(new), np.cumsum(new) - 1
+    later = own > np.minimum.reduceat(own, begin)[of]
+    first = np.minimum.reduceat(np.where(later, LAST, at), begin)[of]
+    later |= at > first
     np.bitwise_or.at(mask, string[later], np.int64(1) << offset[later])
     return mask
 

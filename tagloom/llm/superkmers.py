@@ -27,15 +27,17 @@ HOT = 2_000
 NAME_BITS = np.uint64(40)
 # Windows of a super-k-mer at most: one bit each in a 64-bit mask.
 MOST_WINDOWS = 60
+# Runs whose bytes are gathered at once.
+PACKED_RUNS = 1 << 12
 
 
 @dataclass(frozen=True)
 class Units:
-    """The units of a chunk: bounds of each row in units, gram hashes, and how to pack a run."""
+    """The units of a chunk: bounds of each row in units, gram hashes, and how to pack runs."""
 
     first: np.ndarray
     grams: np.ndarray
-    pack: Callable[[int, int], bytes]
+    pack: Callable[[np.ndarray, np.ndarray], pa.Array]
     whole: Callable[[int], bytes]
 
 
@@ -52,7 +54,7 @@ def word_units(column: pa.Array, gram: int) -> Units:
     return Units(
         words.first,
         grams,
-        lambda a, b: words.joined(a, b),
+        lambda a, b: pa.array([words.joined(*ab) for ab in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()),
         lambda row: words.joined(int(words.first[row]), int(words.first[row + 1])),
     )
 
@@ -62,11 +64,24 @@ def byte_units(column: pa.Array, gram: int) -> Units:
     return Units(
         offsets,
         texts.byte_runs_hashes(data, gram),
-        lambda a, b: data[a:b].tobytes(),
+        lambda a, b: byte_runs(data, a, b),
         lambda row: data[offsets[row] : offsets[row + 1]].tobytes(),
     )
 
 
+def byte_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each of ``begin`` up to ``end``."""
+    bounds = np.concatenate([[0], np.cumsum(end - begin)])
+    out = np.empty(bounds[-1], np.uint8)
+    for at in range(0, len(begin), PACKED_RUNS):
+        n = (end - begin)[at : at + PACKED_RUNS]
+        low, high = bounds[at], bounds[at + len(n)]
+        from_place = np.arange(low, high) + np.repeat(begin[at : at + len(n)] - bounds[at : at + len(n)], n)
+        out[low:high] = data.take(from_place)
+    buffers = [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)]
+    return pa.Array.from_buffers(pa.binary(), len(begin), buffers)
+
+
 def runs_of(units: Units, kind: Kind, row: int) -> tuple[np.ndarray, ...]:
     """``(minimiser, first window, windows, twice)`` of a row's super-k-mers.
 
@@ -164,23 +179,25 @@ def emitted(keyed: DataFrame, scanned: DataFrame, kind: Kind) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.chunks(batches, limit=1 << 19):
             units = kind.split(batch.column("text"), kind.gram)
-            k1, k2, ids = (batch.column(c).to_pylist() for c in ("k1", "k2", "doc_id"))
-            rows, packed = [], []
+            ends = np.cumsum(np.concatenate([[0], batch.column("repeated").value_lengths().to_numpy()]))
+            flat = batch.column("repeated").flatten().to_numpy().view(np.uint64)
+            found = []
             for row in range(batch.num_rows):
-                a = int(units.first[row])
                 least, starts, lengths, twice = runs_of(units, kind, row)
-                repeated = batch.column("repeated")[row].values.to_numpy().view(np.uint64)
-                for i in np.flatnonzero(np.isin(least, repeated)).tolist():
-                    s, n = int(starts[i]), int(lengths[i])
-                    packed.append(units.pack(a + s, a + s + n + kind.window - 1))
-                    rows.append((int(least[i]), k1[row], k2[row], ids[row], s, n, int(twice[i])))
-            if rows:
-                m, *rest = zip(*rows, strict=True)
+                repeated = np.sort(flat[ends[row] : ends[row + 1]])
+                if len(repeated):
+                    at = np.minimum(np.searchsorted(repeated, least), len(repeated) - 1)
+                    hit = np.flatnonzero(repeated[at] == least)
+                    found.append((np.full(len(hit), row), least[hit], starts[hit], lengths[hit], twice[hit]))
+            if found:
+                row, least, starts, lengths, twice = (np.concatenate(x) for x in zip(*found, strict=True))
+                begin = units.first[row] + starts
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.array(m, np.uint64).view(np.int64)),
-                        *[pa.array(c, pa.int64()) for c in rest],
-                        pa.array(packed, pa.binary()),
+                        pa.array(least.view(np.int64)),
+                        *[batch.column(c).take(pa.array(row)) for c in ("k1", "k2", "doc_id")],
+                        *[pa.array(x.astype(np.int64)) for x in (starts, lengths, twice)],
+                        units.pack(begin, begin + lengths + kind.window - 1),
                     ],
                     names=["minimiser", "k1", "k2", "doc_id", "start", "windows", "twice", "packed"],
                 )

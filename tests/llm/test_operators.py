@@ -230,6 +230,55 @@ def test_names_of_minimisers_are_short_and_alike_in_every_text():
     assert 0 < len(names[0]) and max(n.max() for n in names) < 1 << 40
 
 
+@pytest.mark.parametrize("limit", [1, 2_000, 1 << 20])
+def test_buckets_are_transformed_in_pieces_of_whole_buckets(monkeypatch, limit):
+    monkeypatch.setattr(bytewindows, "PIECE_BYTES", limit)
+    rows = []
+    for bucket in range(40):
+        text = passage(30).encode()
+        rows += [(bucket, i, 40 - i, 7 * i, text[i : i + 120 + bucket], 0) for i in range(0, 9, 3)]
+    rows += [(40, 0, 3, 5, b"ab" * 60, 1), (41, 0, 3, 5, passage(30).encode()[:130], 0)]
+    names = ["minimiser", "string_id", "first_doc", "first_start", "packed", "twice"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    done, classes = [], bwt.window_classes
+    monkeypatch.setattr(bwt, "window_classes", lambda strings, n: done.append(strings) or classes(strings, n))
+    found = pa.Table.from_batches(bytewindows._earlier(iter(table.to_batches()))).to_pylist()
+    expected = {}
+    for bucket in range(42):
+        first = {}
+        own = [r for r in rows if r[0] == bucket]
+        windows = [(r[4][o : o + 100], r[2], r[3] + o, r, o) for r in own for o in range(len(r[4]) - 99)]
+        for w, doc, at, _, _ in windows:
+            first[w] = min(first.get(w, (doc, at)), (doc, at))
+        for w, doc, at, r, o in windows:
+            expected[r[:2]] = expected.get(r[:2], 0) | ((doc, at) > first[w]) << o
+    assert {(r["minimiser"], r["string_id"]): r["mask"] for r in found} == expected
+    # A bucket of one string without a repeated minimiser is not transformed; buckets are never cut.
+    assert sum(map(len, done)) == len(rows) - 1
+    for strings in done:
+        assert len(strings) in (1, 3) or sum(len(x) + 1 for x in strings) <= limit
+    assert len(done) == {1: 41, 1 << 20: 1}.get(limit, len(done))
+
+
+def test_packed_runs_are_the_bytes_of_their_places(monkeypatch):
+    monkeypatch.setattr(superkmers, "PACKED_RUNS", 3)
+    text = passage(50).encode()
+    units = superkmers.byte_units(pa.array(["é" * 9, text.decode()]), bytewindows.GRAM)
+    begin = np.array([18, 20, 20, 90, 0, 18, 40])
+    end = np.array([30, 150, 150, 91, 18, 18 + len(text), 40])
+    whole = "é".encode() * 9 + text
+    assert units.pack(begin, end).to_pylist() == [whole[a:b] for a, b in zip(begin, end, strict=True)]
+    assert units.pack(begin[:0], end[:0]).to_pylist() == []
+
+
+@pytest.mark.parametrize("most", [1, 1 << 10, 1 << 40, (1 << 64) - 1])
+def test_places_are_the_stable_order(most):
+    values = np.random.default_rng(3).integers(0, most, 5_000, dtype=np.uint64, endpoint=True)
+    values[::3] = values[0]
+    for some in (values, values[:1], values[:0]):
+        assert bwt.places(some).tolist() == np.argsort(some, kind="stable").tolist()
+
+
 @pytest.mark.parametrize("window", [7, 24, 101])
 def test_merge_takes_eight_symbols_a_round(monkeypatch, window):
     rounds, deal = [], bwt.dealt_by
