@@ -24,7 +24,7 @@ from tagloom.operators import (
 from tagloom.plans import corpus, mllib, segments
 from tagloom.schema import APP_RECORD, CORRUPT_COLUMN, TRAINING_RECORD
 from tagloom.shared import materialize, new_path
-from tagloom.sources import jsonarray, readers, writers
+from tagloom.sources import folders, jsonarray, readers, writers
 from tagloom.streaming import report, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,10 +157,10 @@ def clean_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a file of its own, cleaned into a table twice: the second run replaces the first."""
     source, target = new_path(spark, "pages"), new_path(spark, "cleaned-pages")
     pages = table(spark, sf_dir, "pages", "page_id").where(F.col("html").isNotNull())
-    pages.select("page_id", "html").write.partitionBy("page_id").text(source)
+    folders.write_files(pages, source, "page_id", "html")
     for _ in range(2):
         corpus.clean_folder_parts(spark, source, target, "*.txt", recursive=True)
-    page_id = F.regexp_extract("file", r"page_id=([0-9]+)", 1).cast("long").alias("page_id")
+    page_id = F.regexp_extract("file", r"page_id=(-?[0-9]+)", 1).try_cast("long").alias("page_id")
     return spark.read.parquet(target).select(page_id, "cleaned")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
+from tagloom.catalog import QUERIES
 from tagloom.plans import corpus
 from tagloom.schema import CORRUPT_COLUMN
 from tagloom.shared import new_path, shared_folder
@@ -153,3 +154,63 @@ def test_a_folder_is_listed_once(spark, tmp_path, monkeypatch):
     rows = folders.read_packed(spark, str(tmp_path)).collect()
     assert len(loads) == 1
     assert {r.file.split("/")[-1]: r.text for r in rows} == texts
+
+
+ODD_PAGES = [(1, "<p>The Cats</p>"), (1, "ran\r\n12 miles"), (2, "same"), (2, "same"), (-3, "é \U0001f600\n"), (None, "none"), (4, "")]
+
+
+def test_rows_are_files_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    # Bytes that are no UTF-8 stay as they are.
+    pages = pages.unionByName(spark.sql("SELECT 5L AS page_id, CAST(X'61FF62' AS STRING) AS html"))
+    path = str(tmp_path / "pages")
+    for _ in range(2):
+        folders.write_files(pages, path, "page_id", "html")
+    found = folders.read_packed(spark, path, "*.txt", recursive=True)
+    key = F.regexp_extract("file", "page_id=(.+?)-[0-9A-F]+-[0-9]", 1)
+    rows = sorted(map(tuple, found.select(key, F.col("text").cast("binary")).collect()))
+    null = "__HIVE_DEFAULT_PARTITION__"
+    wanted = [(null if i is None else str(i), text.encode() + b"\n") for i, text in ODD_PAGES] + [("5", b"a\xffb\n")]
+    assert [(k, bytes(v)) for k, v in rows] == sorted(wanted)
+    assert found.select("file").distinct().count() == len(wanted)
+    # A folder holds many files.
+    assert len(list((tmp_path / "pages").iterdir())) == 1
+
+
+def test_a_folder_is_listed_in_groups(spark, tmp_path):
+    for i in range(9):
+        (tmp_path / f"part={i}" / "deep").mkdir(parents=True)
+        (tmp_path / f"part={i}" / "deep" / f"a b#{i}%.txt").write_text(f"text {i}")
+    (tmp_path / "top.txt").write_text("top")
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "no.txt").write_text("no")
+    (tmp_path / ".no.txt").write_text("no")
+    path = str(tmp_path)
+    found = folders.groups(spark, path, True, listed=4)
+    assert sorted(map(len, found)) == [1, 1, 4, 4]
+    whole = folders.listing(spark, path, "*.txt", True)
+    kept = folders._kept(spark, (folders.listing(spark, group, "*.txt", True) for group in found))
+    assert sorted(kept.collect()) == sorted(whole.collect()) and kept.count() == 10
+    packed = folders.read_packed(spark, path, "*.txt", True)
+    assert sorted(r.text for r in packed.collect()) == sorted([*(f"text {i}" for i in range(9)), "top"])
+    # Files are read where they are dealt to: no scan of contents and so no exchange of them.
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "content" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert folders.groups(spark, path, False, listed=4) == folders.groups(spark, path, True, listed=99) == [path]
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tests.link./in", f"file://{tmp_path}")
+    path, pages = "viewfs://tests/in/pages", spark.createDataFrame(ODD_PAGES, "page_id long, html string")
+    assert folders.mounted(spark, path) is None and folders.mounted(spark, str(tmp_path)) == str(tmp_path)
+    folders.write_files(pages, path, "page_id", "html")
+    texts = [r.text for r in folders.read_packed(spark, path, "*.txt", recursive=True).collect()]
+    assert sorted(texts) == sorted(text + "\n" for _, text in ODD_PAGES)
+
+
+def test_folder_roundtrip_of_shared_and_odd_ids(spark, tmp_path):
+    spark.createDataFrame(ODD_PAGES, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = QUERIES["clean_folder_roundtrip"](spark, str(tmp_path)).collect()
+    wanted = [(1, "cats"), (1, "ran miles"), (2, ""), (2, ""), (4, ""), (None, "none")]
+    assert sorted((r.page_id or 0, r.cleaned) for r in rows if r.page_id != -3) == sorted((i or 0, t) for i, t in wanted)
+    assert len(rows) == len(ODD_PAGES)
