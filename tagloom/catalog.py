@@ -156,7 +156,7 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a file of its own, cleaned into a table twice: the second run replaces the first."""
     source, target = new_path(spark, "pages"), new_path(spark, "cleaned-pages")
-    pages = table(spark, sf_dir, "pages", "page_id").where(F.col("html").isNotNull())
+    pages = table(spark, sf_dir, "pages").where(F.col("html").isNotNull())
     folders.write_files(pages, source, "page_id", "html")
     for _ in range(2):
         corpus.clean_folder_parts(spark, source, target, "*.txt", recursive=True)

@@ -181,7 +181,9 @@ def write_files(docs: DataFrame, path: str, key: str, text: str) -> None:
     if folder is None:
         docs.select(key, text).write.partitionBy(key).option("maxRecordsPerFile", 1).text(path)
         return
-    count = -(-docs.count() // FOLDER_FILES) or 1
+    rows = docs.select(F.xxhash64(key, F.xxhash64(text)).alias("row"), F.spark_partition_id().alias("partition"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("distinct")).first()
+    count = -(-total.n // FOLDER_FILES) or 1
     named = docs.select(
         F.pmod(F.xxhash64(key), F.lit(count)).alias("folder"),
         F.col(key).cast("string").alias("key"),
@@ -209,8 +211,12 @@ def write_files(docs: DataFrame, path: str, key: str, text: str) -> None:
                 written += 1
         yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
 
-    # Equal rows in one task, which numbers them.
-    named.repartition("key", "digest").mapInArrow(write, "n long").agg(F.sum("n")).first()
+    # Rows are written where they stand, unless few tasks have most of them or there are equal ones:
+    # those go to one task, which numbers them.
+    most = rows.groupBy("partition").count().agg(F.max("count").alias("n")).first().n or 0
+    if total.distinct < total.n or most > max(FOLDER_FILES, 2 * total.n // spark.sparkContext.defaultParallelism):
+        named = named.repartition("key", "digest")
+    named.mapInArrow(write, "n long").agg(F.sum("n")).first()
 
 
 def write_parts(docs: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
